@@ -53,15 +53,21 @@ def cache_sessions(
     limits: HotKeys = HotKeys(),
 ) -> DataFrame:
     """Number the stretches of an attempt in which no two arrivals are more than the TTL apart."""
+    none = F.lit(None).cast("long")
     if ttl_s is None:
-        return events.withColumn("session_id", F.lit(0).cast("long"))
+        return events.withColumns({"session_id": F.lit(0).cast("long"), "session_start_us": none})
     order = (received, "arrival")
     gap = F.col(received) - F.col("_previous")
-    starts = F.when(gap > int(ttl_s * 1_000_000), 1).otherwise(0).cast("long")
+    expired = gap > int(ttl_s * 1_000_000)
+    first = F.col("_previous").isNull() | expired
     return on_timelines(
         events,
         lambda t: t.scan(Scan("_previous", "last", F.col(received)), order=order)
-        .scan(Scan("session_id", "sum", starts, here=True), order=order)
+        .scan(
+            Scan("session_id", "sum", F.when(expired, 1).otherwise(0).cast("long"), here=True),
+            Scan("session_start_us", "last", F.when(first, F.col(received)), here=True),
+            order=order,
+        )
         .rows.drop("_previous", "_slice"),
         limits=limits,
         order=order,
