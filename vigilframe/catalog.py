@@ -120,8 +120,9 @@ def _(spark, sf_dir):
                      F.col("event_attempt_id").alias("attempt_id"), "client_seq")
     # a batch is what arrived for an attempt in a block of 500 arrivals, so its size is bounded
     batches = raw.groupBy("attempt_id", F.expr("arrival div 500").alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("arrival", event.alias("e")))), lambda x: x["e"]).alias("events")
-    )
+        F.array_sort(F.collect_list(F.struct("arrival", event.alias("e"))),
+                     lambda a, b: (a["arrival"] - b["arrival"]).cast("int")).alias("events")
+    ).withColumn("events", F.col("events.e"))
     path = fresh_path(spark, "attempt_batches")
     batches.select("attempt_id", "events").write.json(path)
     return readers.scan_attempt_batches(spark, path).select(
@@ -138,13 +139,18 @@ def _(spark, sf_dir):
         "attempt_id", "event_type", "occurred_at", F.get_json_object("payload", "$.state").alias("state"), "arrival")
 
 
+FILES = 2
+
+
 def _ingest_json(spark, sf_dir) -> str:
     path = fresh_path(spark, "ingest")
     rows = fixture.raw_events(spark, sf_dir).where("occurred_at IS NOT NULL AND event_type IS NOT NULL")
-    # one file per stretch of arrivals, so that files come in order
-    (rows.withColumn("payload", F.from_json("payload", "map<string,string>"))
-         .repartitionByRange(4, "arrival").sortWithinPartitions("arrival")
-         .select(*[f.name for f in streams.INGEST_EVENT.fields]).write.json(path))
+    rows = rows.withColumn("payload", F.from_json("payload", "map<string,string>"))
+    # two writes, so that the files of the first half are older than those of the second
+    half = F.col("received_at") < "2024-01-16"
+    for part in (rows.where(half), rows.where(~half)):
+        (part.repartitionByRange(FILES, "arrival").sortWithinPartitions("arrival")
+             .select(*[f.name for f in streams.INGEST_EVENT.fields]).write.mode("append").json(path))
     return path
 
 
@@ -916,7 +922,7 @@ def _(spark, sf_dir):
 @query("stream_score_attempts")
 def _(spark, sf_dir):
     paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
-    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=2)
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=FILES)
     ingest.stream_score_attempts(stream, paths, patterns=RULES).awaitTermination()
     return spark.read.parquet(paths.history).select("attempt_id", "risk", "confidence", "combined_score", "reason")
 

@@ -53,12 +53,12 @@ def decide(
     """From feature rows to decisions, confidences and explanations. No exchange without predictions."""
     rows = scoring.combine_signals(scoring.detect_signals(features, rules), rules)
     rows = summarise_patterns(rows, patterns)
-    rows = join_predictions(rows, predictions)
     rows = rows.withColumn("low_data", scoring.is_low_data(rules)).withColumn(
         "rule_risk", scoring.assign_risk(F.col("combined_score"), rules)
     )
-    rows = scoring.hybrid_decision(scoring.promote_by_pattern(rows, rules), rules)
-    rows = rows.withColumns(
+    rows = settled(rows, [c for c in rows.columns if c not in features.columns])
+    rows = scoring.promote_by_pattern(join_predictions(rows, predictions), rules)
+    rows = scoring.hybrid_decision(rows, rules).withColumns(
         {
             "confidence": scoring.rule_confidence(rules),
             "confidence_score": scoring.blend_confidence(
@@ -69,6 +69,17 @@ def decide(
     return low_data_guard(explanation_text(explain(rows, rules)))
 
 
+def settled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Compute these columns here, once.
+
+    A filter on the decision would otherwise be pushed below it by substituting every definition
+    into it, and the predicate would hold thousands of copies of the score expressions. Filters on
+    all other columns still pass.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
 def low_data_guard(rows: DataFrame) -> DataFrame:
     """Attempts without any data keep the features but get a fixed LOW result."""
     low = F.col("low_data")

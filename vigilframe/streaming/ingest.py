@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilframe.config import HotKeys, PatternRules, ScoringRules
+from vigilframe.functions.scalar import parse_event_time
 from vigilframe.operators.history import TTL_S
 from vigilframe.operators.lookup import touched_attempts
 from vigilframe.operators.normalize import normalize_events
@@ -71,17 +72,20 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int, fmt: str = "parquet"
 
 
 def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
-    """Number the events of each attempt by arrival, after those of all earlier batches."""
-    placed = cut(batch.withColumn("_position", F.monotonically_increasing_id()))
+    """Number the events of each attempt by arrival, after those of all earlier batches.
+
+    A micro-batch is received at one instant, so inside it events count as arriving in event time.
+    """
+    order = ("_event_us", "_position")
+    at = F.coalesce(F.unix_micros(parse_event_time(F.col("occurred_at"))), F.lit(0))
+    placed = cut(batch.withColumns({"_event_us": at, "_position": F.monotonically_increasing_id()}))
     ranked = on_timelines(
         placed,
-        lambda t: t.scan(
-            Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=("_position",)
-        ).rows.drop("_slice"),
+        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=order).rows.drop("_slice"),
         limits=limits,
-        order=("_position",),
+        order=order,
     )
-    return ranked.withColumn("arrival", F.col("_rank") + F.lit(batch_id * BATCH_SPAN)).drop("_rank", "_position")
+    return ranked.withColumn("arrival", F.col("_rank") + F.lit(batch_id * BATCH_SPAN)).drop("_rank", *order)
 
 
 def score_batch(
