@@ -74,12 +74,11 @@ def rejected_events(arrivals: DataFrame, raise_error: bool = False) -> DataFrame
 
 def normalize_events(arrivals: DataFrame, limits: HotKeys = HotKeys()) -> DataFrame:
     """Usable events of consistent attempts, in canonical form (not yet ordered)."""
-    checked = _checked(_lifted(arrivals))
-    mismatched = checked.where("mismatch").select("attempt_id").distinct()
+    checked = _checked(arrivals)
+    mismatched = cut(checked.where("mismatch").select("attempt_id").distinct())
     found = mismatched.count()
-    usable = checked.where("usable")
+    usable = _lifted(checked.where("usable"))
     if found:
-        mismatched = cut(mismatched)
         side = F.broadcast(mismatched) if found <= limits.broadcast_rows else mismatched
         usable = usable.join(side, "attempt_id", "left_anti")
     seq = F.expr("try_cast(try_cast(client_seq AS DOUBLE) AS BIGINT)")

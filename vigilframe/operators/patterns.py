@@ -133,11 +133,27 @@ def _matches(t: Timeline, rules: PatternRules, scoring: ScoringRules, extended:
     gate, power = gates(features, rules), strengths(features, rules)
     sequence = F.col("sequence")
 
-    def per_attempt(name: str, when: Column, *evidence: Column) -> DataFrame:
-        return features.where(when).select(
-            "attempt_id", F.lit(name).alias("pattern_type"), power[name].alias("strength"), *evidence
+    def match(name: str, when: Column, *evidence: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("pattern_type"), power[name].alias("strength"), *evidence))
+
+    # at most one match of these kinds per attempt: one pass over the feature rows
+    single = F.array_compact(
+        F.array(
+            match(
+                SEQUENCE,
+                gate[SEQUENCE] & F.col("has_sequence"),
+                *_evidence(
+                    idle_end_us=sequence["last_idle_end_us"],
+                    tab_hidden_us=sequence["last_hidden_us"],
+                    paste_us=sequence["paste_us"],
+                    question_leave_us=sequence["next_leave_us"],
+                ),
+            ),
+            match(HIGH_TAB, gate[HIGH_TAB], *_evidence()),
+            match(MEDIUM_TAB, gate[MEDIUM_TAB], *_evidence()),
         )
-
+    )
+    # quick leaves: any number per attempt, so they stay rows and only the gate is joined to them
     quick = Timeline(
         marked.rows.where("quick_leave_us IS NOT NULL").select(
             "attempt_id", "t_us", "last_idle_end_us", "question_id", "quick_leave_us"
@@ -147,18 +163,7 @@ def _matches(t: Timeline, rules: PatternRules, scoring: ScoringRules, extended:
         t.small,
     ).attach(features.where(gate[QUICK_LEAVE]).select("attempt_id", "idle_spike_count", "timing_score"))
     return (
-        per_attempt(
-            SEQUENCE,
-            gate[SEQUENCE] & F.col("has_sequence"),
-            *_evidence(
-                idle_end_us=sequence["last_idle_end_us"],
-                tab_hidden_us=sequence["last_hidden_us"],
-                paste_us=sequence["paste_us"],
-                question_leave_us=sequence["next_leave_us"],
-            ),
-        )
-        .unionByName(per_attempt(HIGH_TAB, gate[HIGH_TAB], *_evidence()))
-        .unionByName(per_attempt(MEDIUM_TAB, gate[MEDIUM_TAB], *_evidence()))
+        features.select("attempt_id", F.inline(single))
         .unionByName(
             quick.rows.select(
                 "attempt_id",

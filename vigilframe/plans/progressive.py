@@ -74,18 +74,21 @@ def prefix_features(t: Timeline, rules: PatternRules = PatternRules()) -> Timeli
 
 
 def _with_late_events(
-    events: DataFrame, key: tuple[str, ...], rules: PatternRules, limits: HotKeys
+    events: DataFrame, key: tuple[str, ...], rules: PatternRules, after: int | None, limits: HotKeys
 ) -> DataFrame:
     """Prefix features of attempts with late events; ``_epoch`` counts late events up to each arrival.
 
     In epoch e every event of an earlier epoch and the late event that opened it are old; the state
     for the late event is the one at the last old event. Later events of the epoch come in order and
-    read their own state.
+    read their own state. Epochs that end before the first wanted arrival are not built.
     """
-    last = events.groupBy(*key).agg(F.max(EPOCH).alias("_last"))
+    done = F.col("arrival") <= F.lit(-1 if after is None else after)
+    wanted = events.groupBy(*key).agg(
+        F.coalesce(F.max(F.when(done, F.col(EPOCH))), F.lit(0)).alias("_first"), F.max(EPOCH).alias("_last")
+    )
     per_epoch = (
-        events.join(last, list(key))
-        .withColumn("_as_of", F.explode(F.sequence(F.col(EPOCH), F.col("_last"))))
+        events.join(wanted, list(key))
+        .withColumn("_as_of", F.explode(F.sequence(F.greatest(EPOCH, "_first"), F.col("_last"))))
         .withColumn("_old", (F.col(EPOCH) < F.col("_as_of")) | F.col("_late"))
     )
 
@@ -133,11 +136,13 @@ def progressive_risk(
     rules: PatternRules = PatternRules(),
     ttl_s: float | None = None,
     passthrough: Sequence[str] = (),
+    after_arrival: int | None = None,
     limits: HotKeys = HotKeys(),
 ) -> DataFrame:
     """One history row per event, in the order of arrival; ``ttl_s`` starts over after a long silence.
 
-    The ingest path does not keep the client sequence, so equal times are ordered by arrival.
+    The ingest path does not keep the client sequence, so equal times are ordered by arrival. With
+    ``after_arrival`` only rows of later arrivals are returned.
     """
     key = ("attempt_id", "session_id")
     rows = cache_sessions(events.withColumn("client_seq", F.lit(0).cast("long")), ttl_s, limits=limits)
@@ -152,20 +157,23 @@ def progressive_risk(
         limits=limits,
         order=("arrival",),
     )
-    disordered = rows.where("_late").select(*key).distinct()
+    disordered = cut(rows.where("_late").select(*key).distinct())
     found = disordered.count()
     ordered = rows
     if found:
-        disordered = cut(disordered)
         side = F.broadcast(disordered) if found <= limits.broadcast_rows else disordered
         ordered = rows.join(side, list(key), "left_anti")
     kept = [*key, "arrival", *STATE_COLUMNS]
-    states = on_timelines(ordered, lambda t: prefix_features(t, rules).rows.select(*kept, *passthrough), key=key, limits=limits)
+    states = on_timelines(
+        ordered, lambda t: prefix_features(t, rules).rows.select(*kept, *passthrough), key=key, limits=limits
+    )
     if found:
-        redone = _with_late_events(rows.join(side, list(key), "left_semi"), key, rules, limits).select(*kept)
+        redone = _with_late_events(rows.join(side, list(key), "left_semi"), key, rules, after_arrival, limits).select(*kept)
         if passthrough:
             redone = redone.join(rows.select(*key, "arrival", *passthrough), [*key, "arrival"])
         states = states.unionByName(redone)
+    if after_arrival is not None:
+        states = states.where(F.col("arrival") > after_arrival)
     return decide(states, scoring, rules).withColumn(
         "reason", build_reason(F.col("risk"), F.col("explanation_text"))
     )

@@ -121,8 +121,8 @@ def score_batch(
     events = normalize_events(needed, limits)
     keep = (*IDENTITY, "event_type", "payload", "occurred_at", "received_at", "session_start_us")
     scored = cut(
-        progressive_risk(events, scoring, patterns, ttl_s, passthrough=keep, limits=limits).where(
-            F.col("arrival") > F.lit(batch_id * BATCH_SPAN)
+        progressive_risk(
+            events, scoring, patterns, ttl_s, passthrough=keep, after_arrival=batch_id * BATCH_SPAN, limits=limits
         )
     )
 
