@@ -233,7 +233,7 @@ def _tenth_percentile(t: Timeline) -> DataFrame:
         values,
         lambda v: v.scan(
             Scan("_rank", "sum", F.lit(1).cast("long")), order=("question_us", "arrival")
-        ).rows.drop("_slice"),
+        ).rows,
         key=t.key,
         limits=HotKeys(hot_rows=0),
         order=("question_us", "arrival"),

@@ -43,7 +43,7 @@ def risk_transitions(history: DataFrame, order: Sequence[str], limits: HotKeys =
         ),
         limits=limits,
         order=order,
-    ).drop("_slice")
+    )
 
 
 def cache_sessions(
@@ -68,7 +68,7 @@ def cache_sessions(
             Scan("session_start_us", "last", F.when(first, F.col(received)), here=True),
             order=order,
         )
-        .rows.drop("_previous", "_slice"),
+        .rows.drop("_previous"),
         limits=limits,
         order=order,
     )
@@ -89,7 +89,7 @@ def newest_per_attempt(events: DataFrame, n: int, limits: HotKeys = HotKeys()) -
     def step(t: Timeline) -> DataFrame:
         totals = t.rows.groupBy("attempt_id").agg(F.count("*").alias("_all"))
         ranked = t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=ORDER).attach(totals)
-        return ranked.rows.where(F.col("_rank") > F.col("_all") - n).drop("_rank", "_all", "_slice")
+        return ranked.rows.where(F.col("_rank") > F.col("_all") - n).drop("_rank", "_all")
 
     return on_timelines(events, step, limits=limits)
 

@@ -171,7 +171,7 @@ def stratified_split(
     totals = rows.groupBy(label).agg(F.count("*").alias("_n"))
     ranked = on_timelines(
         rows.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed))),
-        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=("_h", row_id)).rows.drop("_slice"),
+        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=("_h", row_id)).rows,
         key=(label,),
         limits=limits,
         order=("_h", row_id),

@@ -157,5 +157,5 @@ def on_timelines(
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Run ``step`` on the ordinary and, if there are any, on the hot attempts."""
-    parts = [step(t) for t in timelines(events, key, limits, order)]
+    parts = [step(t).drop(SLICE) for t in timelines(events, key, limits, order)]
     return reduce(DataFrame.unionByName, parts)

@@ -107,7 +107,7 @@ def _with_late_events(
                 "arrival",
                 F.when(state_of_opener, F.coalesce("_opener_before", "_opener_after")).otherwise(F.col("arrival")),
             )
-            .drop("_slice")
+            
         )
 
     return on_timelines(per_epoch, step, key=(*key, "_as_of"), limits=limits)
@@ -152,7 +152,7 @@ def progressive_risk(
         lambda t: t.scan(Scan("_newest", "max", F.col("t_us")), order=("arrival",))
         .map(lambda r: r.withColumn("_late", late).drop("_newest"))
         .scan(Scan(EPOCH, "sum", F.col("_late").cast("long"), here=True), order=("arrival",))
-        .rows.drop("_slice"),
+        .rows,
         key=key,
         limits=limits,
         order=("arrival",),

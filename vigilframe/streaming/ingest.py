@@ -81,7 +81,7 @@ def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
     placed = cut(batch.withColumns({"_event_us": at, "_position": F.monotonically_increasing_id()}))
     ranked = on_timelines(
         placed,
-        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=order).rows.drop("_slice"),
+        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=order).rows,
         limits=limits,
         order=order,
     )
@@ -222,7 +222,7 @@ def late_events(events: DataFrame, late_s: float, limits: HotKeys = HotKeys()) -
         lambda t: t.scan(Scan("_newest", "max", F.col("t_us")), order=("arrival",))
         .rows.where(behind > int(late_s * 1_000_000))
         .withColumn("late_by_s", behind / 1_000_000)
-        .drop("_newest", "_slice"),
+        .drop("_newest"),
         limits=limits,
         order=("arrival",),
     )
