@@ -46,6 +46,22 @@ def test_only_later_arrivals(spark):
     assert same(keyed(every), keyed(some))
 
 
+def test_late_events_of_one_instant_are_merged(spark):
+    events = attempt_events(spark, SMALL).where("attempt_id LIKE '%-0'")
+    events = events.withColumn("part", F.when(F.col("k") % 5 == 0, 1).otherwise(0))
+    arrival = F.col("part") * 10**12 + F.col("t_us") * 1000 + F.col("arrival") % 1000
+    events = events.withColumns({"arrival": arrival, "client_seq": F.lit(0).cast("long")})
+    newest = events.where("part = 0").groupBy("attempt_id").agg(F.max("t_us").alias("newest"))
+    marked = events.join(newest, "attempt_id", "left").withColumn(
+        "late", (F.col("part") == 1) & F.coalesce(F.col("t_us") < F.col("newest"), F.lit(False))
+    )
+    ends = marked.select("attempt_id", F.col("arrival").alias("n"), F.col("late").alias("n_late"))
+    prefix = marked.join(ends, "attempt_id").where("arrival <= n OR (late AND n_late)")
+    whole = prefix.withColumn("attempt_id", F.concat_ws("#", "attempt_id", "n"))
+    wanted = score_attempts(whole, patterns=RULES).select(*COLUMNS)
+    assert same(wanted, keyed(progressive_risk(events, rules=RULES, instant="part")))
+
+
 def ingest_rows(events):
     payload = F.struct("action", "state", "question_id")
     return events.select(
@@ -73,7 +89,7 @@ def job(spark):
 def test_stream_equals_batch(spark, job):
     events, paths = job
     arrival = F.col("part") * 10**12 + F.col("t_us") * 1000 + F.col("arrival") % 1000
-    batch = progressive_risk(events.withColumn("arrival", arrival), rules=RULES)
+    batch = progressive_risk(events.withColumn("arrival", arrival), rules=RULES, instant="part")
     history = spark.read.parquet(paths.history)
     assert history.count() == events.count()
     wanted = batch.select("attempt_id", "risk", F.col("confidence_score").alias("confidence"), "combined_score", "reason")

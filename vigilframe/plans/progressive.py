@@ -4,9 +4,10 @@ Attempts whose events arrive in time order need running aggregates only: every f
 is a running sum, minimum or maximum, and a pattern counts from the event that completes it. The
 decision expressions are those of the batch plan.
 
-A late event changes what came before it, so the state has to be rebuilt from there. Only attempts
-that contain late events go through ``_with_late_events``: each late event opens a new epoch, and
-the running aggregates are computed per epoch.
+A late event changes what came before it, so the state has to be rebuilt. Only attempts that
+contain late events go through ``_with_late_events``: each instant that brings late events opens a
+new epoch, and the running aggregates are computed per epoch. The ingest job receives a micro-batch
+at one instant and asks for its rows only, so it builds at most two epochs per attempt and batch.
 """
 
 from __future__ import annotations
@@ -76,11 +77,12 @@ def prefix_features(t: Timeline, rules: PatternRules = PatternRules()) -> Timeli
 def _with_late_events(
     events: DataFrame, key: tuple[str, ...], rules: PatternRules, after: int | None, limits: HotKeys
 ) -> DataFrame:
-    """Prefix features of attempts with late events; ``_epoch`` counts late events up to each arrival.
+    """Prefix features of attempts with late events; ``_epoch`` numbers the instants that brought some.
 
-    In epoch e every event of an earlier epoch and the late event that opened it are old; the state
-    for the late event is the one at the last old event. Later events of the epoch come in order and
-    read their own state. Epochs that end before the first wanted arrival are not built.
+    In epoch e the events of earlier epochs and the late events that opened it are old; the late ones
+    get the state at the last old event. Later events of the epoch come in order and read their own
+    state. Epochs that end before the first wanted arrival are not built. The cost is the size of the
+    attempt for each of its remaining epochs.
     """
     done = F.col("arrival") <= F.lit(-1 if after is None else after)
     wanted = events.groupBy(*key).agg(
@@ -91,26 +93,16 @@ def _with_late_events(
         .withColumn("_as_of", F.explode(F.sequence(F.greatest(EPOCH, "_first"), F.col("_last"))))
         .withColumn("_old", (F.col(EPOCH) < F.col("_as_of")) | F.col("_late"))
     )
+    last_old = F.col("_old") & F.col("_older_next").isNull() & (F.col("_as_of") > 0)
 
     def step(t: Timeline) -> DataFrame:
-        old_at = F.when(F.col("_old"), F.col("arrival"))
-        opener = F.when(F.col("_late") & (F.col(EPOCH) == F.col("_as_of")), F.col("arrival"))
-        seen = prefix_features(t, rules).scan(
-            Scan("_older_next", "next", old_at),
-            Scan("_opener_before", "last", opener, here=True),
-            Scan("_opener_after", "next", opener),
-        )
-        state_of_opener = F.col("_old") & F.col("_older_next").isNull() & (F.col("_as_of") > 0)
-        return (
-            seen.rows.where(state_of_opener | ~F.col("_old"))
-            .withColumn(
-                "arrival",
-                F.when(state_of_opener, F.coalesce("_opener_before", "_opener_after")).otherwise(F.col("arrival")),
-            )
-            
-        )
+        seen = prefix_features(t, rules).scan(Scan("_older_next", "next", F.when(F.col("_old"), F.col("arrival"))))
+        return seen.rows.where(last_old | ~F.col("_old")).select(*key, "_as_of", "_old", "arrival", *STATE_COLUMNS)
 
-    return on_timelines(per_epoch, step, key=(*key, "_as_of"), limits=limits)
+    states = cut(on_timelines(per_epoch, step, key=(*key, "_as_of"), limits=limits))
+    late = events.where("_late").select(*key, F.col(EPOCH).alias("_as_of"), "arrival")
+    merged = states.where("_old").drop("arrival").join(late, [*key, "_as_of"])
+    return states.where("NOT _old").unionByName(merged).drop("_old", "_as_of")
 
 
 STATE_COLUMNS = (
@@ -137,25 +129,30 @@ def progressive_risk(
     ttl_s: float | None = None,
     passthrough: Sequence[str] = (),
     after_arrival: int | None = None,
+    instant: str = "arrival",
     limits: HotKeys = HotKeys(),
 ) -> DataFrame:
     """One history row per event, in the order of arrival; ``ttl_s`` starts over after a long silence.
 
     The ingest path does not keep the client sequence, so equal times are ordered by arrival. With
-    ``after_arrival`` only rows of later arrivals are returned.
+    ``after_arrival`` only rows of later arrivals are returned. ``instant`` names what events were
+    received together (a micro-batch, say): its late events are merged before any of them is scored.
     """
     key = ("attempt_id", "session_id")
+    order = ("arrival",)
     rows = cache_sessions(events.withColumn("client_seq", F.lit(0).cast("long")), ttl_s, limits=limits)
     late = F.coalesce(F.col("t_us") < F.col("_newest"), F.lit(False))
+    opens = F.col("_late") & (F.col("_late_before").isNull() | (F.col("_late_before") != F.col(instant)))
     rows = on_timelines(
         rows,
-        lambda t: t.scan(Scan("_newest", "max", F.col("t_us")), order=("arrival",))
-        .map(lambda r: r.withColumn("_late", late).drop("_newest"))
-        .scan(Scan(EPOCH, "sum", F.col("_late").cast("long"), here=True), order=("arrival",))
-        .rows,
+        lambda t: t.scan(Scan("_newest", "max", F.col("t_us")), order=order)
+        .map(lambda r: r.withColumn("_late", late))
+        .scan(Scan("_late_before", "last", F.when(F.col("_late"), F.col(instant))), order=order)
+        .scan(Scan(EPOCH, "sum", opens.cast("long"), here=True), order=order)
+        .rows.drop("_newest", "_late_before"),
         key=key,
         limits=limits,
-        order=("arrival",),
+        order=order,
     )
     disordered = cut(rows.where("_late").select(*key).distinct())
     found = disordered.count()
@@ -168,7 +165,7 @@ def progressive_risk(
         ordered, lambda t: prefix_features(t, rules).rows.select(*kept, *passthrough), key=key, limits=limits
     )
     if found:
-        redone = _with_late_events(rows.join(side, list(key), "left_semi"), key, rules, after_arrival, limits).select(*kept)
+        redone = _with_late_events(rows.join(side, list(key), "left_semi"), key, rules, after_arrival, limits)
         if passthrough:
             redone = redone.join(rows.select(*key, "arrival", *passthrough), [*key, "arrival"])
         states = states.unionByName(redone)

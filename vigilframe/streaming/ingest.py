@@ -122,7 +122,14 @@ def score_batch(
     keep = (*IDENTITY, "event_type", "payload", "occurred_at", "received_at", "session_start_us")
     scored = cut(
         progressive_risk(
-            events, scoring, patterns, ttl_s, passthrough=keep, after_arrival=batch_id * BATCH_SPAN, limits=limits
+            events,
+            scoring,
+            patterns,
+            ttl_s,
+            passthrough=keep,
+            after_arrival=batch_id * BATCH_SPAN,
+            instant="batch_id",
+            limits=limits,
         )
     )
 
