@@ -8,7 +8,7 @@ are already partitioned by attempt.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +60,15 @@ def look_around(t: Timeline) -> Timeline:
     )
 
 
-def conditions(t: Timeline, rules: PatternRules = PatternRules()) -> Timeline:
-    """``look_around`` plus pairs, spikes and pattern candidates."""
+def conditions(
+    t: Timeline,
+    rules: PatternRules = PatternRules(),
+    resume: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> Timeline:
+    """``look_around`` plus pairs, spikes and pattern candidates.
+
+    ``resume`` may fill in what was seen before the first row of the timeline.
+    """
     us = F.col("t_us")
     pair = us - F.col("prev_view_us")
     question_us = F.greatest(us - F.col("last_enter_us"), F.lit(0))
@@ -101,7 +108,7 @@ def conditions(t: Timeline, rules: PatternRules = PatternRules()) -> Timeline:
             F.col("is_led_paste") & _within(F.col("next_leave_us"), us, rules.paste_to_leave_s),
         )
 
-    return look_around(t).map(add)
+    return look_around(t).map(resume).map(add)
 
 
 def mark(t: Timeline, rules: PatternRules = PatternRules()) -> Timeline:

@@ -6,8 +6,9 @@ decision expressions are those of the batch plan.
 
 A late event changes what came before it, so the state has to be rebuilt. Only attempts that
 contain late events go through ``_with_late_events``: each instant that brings late events opens a
-new epoch, and the running aggregates are computed per epoch. The ingest job receives a micro-batch
-at one instant and asks for its rows only, so it builds at most two epochs per attempt and batch.
+new epoch, and the running aggregates are continued per epoch from where it starts to matter. The
+ingest job receives a micro-batch at one instant and asks for its rows only, so it builds at most
+two epochs per attempt and batch.
 """
 
 from __future__ import annotations
@@ -28,48 +29,79 @@ from vigilframe.session import cut
 EPOCH = "_epoch"
 
 
-def prefix_features(t: Timeline, rules: PatternRules = PatternRules()) -> Timeline:
-    """The feature columns of ``attempt_features`` for every prefix of the timeline."""
-    one = lambda flag: F.col(flag).cast("long")
-    here = F.struct(*ORDER)
+# what a timeline that starts in the middle of an attempt has to know of the events before
+SEEN = ("prev_view_action", "prev_view_us", "prev_idle_state", "prev_idle_us", "last_hidden_us", "last_idle_end_us")
+POINTS = ("_led_at", "_leave_at")
+SUMS = (
+    "paste_count",
+    "tab_hidden_count",
+    "idle_spike_count",
+    "questions_seen",
+    "_question_sum",
+    "event_count",
+    "_sequences",
+    "quick_leaves",
+)
+LEAST = ("_first_us", "best_quick_us", "second_quick_us")
+
+
+def running(t: Timeline, rules: PatternRules, here: bool, resumed: bool = False) -> Timeline:
+    """Running aggregates up to each event, with it (``here``) or without.
+
+    With ``resumed`` the timeline continues from the values in the ``_b_`` columns.
+    """
+    before = lambda c: F.col(f"_b_{c}")
+    take = lambda columns: (lambda rows: rows.withColumns(columns)) if resumed else (lambda rows: rows)
+    at = F.struct(*ORDER)
     led_after_leave = F.col("_led_at").isNotNull() & (
         F.col("_leave_at").isNull() | (F.col("_led_at") > F.col("_leave_at"))
     )
     near = F.col("t_us") - F.col("_led_at")["t_us"] <= int(rules.paste_to_leave_s * SECOND)
     completes = F.col("is_question_leave") & led_after_leave & near
-    run = lambda name, how, value: Scan(name, how, value, here=True)
+    one = lambda test: F.when(test, 1).otherwise(0).cast("long")
+    values = {
+        "paste_count": one(F.col("is_paste")),
+        "tab_hidden_count": one(F.col("is_tab_hidden")),
+        "idle_spike_count": one(F.col("is_idle_spike")),
+        "questions_seen": one(F.col("question_us").isNotNull()),
+        "_question_sum": F.col("question_us"),
+        "event_count": F.lit(1).cast("long"),
+        "_sequences": one(completes),
+        "quick_leaves": one(F.col("quick_leave_us").isNotNull()),
+        "_first_us": F.col("t_us"),
+        "best_quick_us": F.col("quick_leave_us"),
+        "second_quick_us": second_quick(),
+    }
+    seen = {c: F.coalesce(F.col(c), before(c)) for c in (*SEEN, "last_enter_us")}
+    points = {c: F.coalesce(F.col(c), before(c)) for c in POINTS}
+    points["best_quick_before"] = F.least(F.col("best_quick_before"), before("best_quick_us"))
+    totals = {c: F.col(c) + F.coalesce(before(c), F.lit(0)) for c in SUMS}
+    totals |= {c: F.least(F.col(c), before(c)) for c in LEAST}
     return (
-        conditions(t, rules)
+        conditions(t, rules, take(seen))
         .scan(
             Scan("best_quick_before", "min", F.col("quick_leave_us")),
-            Scan("_led_at", "last", F.when(F.col("is_led_paste"), here)),
-            Scan("_leave_at", "last", F.when(F.col("is_question_leave"), here)),
-        )
-        .scan(
-            run("paste_count", "sum", one("is_paste")),
-            run("tab_hidden_count", "sum", one("is_tab_hidden")),
-            run("idle_spike_count", "sum", one("is_idle_spike")),
-            run("questions_seen", "sum", F.col("question_us").isNotNull().cast("long")),
-            run("_question_sum", "sum", F.col("question_us")),
-            run("event_count", "sum", F.lit(1).cast("long")),
-            run("_first_us", "min", F.col("t_us")),
-            run("_sequences", "sum", F.when(completes, 1).otherwise(0).cast("long")),
-            run("quick_leaves", "sum", F.col("quick_leave_us").isNotNull().cast("long")),
-            run("best_quick_us", "min", F.col("quick_leave_us")),
-            run("second_quick_us", "min", second_quick()),
+            Scan("_led_at", "last", F.when(F.col("is_led_paste"), at)),
+            Scan("_leave_at", "last", F.when(F.col("is_question_leave"), at)),
         )
-        .map(
-            lambda rows: rows.withColumns(
-                {
-                    "time_per_question_mean_s": F.coalesce(
-                        F.col("_question_sum") / F.nullif(F.col("questions_seen"), F.lit(0)) / SECOND, F.lit(0.0)
-                    ),
-                    "attempt_duration_s": (F.col("t_us") - F.col("_first_us")) / SECOND,
-                    "client_seq_gaps": F.lit(0).cast("long"),
-                    "has_submit_event": F.lit(True),
-                    "has_sequence": F.col("_sequences") > 0,
-                }
-            )
+        .map(take(points))
+        .scan(*[Scan(c, "sum" if c in SUMS else "min", v, here=here) for c, v in values.items()])
+        .map(take(totals))
+    )
+
+
+def prefix_features(t: Timeline, rules: PatternRules = PatternRules(), resumed: bool = False) -> Timeline:
+    """The feature columns of ``attempt_features`` for every prefix of the timeline."""
+    mean = F.col("_question_sum") / F.nullif(F.col("questions_seen"), F.lit(0)) / SECOND
+    return running(t, rules, here=True, resumed=resumed).map(
+        lambda rows: rows.withColumns(
+            {
+                "time_per_question_mean_s": F.coalesce(mean, F.lit(0.0)),
+                "attempt_duration_s": (F.col("t_us") - F.col("_first_us")) / SECOND,
+                "client_seq_gaps": F.lit(0).cast("long"),
+                "has_submit_event": F.lit(True),
+                "has_sequence": F.col("_sequences") > 0,
+            }
         )
     )
 
@@ -81,22 +113,77 @@ def _with_late_events(
 
     In epoch e the events of earlier epochs and the late events that opened it are old; the late ones
     get the state at the last old event. Later events of the epoch come in order and read their own
-    state. Epochs that end before the first wanted arrival are not built. The cost is the size of the
-    attempt for each of its remaining epochs.
+    state.
+
+    An epoch is not rebuilt from the first event. Before its start, the earliest place that this or a
+    later epoch inserts at, nothing is missing yet, so there one pass over all events in final order
+    knows the state. Only events from the start on are looked at again: an event takes part in as many
+    epochs as insert before it after its arrival. Epochs that end before the first wanted arrival
+    are not built.
     """
-    done = F.col("arrival") <= F.lit(-1 if after is None else after)
-    wanted = events.groupBy(*key).agg(
-        F.coalesce(F.max(F.when(done, F.col(EPOCH))), F.lit(0)).alias("_first"), F.max(EPOCH).alias("_last")
+    place = F.struct("t_us", "arrival")
+    opened = events.where("_late").groupBy(*key, EPOCH).agg(F.min(place).alias("_place"))
+    starts = cut(
+        on_timelines(
+            opened.withColumn("_back", -F.col(EPOCH)),
+            lambda t: t.scan(Scan("_start", "min", F.col("_place"), here=True), order=("_back",)).rows,
+            key=key,
+            limits=limits,
+            order=("_back",),
+        ).select(*key, F.col(EPOCH).alias("_as_of"), "_place", "_start")
+    )
+    firsts = starts.where("_start = _place").select(
+        *key, F.col("_place.arrival").alias("arrival"), F.col("_as_of").alias("_starts_here")
     )
+    carried = (*SEEN, *POINTS, *SUMS, *LEAST)
+    final = cut(
+        on_timelines(
+            events.join(firsts, [*key, "arrival"], "left"),
+            lambda t: running(t, rules, here=False)
+            .scan(Scan("_until", "max", F.col("_starts_here"), here=True))
+            .rows.select(*events.columns, "_starts_here", "_until", "is_question_enter", *carried),
+            key=key,
+            limits=limits,
+        )
+    )
+    base = (
+        starts.select(*key, "_as_of", F.col("_start.arrival").alias("arrival"))
+        .join(final.where("_starts_here IS NOT NULL").select(*key, "arrival", *carried), [*key, "arrival"])
+        .select(*key, "_as_of", *[F.col(c).alias(f"_b_{c}") for c in carried])
+    )
+    # an enter matters to a leave of its question for a bounded time only
+    span = int(rules.fast_answer_s * SECOND)
+    bucket = F.floor(F.col("t_us") / span)
+    start_bucket = F.floor(F.col("_start.t_us") / span)
+    entered = (
+        starts.select(*key, "_as_of", "_start", F.explode(F.array(start_bucket, start_bucket - 1)).alias("_bucket"))
+        .join(
+            final.where("is_question_enter").select(*key, "question_id", place.alias("_entered"), bucket.alias("_bucket")),
+            [*key, "_bucket"],
+        )
+        .where("_entered < _start")
+        .groupBy(*key, "_as_of", "question_id")
+        .agg(F.max("_entered.t_us").alias("_b_last_enter_us"))
+    )
+    last = F.greatest(F.col(EPOCH), F.coalesce("_until", F.lit(0)))
+    first = F.col(EPOCH)
+    rows = final.select(*events.columns, "_until")
+    if after is not None:
+        done = F.col("arrival") <= F.lit(after)
+        reached = events.groupBy(*key).agg(F.coalesce(F.max(F.when(done, F.col(EPOCH))), F.lit(0)).alias("_reached"))
+        rows, first = rows.join(reached, list(key)), F.greatest(EPOCH, "_reached")
     per_epoch = (
-        events.join(wanted, list(key))
-        .withColumn("_as_of", F.explode(F.sequence(F.greatest(EPOCH, "_first"), F.col("_last"))))
+        rows.withColumn("_as_of", F.explode(F.when(first <= last, F.sequence(first, last))))
         .withColumn("_old", (F.col(EPOCH) < F.col("_as_of")) | F.col("_late"))
+        .join(base, [*key, "_as_of"], "left")
+        .join(entered, [*key, "_as_of", "question_id"], "left")
     )
     last_old = F.col("_old") & F.col("_older_next").isNull() & (F.col("_as_of") > 0)
 
     def step(t: Timeline) -> DataFrame:
-        seen = prefix_features(t, rules).scan(Scan("_older_next", "next", F.when(F.col("_old"), F.col("arrival"))))
+        seen = prefix_features(t, rules, resumed=True).scan(
+            Scan("_older_next", "next", F.when(F.col("_old"), F.col("arrival")))
+        )
         return seen.rows.where(last_old | ~F.col("_old")).select(*key, "_as_of", "_old", "arrival", *STATE_COLUMNS)
 
     states = cut(on_timelines(per_epoch, step, key=(*key, "_as_of"), limits=limits))
