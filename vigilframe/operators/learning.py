@@ -169,13 +169,15 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Split with the same label shares on both sides; the same rows always land on the same side."""
     totals = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    if totals.count() <= limits.broadcast_rows:
+        totals = F.broadcast(totals)
     ranked = on_timelines(
         rows.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed))),
         lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=("_h", row_id)).rows,
         key=(label,),
         limits=limits,
         order=("_h", row_id),
-    ).join(F.broadcast(totals), label)  # one row per label
+    ).join(totals, label)
     is_train = F.col("_rank") <= F.round(F.col("_n") * train)
     side = lambda keep: ranked.where(keep).drop("_h", "_rank", "_n")
     return side(is_train), side(~is_train)

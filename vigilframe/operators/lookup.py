@@ -70,7 +70,7 @@ def paste_attribution(
 def prefix_stats(events: DataFrame, order: tuple[str, ...] = ("arrival",), limits: HotKeys = HotKeys()) -> DataFrame:
     """What a re-score at each arrival has before it: size, span and counts of the prefix.
 
-    The reference joins every event with all earlier ones; running aggregates give the same
+    Joining every event with all earlier ones would say the same; running aggregates give the
     numbers with one row per event.
     """
     one = lambda flag: F.col(flag).cast("long")

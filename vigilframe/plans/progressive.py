@@ -151,6 +151,8 @@ def _with_late_events(
         .join(final.where("_starts_here IS NOT NULL").select(*key, "arrival", *carried), [*key, "arrival"])
         .select(*key, "_as_of", *[F.col(c).alias(f"_b_{c}") for c in carried])
     )
+    if starts.count() <= limits.broadcast_rows:
+        base = F.broadcast(base)
     # an enter matters to a leave of its question for a bounded time only
     span = int(rules.fast_answer_s * SECOND)
     bucket = F.floor(F.col("t_us") / span)
