@@ -7,7 +7,7 @@ projections a table and 40 tables, a pair with cosine 0.95 meets in some table w
 closer pairs more surely. Pairs that meet are checked by their cosine in double precision.
 
 Buckets of any size are worked on whole: a bucket is dealt into blocks, and every two blocks meet in a group
-of bounded size. A pair counts in the first table that it shares only, so no list of pairs is ever made: groups
+of bounded size (groups hold many buckets where those are small). A pair counts in the first table that it shares only, so no list of pairs is ever made: groups
 give numbers of links and a spanning forest, and the links of all forests give the components.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components have no links; vectors
@@ -29,6 +29,7 @@ from vigilframe.llm.common import components, written
 from vigilframe.llm.topk import usable
 
 COSINE, WIDTH, PROJECTIONS, TABLES, BLOCK, SEED = 0.95, 2.0, 14, 40, 512, 20240229
+GROUP = 1024
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -76,33 +77,38 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def check_block(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between the two blocks of a bucket that meet here (or inside the one block)."""
-    table, low, high = (int(frame[c].iloc[0]) for c in ("table", "low", "high"))
-    frame = frame.sort_values("uid", kind="stable")
-    parts = [frame] if low == high else [frame[frame["block"] == low], frame[frame["block"] == high]]
-    empty = pd.DataFrame({"uid": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-    if any(p.empty for p in parts):
-        return empty
-    sides = [(unit_rows(p["embedding"]), np.array(p["cells"].tolist(), dtype=np.int32)) for p in parts]
-    (a, a_cells), (b, b_cells) = sides[0], sides[-1]
-    i, j = links(a, b, cosine)
-    if low == high:
-        i, j = i[i < j], j[i < j]
-    first = np.ones(len(i), dtype=bool)
-    for start in range(0, len(i), 1 << 16):
-        cut = slice(start, start + (1 << 16))
-        first[cut] = ~(a_cells[i[cut], :table] == b_cells[j[cut], :table]).any(axis=1)
-    i, j = i[first], j[first]
-    if not len(i):
-        return empty
-    both = pd.concat(parts) if low != high else parts[0]
-    uid, weight = both["uid"].to_numpy(), both["weight"].to_numpy(dtype=np.float64)
-    j = j + (len(parts[0]) if low != high else 0)
-    n = np.bincount(i, weight[j], len(uid)) + np.bincount(j, weight[i], len(uid))
-    root = forest(len(uid), i, j)
-    linked = np.flatnonzero(n)
-    return pd.DataFrame({"uid": uid[linked], "other": uid[root[linked]], "n": n[linked].astype(np.int64)})
+def check_buckets(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links inside the buckets of a table: per vector the number of links found here, and a link to the root of
+    its tree in the bucket's spanning forest."""
+    frame = frame.sort_values(["bucket", "low", "high", "block", "uid"], kind="stable")
+    unit, cell = unit_rows(frame["embedding"]), np.array(frame["cells"].tolist(), dtype=np.int32)
+    uid, weight = frame["uid"].to_numpy(), frame["weight"].to_numpy(dtype=np.float64)
+    table, block = int(frame["table"].iloc[0]), frame["block"].to_numpy()
+    low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
+    group = frame[["bucket", "low", "high"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for start, end in zip(starts, np.r_[starts[1:], len(frame)]):
+        # two blocks meet, or one block meets itself
+        middle = start if low[start] == high[start] else start + int((block[start:end] == low[start]).sum())
+        i, j = links(unit[start:end] if middle == start else unit[start:middle], unit[middle:end], cosine)
+        j += middle - start
+        if middle == start:
+            i, j = i[i < j], j[i < j]
+        if table and len(i):
+            new = [
+                ~(cell[start + i[at : at + 65536], :table] == cell[start + j[at : at + 65536], :table]).any(axis=1)
+                for at in range(0, len(i), 65536)
+            ]
+            new = np.concatenate(new)
+            i, j = i[new], j[new]
+        if len(i):
+            size, w = end - start, weight[start:end]
+            n = np.bincount(i, w[j], size) + np.bincount(j, w[i], size)
+            linked = np.flatnonzero(n)
+            root = forest(size, i, j)[linked]
+            found.append(np.stack([uid[start + linked], uid[start + root], n[linked].astype(np.int64)]))
+    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["uid", "other", "n"])
 
 
 def near_vectors(
@@ -139,6 +145,7 @@ def near_vectors(
 
     met = classes.select("uid", "dim", F.posexplode("cells").alias("table", "bucket"))
     sizes = met.groupBy("dim", "table", "bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = written(sizes, "vector-buckets")
     met = met.join(sizes, ["dim", "table", "bucket"])
     blocks = F.expr(f"int((_n + {block - 1}) div {block})")
     met = met.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
@@ -148,10 +155,18 @@ def near_vectors(
     )
     met = met.join(classes.select("uid", "weight", "embedding", "cells"), "uid")
 
+    # many small buckets share a group, so that a group has about GROUP rows, whatever the number of rows
+    rows = sizes.agg(F.sum(F.col("_n") * blocks)).first()[0] or 0
+    part = F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(max(1, rows // (GROUP * tables))))
+
     def check(frame: pd.DataFrame) -> pd.DataFrame:
-        return check_block(frame, cosine)
+        return check_buckets(frame, cosine)
 
-    found = met.groupBy("dim", "table", "bucket", "low", "high").applyInPandas(check, "uid long, other long, n long")
+    found = (
+        met.withColumn("part", part)
+        .groupBy("dim", "table", "part")
+        .applyInPandas(check, "uid long, other long, n long")
+    )
     found = written(found, "vector-links")
     counts = found.groupBy("uid").agg(F.sum("n").alias("_links"))
     group = components(found.select(F.col("uid").alias("a"), F.col("other").alias("b")))
