@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import chat, mixing, packing, shards, token_counts, topk, vector_dedup
+from vigilframe.llm import chat, mixing, packing, pages, shards, token_counts, topk, toxicity, vector_dedup
 from vigilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     messages = rows.unionByName(spark.sql(HOSTILE)).withColumn("parts", chat.text_parts("text"))
     return chat.chat_digest(chat.format_chats(messages))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
