@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import chat, mixing, packing, pages, shards, token_counts, topk, toxicity, vector_dedup
+from vigilframe.llm import chat, mixing, packing, pages, shards, shingle_join, token_counts, topk, toxicity, vector_dedup
 from vigilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)[0]
