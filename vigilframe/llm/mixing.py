@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import group_key, hash_bucket, running, word_count, written
+from vigilframe.llm.common import BLANKS, group_key, hash_bucket, running, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -172,3 +172,20 @@ def mix(
     return placed.select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "spans", *(["_kept.*"] if keep else [])
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mixture itself: a row of ``docs`` per pass that takes words of it, its text cut to these words where
+    they are not all, ``n_chars`` (if there is one) the new length. Rows that give no word are gone."""
+    names = docs.columns
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "source", "text")
+    rows = mix(inner, keep=("row",), **options)
+    rows = rows.select("row", "size", "spans", F.explode(F.array_distinct(F.transform("spans", lambda s: s["pass"]))).alias("pass"))
+    own = F.array_sort(F.transform(F.filter("spans", lambda s: s["pass"] == F.col("pass")), lambda s: F.struct(s["start"], s["words"])))
+    words = F.filter(F.split("row.text", BLANKS), lambda w: w != "")
+    part = F.flatten(F.transform("own", lambda s: F.slice("words", (s["start"] + 1).cast("int"), s["words"].cast("int"))))
+    whole = F.aggregate("own", F.lit(0).cast("long"), lambda t, s: t + s["words"]) == F.col("size")
+    rows = rows.withColumn("own", own).withColumn("words", words)
+    rows = rows.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(F.array_join(part, " ")))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names])

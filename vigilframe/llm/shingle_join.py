@@ -345,3 +345,18 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[
         F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"),
     )
     return found, named
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but one document of each group (the smallest id); rows without id stay."""
+    found = similar_groups(docs, words, percent)[0]
+    found = written(found.select("doc_id", "component_id"), "shingle-groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    # ids with two texts are in two groups, or are there twice: only the latter loses a row
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    again = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)

@@ -265,27 +265,42 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Judge:
     return Judge(arcs, fit(np.array([r.readings for r in read]), y) if both else PRIOR)
 
 
-def readings(rows: DataFrame, arcs: dict[str, float]) -> DataFrame:
-    """Adds the array ``readings`` in place of ``text``."""
+def readings(rows: DataFrame, arcs: dict[str, float], text: str = "text") -> DataFrame:
+    """The array ``readings`` in place of the text column."""
     shared = rows.sparkSession.sparkContext.broadcast(arcs)  # MOST_ARCS at most
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Machine(shared.value)
         for frame in frames:
-            texts = frame.pop("text")
+            texts = frame.pop(text)
             yield frame.assign(readings=[machine.readings_of(t) for t in texts])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return rows.mapInPandas(batches, f"{kept}, readings array<double>")
 
 
 def score(docs: DataFrame, judge: Judge, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score (0 to 1) and predicted (0 or 1)."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    """``keep`` columns (under whatever names), then score (0 to 1) and predicted (0 or 1)."""
+    inner = [f"_{i}" for i in range(len(keep))]
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)], F.coalesce("text", F.lit("")).alias("_read")
+    )
     worth = F.array(*[F.lit(float(w)) for w in judge.weights])
     total = F.aggregate(F.zip_with("readings", worth, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = readings(rows, judge.arcs).withColumn("score", F.lit(1.0) / (1.0 + F.exp(-total)))
-    return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = readings(rows, judge.arcs, "_read").withColumn("_score", F.lit(1.0) / (1.0 + F.exp(-total)))
+    return scored.select(
+        *[F.col(i).alias(c) for c, i in zip(keep, inner)],
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns."""
+    scored = score(docs, train(docs.select("doc_id", "text"), labels), tuple(docs.columns))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = scored.toDF(*names, "_score", "_predicted").where("_predicted = 0")
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, judged: DataFrame | None = None) -> DataFrame:
