@@ -32,6 +32,8 @@ from vigilframe.llm.common import written
 
 #: Importance below which a node goes, weight of the children, different pages that a host must have.
 LOW, GAMMA, MIN_PAGES = 0.3, 0.9, 4
+#: Hosts whose lists are broadcast at most, and parts that a host is dealt into beyond that.
+BROADCAST_HOSTS, SALTS = 200_000, 64
 
 # fixed values: elements of HTML
 _BLOCK = frozenset(
@@ -290,13 +292,24 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     )
 
 
+def with_noise(blocks: DataFrame, noisy: DataFrame) -> DataFrame:
+    """Adds the unimportant nodes of each page's host. Texts move only where the hosts are too many to broadcast;
+    then a host's list is copied to SALTS parts, as one host may have a third of all pages."""
+    if noisy.count() <= BROADCAST_HOSTS:
+        return blocks.join(F.broadcast(noisy), "host", "left")
+    salted = noisy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return blocks.withColumn("_salt", F.pmod(F.xxhash64("page_id", "content"), F.lit(SALTS)).cast("int")).join(
+        salted, ["host", "_salt"], "left"
+    )
+
+
 def main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, and blocks_removed (how many blocks entropy took away)."""
     blocks = parsed(pages)
     noisy = style_tree(blocks).where((F.col("importance") < low) & (F.col("pages") >= min_pages))
     # a host has few style nodes: those of its templates
-    noisy = noisy.groupBy("host").agg(F.collect_set("node").alias("_noisy"))
-    rows = blocks.join(noisy, "host", "left").withColumn("_noisy", F.coalesce("_noisy", F.array().cast("array<bigint>")))
+    noisy = written(noisy.groupBy("host").agg(F.collect_set("node").alias("_noisy")), "page-noise")
+    rows = with_noise(blocks, noisy).withColumn("_noisy", F.coalesce("_noisy", F.array().cast("array<bigint>")))
     article = F.filter("blocks", lambda b: b["keep"])
     left = F.filter("_article", lambda b: b["fixed"] | ~F.array_contains("_noisy", b["node"]))
     text = F.array_join(F.transform("_left", lambda b: b["text"]), "\n")
