@@ -16,7 +16,7 @@ Lists of any length are dealt into blocks that meet in pairs.
 Defined cases: A-Z are lower-cased and words end at space and the controls 9 to 13; a text with fewer words than a
 shingle is one shingle; null texts and texts without words have the empty set, no links and a component of
 their own; repeated rows are members of a class; rows that share an id share a component; an empty table gives an empty
-table. Texts are compared whole, whatever their length.
+table; a row without id has no component but that of its copies. Texts are compared whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, marks, words
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles, component_id and class_id per row of ``docs``, and the verified
     links (a, b) between class ids that hold the components together."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = docs.select("doc_id", "text")
     for salt in range(0, 100, 10):
         sets = sets_of(docs, words, percent, salt)
         classes = sets.where("n > 0").groupBy("sid").agg(
