@@ -7,11 +7,12 @@ prefixes tell; any marking would be right) and differ in the hash that orders th
 inverted index; its pairs must fit in length and in a parity sketch that never overstates how much two sets
 differ; the prefixes under the other orders are intersected before the sets themselves are compared.
 
-Only pairs between different components are of interest, as the result is classes and components. Each round takes
-of every member of an index list the nearest partner of another component, verifies these pairs and merges
-components; pairs that failed are not taken again. After a few rounds all pairs that are left are verified, so
-no link between components is lost, while a large group of near copies costs rows in its size, not its square.
-Lists of any length are dealt into blocks that meet in pairs.
+Only pairs between different components are of interest, as the result is classes and components. A list takes all
+its pairs if they are no more than FEW times its members; else every member names its nearest partner of
+another component, and the list has another round when the verified pairs have merged components; pairs
+that failed are not taken again. The rounds end when no list has held pairs back, so no link between components
+is lost, while a large group of near copies costs rows in its size, not its square. Lists of any length are
+dealt into blocks that meet in pairs.
 
 Defined cases: A-Z are lower-cased and words end at space and the controls 9 to 13; a text with fewer words than a
 shingle is one shingle; null texts and texts without words have the empty set, no links and a component of
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from vigilframe.llm.common import components, written
 
-ORDERS, SKETCH_BITS, FREQUENT, BLOCK, GROUP, ROUNDS = 3, 1024, 4, 512, 1024, 4
+ORDERS, SKETCH_BITS, FREQUENT, BLOCK, GROUP, FEW = 3, 1024, 4, 512, 1024, 4
 #: Bits that mark frequent tokens: 16 a token, between these powers of two.
 LEAST_MARKS, MOST_MARKS = 16, 30
+#: Rows that a worker holds ready before it hands them on.
+HELD = 512
 #: Ids of texts that are wanted are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 REMEMBERED = 500_000
@@ -111,14 +114,14 @@ def sets_of(docs: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
         shingles = Shingles(words, salt)
         low = np.uint64((1 << MOST_MARKS) - 1)
         for frame in frames:
-            rows = []
-            for text in frame.pop("text"):
-                grams = shingles.of(text)
-                first = grams[: prefix_length(len(grams), percent)]
-                rows.append((*shingles.key(grams), len(grams), (first & low).astype(np.int32)))
-            yield pd.concat(
-                [frame.reset_index(drop=True), pd.DataFrame(rows, columns=["sid", "check", "n", "slots"])], axis=1
-            )
+            for at in range(0, len(frame), HELD):
+                part, rows = frame.iloc[at : at + HELD], []
+                for text in part["text"]:
+                    grams = shingles.of(text)
+                    first = grams[: prefix_length(len(grams), percent)]
+                    rows.append((*shingles.key(grams), len(grams), (first & low).astype(np.int32)))
+                found = pd.DataFrame(rows, columns=["sid", "check", "n", "slots"], index=part.index)
+                yield pd.concat([part[["doc_id"]], found], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -156,6 +159,9 @@ def features_of(docs: DataFrame, classes: DataFrame, marks, words: int, percent:
                     seen.add((sid, key))
                     first = prefix(grams, marked(grams, table), prefix_length(len(grams), percent), 0)
                     rows.append((key, sid, len(grams), sketch(grams), first.view(np.int64)))
+                if len(rows) >= HELD:
+                    yield pd.DataFrame(rows, columns=["doc_id", "sid", "n", "sketch", "prefix"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["doc_id", "sid", "n", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -178,11 +184,9 @@ def index_lists(features: DataFrame) -> DataFrame:
     return written(rows.join(lists.select("token", "length"), "token"), "shingle-lists")
 
 
-def near_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
-    """Pairs of different components that may be similar enough, in the lists (or meeting blocks) given here.
-
-    Unless all are wanted, each member names its nearest partner only.
-    """
+def near_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of different components that may be similar enough, in the lists (or meeting blocks) given here;
+    a pair of a class with itself says that a list has held pairs back."""
     frame = frame.sort_values(["token", "low", "high", "block", "sid"], kind="stable")
     sid, n, component = (frame[c].to_numpy() for c in ("sid", "n", "component"))
     bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
@@ -216,7 +220,8 @@ def near_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
             if failed[i[at]] is not None and int(sid[j[at]]) in failed[i[at]]:
                 apart[at] = -1
         i, j, apart = i[apart >= 0], j[apart >= 0], apart[apart >= 0]
-        if not every and len(i) > 1:
+        if len(i) > FEW * (end - start):
+            found.append(np.full((2, 1), sid[start]))
             one, other = np.r_[i, j], np.r_[j, i]
             order = np.lexsort((sid[other], np.r_[apart, apart], one))
             one, other = one[order], other[order]
@@ -226,8 +231,10 @@ def near_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.concatenate(found, axis=1), axis=1).T, columns=["a", "b"])
 
 
-def candidates(lists: DataFrame, features: DataFrame, member: DataFrame | None, failed: DataFrame | None, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs (a, b) of one round; written."""
+def candidates(
+    lists: DataFrame, features: DataFrame, member: DataFrame | None, failed: DataFrame | None, percent: int
+) -> DataFrame:
+    """Distinct pairs (a, b) of one round, see ``near_pairs``; written."""
     rows = lists
     if member is None:
         rows = rows.withColumn("component", F.col("sid"))
@@ -254,7 +261,7 @@ def candidates(lists: DataFrame, features: DataFrame, member: DataFrame | None,
     part = F.pmod(F.xxhash64("token", "low", "high"), F.lit(max(1, count // GROUP)))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        return near_pairs(frame, percent, every)
+        return near_pairs(frame, percent)
 
     pairs = rows.withColumn("part", part).groupBy("part").applyInPandas(meet, "a long, b long")
     return written(pairs.distinct(), "shingle-pairs")
@@ -313,9 +320,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[
     features = features_of(docs, classes, marks, words, percent, salt)
     lists = index_lists(features)
     member = failed = links = None
-    done = 0
-    while True:
-        pairs = candidates(lists, features, member, failed, percent, done >= ROUNDS)
+    more = True
+    while more:
+        pairs = candidates(lists, features, member, failed, percent)
+        more = not pairs.where("a = b").isEmpty()
+        pairs = pairs.where("a <> b")
         if pairs.isEmpty():
             break
         checked = verified(pairs, docs, classes, marks, words, percent, salt)
@@ -323,9 +332,6 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[
         links = good if links is None else links.unionByName(good)
         failed = bad if failed is None else failed.unionByName(bad)
         member = components(links)
-        if done >= ROUNDS:  # all that was left has been looked at
-            break
-        done += 1
     grouped = classes.select("sid", F.col("doc_id").alias("class_id"))
     if member is None:
         grouped = grouped.withColumn("component_id", F.col("class_id"))
