@@ -145,7 +145,7 @@ def frequent_marks(sets: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def features_of(docs: DataFrame, classes: DataFrame, marks, words: int, percent: int, salt: int) -> DataFrame:
+def features_of(docs: DataFrame, marks, words: int, percent: int, salt: int) -> DataFrame:
     """sid, doc_id, n, sketch and prefix of one text of each class; written."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,14 +167,15 @@ def features_of(docs: DataFrame, classes: DataFrame, marks, words: int, percent:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = rows.mapInPandas(batches, f"doc_id {kind}, sid long, n long, sketch binary, prefix array<long>")
-    # a class is stood for by its smallest id; a repeated row of that id may come twice
-    first = classes.select("sid", "doc_id")
-    return written(found.join(first, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"]), "shingle-features")
+    # a class is stood for by its smallest id
+    first = F.min_by(F.struct("doc_id", "n", "sketch", "prefix"), "doc_id")
+    return written(found.groupBy("sid").agg(first.alias("_f")).select("sid", "_f.*").where("n > 0"), "shingle-features")
 
 
 def index_lists(features: DataFrame) -> DataFrame:
     """token, sid, length: lists of classes that share a prefix token, each set of classes once; written."""
-    rows = features.select("sid", F.explode("prefix").alias("token"))
+    # dealt by token once, for the counts and for the join
+    rows = features.select("sid", F.explode("prefix").alias("token")).repartition("token")
     lists = rows.groupBy("token").agg(
         F.count("*").alias("length"),
         F.bit_xor(F.xxhash64("sid")).alias("_x"),
@@ -186,7 +187,7 @@ def index_lists(features: DataFrame) -> DataFrame:
 
 def near_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of different components that may be similar enough, in the lists (or meeting blocks) given here;
-    a pair of a class with itself says that a list has held pairs back."""
+    a pair of a token with itself says that its list has held pairs back."""
     frame = frame.sort_values(["token", "low", "high", "block", "sid"], kind="stable")
     sid, n, component = (frame[c].to_numpy() for c in ("sid", "n", "component"))
     bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
@@ -221,7 +222,7 @@ def near_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 apart[at] = -1
         i, j, apart = i[apart >= 0], j[apart >= 0], apart[apart >= 0]
         if len(i) > FEW * (end - start):
-            found.append(np.full((2, 1), sid[start]))
+            found.append(np.full((2, 1), group[start, 0]))
             one, other = np.r_[i, j], np.r_[j, i]
             order = np.lexsort((sid[other], np.r_[apart, apart], one))
             one, other = one[order], other[order]
@@ -317,13 +318,14 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[
         if classes.where("_l <> _h").isEmpty():  # no two sets have the same number
             break
     marks = docs.sparkSession.sparkContext.broadcast(frequent_marks(sets))
-    features = features_of(docs, classes, marks, words, percent, salt)
+    features = features_of(docs, marks, words, percent, salt)
     lists = index_lists(features)
     member = failed = links = None
     more = True
     while more:
         pairs = candidates(lists, features, member, failed, percent)
-        more = not pairs.where("a = b").isEmpty()
+        held = pairs.where("a = b").select(F.col("a").alias("token"))
+        more = not held.isEmpty()
         pairs = pairs.where("a <> b")
         if pairs.isEmpty():
             break
@@ -331,6 +333,9 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[
         good, bad = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
         links = good if links is None else links.unionByName(good)
         failed = bad if failed is None else failed.unionByName(bad)
+        if more:
+            # the other lists have had all their pairs looked at
+            lists = written(lists.join(held, "token", "left_semi"), "shingle-lists")
         member = components(links)
     grouped = classes.select("sid", F.col("doc_id").alias("class_id"))
     if member is None:
