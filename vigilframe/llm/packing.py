@@ -25,6 +25,8 @@ from vigilframe.llm.common import written
 WINDOW, END = 2048, 1
 #: Characters that are tokenized at a time.
 CHUNK = 1 << 20
+#: Pieces that a worker holds ready before it hands them on.
+HELD = 512
 
 
 class ByteTokenizer:
@@ -120,6 +122,9 @@ def cut_windows(tokens: DataFrame, window: int = WINDOW, key: str = "doc_id", wi
                     at = place + a
                     row = (k, a, b - a, zlib.crc32(piece.tobytes()), n, at // window, at % window)
                     out.append((*row, piece.astype(np.int32)) if with_ids else row)
+                if len(out) >= HELD:
+                    yield pd.DataFrame(out, columns=names).astype({"_key": frame["_key"].dtype})
+                    out = []
             yield pd.DataFrame(out, columns=names).astype({"_key": frame["_key"].dtype})
 
     names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
