@@ -10,6 +10,7 @@ from vigilframe.session import cut, fresh_path
 #: A word is a run of anything but these: space and the ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 BUCKET_BITS = 10
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def map_texts(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` on rows with texts: batches are bounded by bytes, as some texts are very long."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows.mapInPandas(function, schema)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text; null and empty texts have none."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import written
+from vigilframe.llm.common import map_texts, written
 
 WINDOW, END = 2048, 1
 #: Characters that are tokenized at a time.
@@ -96,7 +96,7 @@ def tokenized(
     rows = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     schema = f"part int, before long, _key {kind}, n long, wide boolean, ids binary"
-    return written(rows.mapInPandas(batches, schema), "tokens")
+    return written(map_texts(rows, batches, schema), "tokens")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def cut_windows(tokens: DataFrame, window: int = WINDOW, key: str = "doc_id", wi
     schema = f"_key {kind}, " + ", ".join(f"{c} long" for c in names[1:7]) + (", ids array<int>" if with_ids else "")
     # one row of 12 bytes per partition of pass one
     placed = tokens.join(F.broadcast(offsets(tokens)), "part").select("_key", "first", "before", "n", "wide", "ids")
-    return placed.mapInPandas(batches, schema).withColumnRenamed("_key", key)
+    return map_texts(placed, batches, schema).withColumnRenamed("_key", key)
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, **options) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import written
+from vigilframe.llm.common import map_texts, written
 
 #: Importance below which a node goes, weight of the children, different pages that a host must have.
 LOW, GAMMA, MIN_PAGES = 0.3, 0.9, 4
@@ -263,7 +263,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("_html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     return written(
-        rows.mapInPandas(batches, f"page_id {kind}, url string, host string, content long, blocks {_BLOCKS}"), "page-blocks"
+        map_texts(rows, batches, f"page_id {kind}, url string, host string, content long, blocks {_BLOCKS}"), "page-blocks"
     )
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import components, written
+from vigilframe.llm.common import components, map_texts, written
 
 ORDERS, SKETCH_BITS, FREQUENT, BLOCK, GROUP, FEW = 3, 1024, 4, 512, 1024, 4
 #: Bits that mark frequent tokens: 16 a token, between these powers of two.
@@ -125,7 +125,7 @@ def sets_of(docs: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return written(rows.mapInPandas(batches, f"doc_id {kind}, sid long, check long, n long, slots array<int>"), "sets")
+    return written(map_texts(rows, batches, f"doc_id {kind}, sid long, check long, n long, slots array<int>"), "sets")
 
 
 def frequent_marks(sets: DataFrame) -> np.ndarray:
@@ -166,7 +166,7 @@ def features_of(docs: DataFrame, marks, words: int, percent: int, salt: int) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInPandas(batches, f"doc_id {kind}, sid long, n long, sketch binary, prefix array<long>")
+    found = map_texts(rows, batches, f"doc_id {kind}, sid long, n long, sketch binary, prefix array<long>")
     # a class is stood for by its smallest id
     first = F.min_by(F.struct("doc_id", "n", "sketch", "prefix"), "doc_id")
     return written(found.groupBy("sid").agg(first.alias("_f")).select("sid", "_f.*").where("n > 0"), "shingle-features")
@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, marks, words
 
     both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("left")), "a")
     both = both.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("right")), "b")
-    checked = both.select("a", "b", "left", "right").mapInPandas(batches, "a long, b long, linked boolean")
+    checked = map_texts(both.select("a", "b", "left", "right"), batches, "a long, b long, linked boolean")
     checked = checked.where("linked is not null").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
     return written(checked, "shingle-links")
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.llm.common import map_texts
+
 LIMIT = 4096
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
@@ -189,7 +191,7 @@ def count_tokens(
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
     kind = rows.schema["_key"].dataType.simpleString()
-    counted = rows.mapInPandas(batches, f"_key {kind}, n_bytes long, n_tokens long")
+    counted = map_texts(rows, batches, f"_key {kind}, n_bytes long, n_tokens long")
     return counted.select(
         F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

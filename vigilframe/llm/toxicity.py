@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import written
+from vigilframe.llm.common import map_texts, written
 
 TRAIN_ROWS = 200_000
 HELD_OUT = 5
@@ -38,6 +38,8 @@ BEGINNINGS = range(3, 9)
 #: Learned weights start from these, so that a few labels can't turn a reading around.
 PRIOR, STIFFNESS = np.array([-3.0, 0.6, 0.4, 0.2, 0.1, 0.2, 0.3]), 1.0
 REMEMBERED = 300_000
+#: Rejected documents that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 # fixed values: function words of four languages
 THREATS = frozenset(
@@ -181,7 +183,7 @@ def learn_arcs(labelled: DataFrame) -> dict[str, float]:
         yield pd.DataFrame(list(counts.items()), columns=["feature", "n"])
 
     def documents_with(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-        parts = rows.select("text").mapInPandas(lambda frames: counted(frames, wanted), "feature string, n long")
+        parts = map_texts(rows.select("text"), lambda frames: counted(frames, wanted), "feature string, n long")
         return parts.groupBy("feature").agg(F.sum("n").alias("n"))
 
     sizes = dict(labelled.groupBy("toxic").count().collect())
@@ -276,7 +278,7 @@ def readings(rows: DataFrame, arcs: dict[str, float], text: str = "text") -> Dat
             yield frame.assign(readings=[machine.readings_of(t) for t in texts])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.mapInPandas(batches, f"{kept}, readings array<double>")
+    return map_texts(rows, batches, f"{kept}, readings array<double>")
 
 
 def score(docs: DataFrame, judge: Judge, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -297,10 +299,15 @@ def score(docs: DataFrame, judge: Judge, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    scored = score(docs, train(docs.select("doc_id", "text"), labels), tuple(docs.columns))
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    rows = scored.toDF(*names, "_score", "_predicted").where("_predicted = 0")
-    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", key.alias("_text"))
+    scored = score(rows, train(docs.select("doc_id", "text"), labels), ("doc_id", "_text"))
+    toxic = written(scored.where("predicted = 1").select("doc_id", "_text").distinct(), "toxic-documents")
+    toxic = toxic.select(F.col("doc_id").alias("_toxic_id"), "_text")
+    # texts move only where the rejected ones are too many to broadcast
+    toxic = F.broadcast(toxic) if toxic.count() <= BROADCAST_ROWS else toxic
+    same = docs["doc_id"].eqNullSafe(toxic["_toxic_id"]) & (key == toxic["_text"])
+    return docs.join(toxic, same, "left_anti")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, judged: DataFrame | None = None) -> DataFrame:
