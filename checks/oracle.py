@@ -259,13 +259,13 @@ def r(*names: str) -> str:
 
 LAST = """, attrs AS (
   SELECT attempt_id AS aid, max(received_us) AS timestamp_us, arg_max(event_type, arrival) AS latest_event_type,
-    arg_max(question_id, arrival) AS latest_question_id, arg_max(received_us, arrival) AS latest_event_us,
+    arg_max(question_id, arrival) AS latest_question_id, arg_max(t, arrival) AS latest_event_us,
     count(*) FILTER (event_type = 'exam_submitted') > 0 AS any_submit, any_value(candidate_name) AS candidate_name,
     any_value(candidate_email) AS candidate_email, any_value(assessment_name) AS assessment_name,
     any_value(expected_label) AS expected_label, any_value(is_edge_case) AS is_edge_case, any_value(profile) AS profile
   FROM ev GROUP BY attempt_id),
 att AS (
-  SELECT res.*, attrs.* EXCLUDE (aid), CASE WHEN any_submit OR latest_event_type = 'exam_submitted' THEN 'COMPLETED' ELSE 'ONGOING' END AS status
+  SELECT res.*, attrs.* EXCLUDE (aid), CASE WHEN has_submit_event OR latest_event_type = 'exam_submitted' THEN 'COMPLETED' ELSE 'ONGOING' END AS status
   FROM res JOIN attrs USING (aid))"""
 
 ISSUE = """CASE WHEN paste_count > 0 AND tab_hidden_count > 0 AND time_per_question_mean_s > 0 AND time_per_question_mean_s <= 20
@@ -308,6 +308,13 @@ TTL = """, seen AS (SELECT * EXCLUDE (gap), CAST(sum(CASE WHEN gap > 21600000000
 LATE = """, seen AS (SELECT * EXCLUDE (arrival), CASE WHEN k % 7 = 0 THEN arrival + 600 ELSE arrival END * 100 + k AS arrival, 0 AS session_id FROM ev)"""
 STREAMED = """, seen AS (SELECT ev.*, 0 AS session_id FROM ev JOIN raw USING (arrival)
   WHERE raw.event_type IS NOT NULL AND TRY_CAST(raw.occurred_at AS TIMESTAMPTZ) IS NOT NULL)"""
+# every arrival at its place: the batch, then the event time, unreadable times last
+PLACED = """, placed AS (
+  SELECT attempt_id, arrival, CASE WHEN received_at < '2024-01-16' THEN 0 ELSE 1 END AS half,
+    CASE WHEN TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NULL THEN 9000000000000000000 ELSE t END AS at,
+    event_type IS NOT NULL AND TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NOT NULL AS usable FROM raw)"""
+STAND_IN = """SELECT aid, CASE (paste_count * 3 + tab_hidden_count) % 3 WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'LOW' END AS ml_risk,
+  ((paste_count * 7 + tab_hidden_count * 11) % 50 + 50) / 100 AS ml_confidence FROM ft"""
 PROGRESS = """split_part(aid, '#', 1) AS attempt_id, CAST(split_part(aid, '#', 2) AS BIGINT) AS arrival, event_count, paste_count,
   tab_hidden_count, idle_spike_count, questions_seen, round(time_per_question_mean_s, 6) AS time_per_question_mean_s,
   round(attempt_duration_s, 6) AS attempt_duration_s, risk, round(confidence, 6) AS confidence,
@@ -480,11 +487,10 @@ ORACLE: dict[str, str] = {
     # sources
     "scan_attempt_batches": plain(
         """SELECT attempt_id, event_attempt_id, event_type, occurred_at, question_id, client_seq,
-             row_number() OVER (PARTITION BY attempt_id, arrival // 500 ORDER BY arrival) - 1 AS arrival FROM raw""", raw=True),
+             row_number() OVER (PARTITION BY attempt_id ORDER BY arrival) - 1 AS arrival FROM raw""", raw=True),
     "scan_raw_events": plain("SELECT attempt_id, event_type, occurred_at, state, arrival FROM raw", raw=True),
     "stream_events": plain(
-        """SELECT event_type, count(*) AS events, count(*) AS stamped FROM raw
-           WHERE occurred_at IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type""", raw=True),
+        "SELECT event_type, count(*) AS events, count(*) AS stamped FROM raw GROUP BY event_type", raw=True),
     "scan_score_log": sql(
         f"""SELECT aid AS attempt_id, risk, paste_count, questions_seen, round(s2, 6) AS tab_score FROM res
             JOIN (SELECT attempt_id AS aid, arg_max(k, arrival) AS last_k FROM ev GROUP BY ALL) USING (aid) WHERE last_k NOT IN (5, 7)"""),
@@ -493,9 +499,9 @@ ORACLE: dict[str, str] = {
               {r('confidence_score', 'combined_score')} FROM res
             JOIN (SELECT attempt_id AS aid, arg_max(k, arrival) AS last_k FROM ev GROUP BY ALL) USING (aid) WHERE last_k NOT IN (5, 7)"""),
     "scan_labelled_attempts": plain(
-        """SELECT attempt_id || '/' || CAST(arrival // 500 AS VARCHAR) AS attempt_id, any_value(expected_label) AS expected_label,
+        """SELECT attempt_id, any_value(expected_label) AS expected_label,
              any_value(candidate_id) AS candidate_id, any_value(profile) AS profile, any_value(is_edge_case) AS is_edge_case,
-             CAST(count(*) AS INTEGER) AS n_events, arg_min(event_type, arrival) AS first_event_type FROM ev GROUP BY attempt_id, arrival // 500"""),
+             CAST(count(*) AS INTEGER) AS n_events, arg_min(event_type, arrival) AS first_event_type FROM ev GROUP BY attempt_id"""),
     "scan_training_csv": sql(
         f"""SELECT * REPLACE (CASE WHEN paste_count = 3 THEN 0.0 ELSE paste_count END AS paste_count)
             FROM (SELECT CAST({RANK.format(r='risk')} AS VARCHAR) AS risk, {TRAIN_MATRIX} FROM res)"""),
@@ -681,6 +687,8 @@ ORACLE: dict[str, str] = {
     "pattern_medium_tab_low_time": sql(PAT_C, extended=True),
     "pattern_medium_idle_fast": sql(PAT_D),
     "detect_patterns": sql(" UNION ALL ".join([PAT_A, PAT_B, PAT_C, PAT_D])),
+    "pattern_medium_tab_low_time_default": sql(PAT_C, extended=True, min_questions=10),
+    "pattern_medium_idle_fast_default": sql(PAT_D, min_questions=10),
     "pattern_summary": sql(
         f"SELECT aid AS attempt_id, pattern_count, {r('pattern_strength')}, found[1].n AS first_pattern, found[2].n AS second_pattern FROM res WHERE pattern_count > 0"),
     # windows
@@ -692,6 +700,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN k % 2 = 0 THEN event_type END AS event_type, state, question_id FROM ev))
            WHERE timestamp_us = newest GROUP BY attempt_id"""),
     "progressive_risk": prefixes(f"SELECT {PROGRESS} FROM res"),
+    "progressive_risk_with_predictions": f"WITH {EVENTS}{NO_TTL},{chain(PREFIX, predictions=STAND_IN)} SELECT {PROGRESS} FROM res",
     "progressive_risk_ttl": prefixes(
         f"SELECT session_id, {PROGRESS} FROM res JOIN (SELECT attempt_id || '#' || CAST(arrival AS VARCHAR) AS aid, session_id FROM seen) USING (aid)", seen=TTL),
     "progressive_risk_late": prefixes(f"SELECT {PROGRESS} FROM res", seen=LATE),
@@ -700,6 +709,9 @@ ORACLE: dict[str, str] = {
             WHERE previous_risk <> risk""", extra=HIST),
     "cache_sessions": f"WITH {EVENTS}{TTL} SELECT attempt_id, arrival, session_id FROM seen",
     "retain_latest_n": sql("SELECT aid AS attempt_id, risk, timestamp_us FROM att ORDER BY timestamp_us DESC, aid LIMIT 500", extra=LAST),
+    "retain_latest_clamped": plain(
+        """SELECT user AS attempt_id, arrival FROM (SELECT *, split_part(attempt_id, '-', 1) AS user FROM ev)
+           QUALIFY row_number() OVER (PARTITION BY user ORDER BY t DESC, seq DESC, arrival DESC) <= 100"""),
     "retain_latest_per_attempt": plain(
         "SELECT attempt_id, arrival FROM ev QUALIFY row_number() OVER (PARTITION BY attempt_id ORDER BY t DESC, seq DESC, arrival DESC) <= 5"),
     "top_signals": sql(
@@ -752,6 +764,7 @@ ORACLE: dict[str, str] = {
               ELSE 'This attempt currently appears normal. No strong suspicious behavioral pattern was detected.' END AS summary FROM res"""),
     "evidence_items": sql(_evidence()),
     "exam_status": sql("SELECT aid AS attempt_id, status FROM att", extra=LAST),
+    "exam_status_extended": sql("SELECT aid AS attempt_id, status FROM att", extra=LAST, extended=True),
     "latest_activity": sql(
         f"""SELECT aid AS attempt_id, coalesce(CASE WHEN event_count % 3 <> 0 THEN {label_of('latest_event_type', 'latest_question_id')} END,
               CASE WHEN event_count % 2 = 0 THEN explanation_text END, {ISSUE}) AS activity,
@@ -763,12 +776,27 @@ ORACLE: dict[str, str] = {
         "SELECT aid AS attempt_id, array_to_string(summary, '|') AS summary, array_to_string(reasons, '|') AS reasons FROM res"),
     "explanation_text": sql("SELECT aid AS attempt_id, explanation_text FROM res", predictions=PREDICTIONS),
     # streaming and sessions
-    "stream_score_attempts": f"WITH {EVENTS}{RAW}{STREAMED},{chain(PREFIX)}{HIST} "
-    f"SELECT attempt_id, risk, round(confidence_score, 6) AS confidence, {SCORE}, reason FROM hist",
+    "stream_score_attempts": f"WITH {EVENTS}{RAW}{STREAMED},{chain(PREFIX)}{HIST}{PLACED} "
+    f"""SELECT attempt_id, risk, round(confidence_score, 6) AS confidence, {SCORE}, reason FROM (
+          SELECT attempt_id, risk, confidence_score, combined_score, reason FROM hist
+          UNION ALL
+          SELECT u.attempt_id, h.risk, h.confidence_score, h.combined_score, h.reason
+          FROM placed u JOIN (SELECT placed.*, hist.* EXCLUDE (attempt_id, arrival) FROM placed JOIN hist USING (attempt_id, arrival)) h
+            ON u.attempt_id = h.attempt_id AND (h.half, h.at) < (u.half, u.at)
+          WHERE NOT u.usable QUALIFY row_number() OVER (PARTITION BY u.arrival ORDER BY h.half DESC, h.at DESC) = 1)""",
+    "stream_current_risk": plain(
+        """SELECT attempt_id, count(*) AS event_count FROM raw GROUP BY 1
+           HAVING count(*) FILTER (event_type IS NOT NULL AND TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NOT NULL) > 0""", raw=True),
+    "stream_quarantine": plain(
+        """SELECT CASE WHEN arrival % 13 = 0 THEN 'Unreadable record' WHEN arrival % 11 = 0 THEN 'Missing attempt_id'
+               WHEN event_type IS NULL THEN 'Missing event_type' ELSE 'Unreadable time' END AS reason, count(*) AS n
+           FROM raw WHERE arrival % 13 = 0 OR arrival % 11 = 0 OR event_type IS NULL OR TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NULL GROUP BY 1""", raw=True),
     "stream_attempt_state": plain(
         """SELECT attempt_id, count(*) AS event_count, count(*) FILTER (event_type = 'clipboard' AND action = 'paste') AS paste_count,
              count(*) FILTER (event_type = 'visibility_change' AND state = 'hidden') AS tab_hidden_count,
-             count(*) FILTER (event_type = 'exam_submitted') AS submits FROM raw WHERE occurred_at IS NOT NULL AND event_type IS NOT NULL GROUP BY 1""", raw=True),
+             count(*) FILTER (event_type = 'exam_submitted') AS submits,
+             min(t) FILTER (TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NOT NULL) AS first_us,
+             max(t) FILTER (TRY_CAST(occurred_at AS TIMESTAMPTZ) IS NOT NULL) AS last_us FROM raw GROUP BY 1""", raw=True),
     "late_event_policy": f"""WITH {EVENTS}{LATE} SELECT attempt_id, arrival, round((newest - t) / 1000000, 6) AS late_by_s FROM (
         SELECT *, max(t) OVER (PARTITION BY attempt_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM seen)
         WHERE newest - t > 20000000""",
@@ -800,7 +828,17 @@ ORACLE: dict[str, str] = {
         "SELECT attempt_id, risk, " + ", ".join(
             f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, 6) AS {c}" for c in SERVE)
         + f" FROM (SELECT aid AS attempt_id, {RANK.format(r='risk')} AS risk, {TRAIN_MATRIX.replace(', 6)', ', 15)')} FROM res)"),
+    "save_model": sql("SELECT aid AS attempt_id, true AS same FROM res"),
+    "predict_in_plan": sql("SELECT aid AS attempt_id, true AS same FROM res"),
+    "predict_risk": sql("SELECT aid AS attempt_id, true AS known_label, true AS adds_up, true AS is_maximum FROM res"),
+    "train_risk_forest": sql("SELECT risk AS expected_label, n - CAST(round(n * 0.8) AS BIGINT) AS n FROM (SELECT risk, count(*) AS n FROM res GROUP BY 1)"),
+    "feature_importance": "SELECT unnest([" + ", ".join(f"'{c}'" for c in SERVE) + "]) AS feature, true AS adds_up, true AS is_share",
+    **{name: sql("""SELECT CAST(expected_label = 'MEDIUM' AS INTEGER) AS label, count(*) - CAST(round(count(*) * 0.75) AS BIGINT) AS n, true AS probabilities
+        FROM att WHERE expected_label <> 'HIGH' GROUP BY 1""", extra=LAST) for name in ("train_refine_logistic", "train_refine_forest")},
     "rebuild_refine_dataset": sql(
         f"SELECT aid AS attempt_id, expected_label AS label, {REFINE_MATRIX} FROM att WHERE expected_label <> 'HIGH'", extra=LAST),
     "refine_low_medium": _refine(),
 }
+ORACLE["write_eval_report_metrics"] = ORACLE["eval_metrics"]
+ORACLE["score_attempts_default"] = ORACLE["score_attempts"].replace("questions_seen >= 4", "questions_seen >= 10")
+ORACLE["score_attempts_with_model"] = ORACLE["score_attempts"].replace(chain(BASE), chain(BASE, predictions=STAND_IN))

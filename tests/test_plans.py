@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SMALL
-from vigilframe.catalog import QUERIES, RULES, log_rows
+from vigilframe.catalog import QUERIES, RULES, _stand_in, log_rows
 from vigilframe.config import HotKeys
 from vigilframe.operators import reports
+from vigilframe.operators.features import attempt_features
+from vigilframe.operators.history import newest_per_attempt
+from vigilframe.operators.patterns import detect_patterns
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import score_attempts
 from vigilframe.sources.fixture import attempt_events
@@ -42,6 +45,21 @@ def test_progressive_in_order_needs_one_exchange(spark):
     assert exchanges(plan) == 1 and "Python" not in plan
 
 
+def test_every_attempt_operator_needs_one_scan_and_one_exchange(spark):
+    events = lambda: attempt_events(spark, SMALL)
+    frames = {
+        "extended": attempt_features(events(), RULES, extended=True, limits=WITHOUT_CHECK),
+        "sequences": attempt_features(events(), RULES, sequences=True, limits=WITHOUT_CHECK),
+        "patterns": detect_patterns(events(), RULES, limits=WITHOUT_CHECK),
+        "extended patterns": detect_patterns(events(), RULES, extended=True, limits=WITHOUT_CHECK),
+        "newest": newest_per_attempt(events(), 5, WITHOUT_CHECK),
+        "model": score_attempts(events(), patterns=RULES, limits=WITHOUT_CHECK, predict=_stand_in),
+    }
+    for name, rows in frames.items():
+        plan = plan_of(rows)
+        assert (exchanges(plan), plan.count("FileScan")) == (1, 1), name
+
+
 def test_unused_windows_are_pruned(spark):
     plan = plan_of(QUERIES["f_paste_count"](spark, SMALL))
     assert "Window" not in plan

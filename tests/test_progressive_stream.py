@@ -1,6 +1,7 @@
 """Event prefixes against brute force, and the stream against the batch."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from vigilframe.catalog import RULES, delayed_arrival
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import score_attempts
 from vigilframe.session import fresh_path
+from vigilframe.sinks import writers
 from vigilframe.sources import streams
 from vigilframe.sources.fixture import attempt_events, iso_time
 from vigilframe.streaming import ingest
@@ -125,10 +127,46 @@ def test_native_state_counts(spark, job):
     events, _paths = job
     source, target = fresh_path(spark, "t_state_in"), fresh_path(spark, "t_state_out")
     ingest_rows(events).drop("arrival", "t_us").write.json(source)
-    state = ingest.stream_attempt_state(streams.stream_events(spark, source))
+    state = ingest.stream_attempt_state(streams.stream_events(spark, source), 3600.0)
     assert state.isStreaming
     q = (state.writeStream.outputMode("complete").option("checkpointLocation", fresh_path(spark, "t_state_cp"))
          .trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(target)).start())
     q.awaitTermination()
     counts = events.groupBy("attempt_id").agg(F.count("*").alias("event_count"))
     assert same(counts, spark.read.parquet(target).select("attempt_id", "event_count"))
+
+
+def test_a_batch_of_bad_events_only_stops_nothing(spark):
+    """Rows that cannot be scored are kept, counted and quarantined; a state comes with the first good event."""
+    schema = "attempt_id string, candidate_id string, candidate_name string, candidate_email string, assessment_id string, assessment_name string, event_type string, payload string, occurred_at string, received_at timestamp, _corrupt_record string"
+    at = lambda s: datetime(2024, 1, 1, 12, 0, s)
+    row = lambda attempt, kind, when, s, bad=None: (attempt, *[None] * 5, kind, "{}", when, at(s), bad)
+    batches = [
+        [row("a", None, "2024-01-01T12:00:00Z", 0), row("a", "blur", "never", 0), row(None, "blur", None, 0), row(None, None, None, 0, "{broken")],
+        [row("a", "exam_started", "2024-01-01T12:00:05Z", 5)],
+        [row("a", "blur", "never", 9), row("b", None, None, 9)],
+        [row(None, "blur", "2024-01-01T12:00:05Z", 9)],
+    ]
+    paths = ingest.IngestPaths(fresh_path(spark, "t_bad"))
+    for n, rows in enumerate(batches):
+        ingest.score_batch(spark.createDataFrame(rows, schema), n, paths)
+    assert spark.read.parquet(paths.events).count() == 5
+    reasons = sorted(r.reason for r in spark.read.parquet(paths.quarantine).collect())
+    assert reasons == ["Missing attempt_id"] * 2 + ["Missing event_type"] * 2 + ["Unreadable record"] + ["Unreadable time"] * 2
+    assert spark.read.parquet(paths.history).count() == 2  # the good event, and the bad one after it
+    state = ingest.read_current_risk(spark, paths.state, 3).collect()
+    assert [(r.attempt_id, r.event_count, r.risk) for r in state] == [("a", 4, "LOW")]
+
+
+def test_old_states_are_removed(spark):
+    path = fresh_path(spark, "t_states")
+    rows = spark.createDataFrame([("a", 1)], "attempt_id string, updated_at int")
+    for n in range(5):
+        writers.upsert_current_risk(rows, path, n)
+    writers.drop_old_states(spark, path, 3)
+    assert ingest.read_current_risk(spark, path, 2) is None and ingest.read_current_risk(spark, path, 3) is not None
+
+
+def test_receipts_behind_the_watermark_are_found(spark):
+    rows = spark.createDataFrame([(datetime(2024, 1, 1, 10),), (datetime(2024, 1, 1, 12),)], "received_at timestamp")
+    assert ingest.late_receipts(rows, datetime(2024, 1, 1, 12), 3600.0).count() == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilframe.config import PatternRules
@@ -73,10 +74,9 @@ def attempt_rows(spark, sf_dir) -> DataFrame:
             "timestamp_us": F.max("received_us"),
             "latest_event_type": last("event_type"),
             "latest_question_id": last("question_id"),
-            "latest_event_us": last("received_us"),
-            "any_submit": F.coalesce(F.bool_or("is_submit"), F.lit(False)),
+            "latest_event_us": last("t_us"),
         },
-    ).withColumn("status", review.exam_status(F.col("any_submit"), F.col("latest_event_type")))
+    ).withColumn("status", review.exam_status(F.col("has_submit_event"), F.col("latest_event_type")))
 
 
 def log_rows(spark, sf_dir) -> DataFrame:
@@ -118,17 +118,17 @@ def _(spark, sf_dir):
     raw = fixture.raw_events(spark, sf_dir)
     event = F.struct("event_type", "occurred_at", F.from_json("payload", "map<string,string>").alias("payload"),
                      F.col("event_attempt_id").alias("attempt_id"), "client_seq")
-    # a batch is what arrived for an attempt in a block of 500 arrivals, so its size is bounded
-    batches = raw.groupBy("attempt_id", F.expr("arrival div 500").alias("block")).agg(
+    batches = raw.groupBy("attempt_id").agg(
         F.array_sort(F.collect_list(F.struct("arrival", event.alias("e"))),
                      lambda a, b: (a["arrival"] - b["arrival"]).cast("int")).alias("events")
     ).withColumn("events", F.col("events.e"))
     path = fresh_path(spark, "attempt_batches")
     batches.select("attempt_id", "events").write.json(path)
+    order = F.row_number().over(W.partitionBy("attempt_id").orderBy("arrival")) - 1
     return readers.scan_attempt_batches(spark, path).select(
         "attempt_id", "event_attempt_id", "event_type", "occurred_at",
         F.get_json_object("payload", "$.question_id").alias("question_id"),
-        "client_seq", "arrival")
+        "client_seq", order.cast("long").alias("arrival"))
 
 
 @query("scan_raw_events")
@@ -142,15 +142,19 @@ def _(spark, sf_dir):
 FILES = 2
 
 
-def _ingest_json(spark, sf_dir) -> str:
+def _ingest_json(spark, sf_dir, broken: bool = False) -> str:
+    """All raw events as JSON lines; ``broken`` cuts some lines short and takes the attempt from others."""
     path = fresh_path(spark, "ingest")
-    rows = fixture.raw_events(spark, sf_dir).where("occurred_at IS NOT NULL AND event_type IS NOT NULL")
-    rows = rows.withColumn("payload", F.from_json("payload", "map<string,string>"))
+    rows = fixture.raw_events(spark, sf_dir).withColumn("payload", F.from_json("payload", "map<string,string>"))
+    value = F.to_json(F.struct(*[f.name for f in streams.INGEST_EVENT.fields]))
+    if broken:
+        rows = rows.withColumn("attempt_id", F.when(F.col("arrival") % 11 != 0, F.col("attempt_id")))
+        value = F.when(F.col("arrival") % 13 == 0, F.substring(value, 1, 30)).otherwise(value)
     # two writes, so that the files of the first half are older than those of the second
     half = F.col("received_at") < "2024-01-16"
     for part in (rows.where(half), rows.where(~half)):
-        (part.repartitionByRange(FILES, "arrival").sortWithinPartitions("arrival")
-             .select(*[f.name for f in streams.INGEST_EVENT.fields]).write.mode("append").json(path))
+        part.repartitionByRange(FILES, "arrival").sortWithinPartitions("arrival").select(
+            value.alias("value")).write.mode("append").text(path)
     return path
 
 
@@ -207,15 +211,13 @@ def _labelled_file(spark, sf_dir) -> str:
         F.struct("event_type", fixture.iso_time("t_us").alias("occurred_at"),
                  F.struct("action", "state", "question_id").alias("payload"),
                  F.col("client_seq").cast("string").alias("client_seq")).alias("event"))
-    # a record holds what arrived in a block of 500 arrivals, so its size is bounded
-    records = raw.groupBy("attempt_id", F.expr("arrival div 500").alias("block")).agg(
+    records = raw.groupBy("attempt_id").agg(
         F.first("expected_label").alias("expected_label"),
         F.struct(F.first("candidate_id").alias("candidate_id")).alias("candidate"),
         F.transform(F.array_sort(F.collect_list(F.struct("arrival", "event"))), lambda x: x["event"]).alias("events"),
         F.first("profile").alias("profile"), F.first("is_edge_case").alias("is_edge_case"))
     path = fresh_path(spark, "labelled")
-    records.select(F.concat(F.col("attempt_id"), F.lit("/"), F.col("block").cast("string")).alias("attempt_id"),
-                   "expected_label", "candidate", "events", "profile", "is_edge_case").write.json(path)
+    records.select("attempt_id", "expected_label", "candidate", "events", "profile", "is_edge_case").write.json(path)
     return path
 
 
@@ -304,6 +306,15 @@ def _(spark, sf_dir):
         "expected_label string, LOW long, MEDIUM long, HIGH long, total long").csv(f"{path}/confusion")
 
 
+@query("write_eval_report_metrics")
+def _(spark, sf_dir):
+    path = fresh_path(spark, "report")
+    both = cut(pairs(spark, sf_dir).select("attempt_id", "expected_label", "predicted_label"))
+    metrics = evaluate.eval_metrics(both)
+    writers.write_eval_report(metrics, evaluate.confusion_with_totals(both), path)
+    return spark.read.schema(metrics.schema).json(f"{path}/metrics")
+
+
 def _training_split(spark, sf_dir):
     rows = learning.clean_training_set(learning.train_features(scored(spark, sf_dir)))
     return learning.stratified_split(cut(rows), "risk", "attempt_id", 0.8, 42)
@@ -311,12 +322,18 @@ def _training_split(spark, sf_dir):
 
 @query("save_model")
 def _(spark, sf_dir):
-    train, test = _training_split(spark, sf_dir)
+    """Whether the reloaded model says the same of every attempt."""
+    train, _test = _training_split(spark, sf_dir)
     path = fresh_path(spark, "model")
-    learning.save_model(learning.train_risk_forest(train), path)
-    missing = learning.predict_risk(learning.load_model(path + "-absent"), test)
-    assert missing is None
-    return learning.predict_risk(learning.load_model(path), test).select("attempt_id", "ml_risk", "ml_confidence")
+    model = learning.train_risk_forest(train)
+    learning.save_model(model, path)
+    matrix = cut(learning.serve_features(scored(spark, sf_dir)))
+    assert learning.predict_risk(learning.load_model(path + "-absent"), matrix) is None
+    before = learning.predict_risk(model, matrix).select("attempt_id", "ml_risk", "ml_confidence")
+    after = learning.predict_risk(learning.load_model(path), matrix).select(
+        "attempt_id", F.col("ml_risk").alias("_risk"), F.col("ml_confidence").alias("_confidence"))
+    return before.join(after, "attempt_id").select(
+        "attempt_id", ((F.col("ml_risk") == F.col("_risk")) & (F.col("ml_confidence") == F.col("_confidence"))).alias("same"))
 
 
 # ---- normalisation and filters ---------------------------------------------------------------------
@@ -590,6 +607,19 @@ def _(spark, sf_dir):
     return scored(spark, sf_dir).select(*RESULT)
 
 
+def _stand_in(rows: DataFrame) -> DataFrame:
+    """In place of a trained model: predictions that SQL can repeat."""
+    kind = (F.col("paste_count") * 3 + F.col("tab_hidden_count")) % 3
+    return rows.withColumns({
+        "ml_risk": F.when(kind == 1, "MEDIUM").when(kind == 2, "HIGH").otherwise("LOW"),
+        "ml_confidence": ((F.col("paste_count") * 7 + F.col("tab_hidden_count") * 11) % 50 + 50) / 100})
+
+
+@query("score_attempts_with_model")
+def _(spark, sf_dir):
+    return scored(spark, sf_dir, predict=_stand_in).select(*RESULT)
+
+
 @query("score_attempts_extended")
 def _(spark, sf_dir):
     return scored(spark, sf_dir, extended=True).select(*RESULT)
@@ -697,6 +727,22 @@ def _(spark, sf_dir):
     return patterns.detect_patterns(events(spark, sf_dir), RULES)
 
 
+def _default_query(name: str, kind: str, extended: bool):
+    @query(name)
+    def _(spark, sf_dir):
+        found = patterns.detect_patterns(events(spark, sf_dir), PatternRules(), extended=extended)
+        return found.where(F.col("pattern_type") == kind)
+
+
+_default_query("pattern_medium_tab_low_time_default", patterns.MEDIUM_TAB, True)
+_default_query("pattern_medium_idle_fast_default", patterns.QUICK_LEAVE, False)
+
+
+@query("score_attempts_default")
+def _(spark, sf_dir):
+    return score.score_attempts(events(spark, sf_dir), patterns=PatternRules()).select(*RESULT)
+
+
 @query("pattern_summary")
 def _(spark, sf_dir):
     top = lambda i: F.try_element_at("top_patterns", F.lit(i))["pattern_type"]
@@ -726,6 +772,11 @@ def _(spark, sf_dir):
     return progressive.progressive_risk(events(spark, sf_dir), rules=RULES).select(*PROGRESS)
 
 
+@query("progressive_risk_with_predictions")
+def _(spark, sf_dir):
+    return progressive.progressive_risk(events(spark, sf_dir), rules=RULES, predict=_stand_in).select(*PROGRESS)
+
+
 @query("progressive_risk_ttl")
 def _(spark, sf_dir):
     return progressive.progressive_risk(events(spark, sf_dir), rules=RULES, ttl_s=history.TTL_S).select(
@@ -761,6 +812,13 @@ def _(spark, sf_dir):
         F.col("timestamp_us").desc(), F.col("attempt_id").asc())
 
 
+@query("retain_latest_clamped")
+def _(spark, sf_dir):
+    """A wish for 5 events per attempt, kept between the bounds of the operator."""
+    rows = events(spark, sf_dir).withColumn("attempt_id", F.split("attempt_id", "-")[0])
+    return history.retain_newest_per_attempt(rows, 5).select("attempt_id", "arrival")
+
+
 @query("retain_latest_per_attempt")
 def _(spark, sf_dir):
     return history.newest_per_attempt(events(spark, sf_dir), 5).select("attempt_id", "arrival")
@@ -890,6 +948,13 @@ def _(spark, sf_dir):
     return attempt_rows(spark, sf_dir).select("attempt_id", "status")
 
 
+@query("exam_status_extended")
+def _(spark, sf_dir):
+    """From the submissions themselves instead of the constant feature."""
+    rows = scored(spark, sf_dir, extended=True, extra={"latest_event_type": F.max_by("event_type", "arrival")})
+    return rows.select("attempt_id", review.exam_status(F.col("has_submit_event"), F.col("latest_event_type")).alias("status"))
+
+
 @query("latest_activity")
 def _(spark, sf_dir):
     rows = attempt_rows(spark, sf_dir).withColumn(
@@ -927,11 +992,32 @@ def _(spark, sf_dir):
     return spark.read.parquet(paths.history).select("attempt_id", "risk", "confidence", "combined_score", "reason")
 
 
+@query("stream_current_risk")
+def _(spark, sf_dir):
+    """The live state after the last batch; every stored event counts."""
+    paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=FILES)
+    ingest.stream_score_attempts(stream, paths, patterns=RULES, ttl_s=None).awaitTermination()
+    return writers.read_current_risk(spark, paths.state, 1).select("attempt_id", "event_count")
+
+
+@query("stream_quarantine")
+def _(spark, sf_dir):
+    """What the job could not score, from a stream with broken lines and rows without attempt."""
+    paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir, broken=True), max_files=FILES)
+    ingest.stream_score_attempts(stream, paths, patterns=RULES).awaitTermination()
+    return spark.read.parquet(paths.quarantine).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("stream_attempt_state")
 def _(spark, sf_dir):
     stream = streams.stream_events(spark, _ingest_json(spark, sf_dir))
     target, state = fresh_path(spark, "attempt_state"), fresh_path(spark, "attempt_state_progress")
-    rows = ingest.stream_attempt_state(stream).select("attempt_id", "event_count", "paste_count", "tab_hidden_count", "submits")
+    rows = ingest.stream_attempt_state(stream, late_s=3600.0).select(
+        "attempt_id", "event_count", "paste_count", "tab_hidden_count", "submits",
+        (F.unix_micros("first_event_at") - F.lit(fixture.EPOCH_US)).alias("first_us"),
+        (F.unix_micros("last_event_at") - F.lit(fixture.EPOCH_US)).alias("last_us"))
     q = (rows.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
          .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(target)).start())
     q.awaitTermination()
@@ -1002,26 +1088,46 @@ def _(spark, sf_dir):
 
 @query("train_risk_forest")
 def _(spark, sf_dir):
+    """The confusion cells of the test part add up to the size of each class."""
     train, test = _training_split(spark, sf_dir)
-    matrix = learning.predict_risk(learning.train_risk_forest(train), test)
+    predicted = learning.predict_risk(learning.train_risk_forest(train), test)
     known = test.select("attempt_id", F.element_at(F.array(*[F.lit(x) for x in learning.LABELS]), F.col("risk") + 1).alias("expected_label"))
-    return evaluate.classification_report(known.join(matrix, "attempt_id"), predicted="ml_risk")
+    both = known.join(predicted.withColumnRenamed("ml_risk", "predicted_label"), "attempt_id")
+    cells = evaluate.confusion_matrix(both)
+    return cells.select("expected_label", (F.col("LOW") + F.col("MEDIUM") + F.col("HIGH")).alias("n"))
 
 
 @query("feature_importance")
 def _(spark, sf_dir):
+    """Names in their order, with weights that are shares of one."""
     train, _test = _training_split(spark, sf_dir)
-    return learning.feature_importance(learning.train_risk_forest(train), spark)
+    rows = learning.feature_importance(learning.train_risk_forest(train), spark)
+    total = F.sum("importance").over(W.partitionBy(F.lit(0)))
+    return rows.select("feature", (F.abs(total - 1) < 1e-9).alias("adds_up"), F.col("importance").between(0, 1).alias("is_share"))
 
 
 @query("predict_risk")
 def _(spark, sf_dir):
+    """Of every attempt: a known label, probabilities that add up to one, and their maximum as confidence."""
+    train, _test = _training_split(spark, sf_dir)
+    predicted = learning.predict_risk(learning.train_risk_forest(train), learning.serve_features(scored(spark, sf_dir)))
+    p = F.map_values("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return predicted.select(
+        "attempt_id", F.col("ml_risk").isin(*learning.LABELS).alias("known_label"), (F.abs(total - 1) < 1e-9).alias("adds_up"),
+        (F.col("ml_confidence") == F.array_max(p)).alias("is_maximum"))
+
+
+@query("predict_in_plan")
+def _(spark, sf_dir):
+    """The model inside the scoring plan agrees with its predictions for the feature rows."""
     train, _test = _training_split(spark, sf_dir)
     model = learning.train_risk_forest(train)
-    rows = scored(spark, sf_dir)
-    predicted = learning.predict_risk(model, learning.serve_features(rows))
-    return predicted.select("attempt_id", "ml_risk", "ml_confidence",
-                            *[F.col("probabilities")[x].alias(f"p_{x.lower()}") for x in learning.LABELS])
+    rows = cut(scored(spark, sf_dir, predict=learning.predictor(model)).select(
+        "attempt_id", F.col("ml_risk").alias("_risk"), F.col("ml_confidence").alias("_confidence")))
+    apart = learning.predict_risk(model, learning.serve_features(scored(spark, sf_dir)))
+    return rows.join(apart, "attempt_id").select(
+        "attempt_id", ((F.col("ml_risk") == F.col("_risk")) & (F.col("ml_confidence") == F.col("_confidence"))).alias("same"))
 
 
 def _refine_split(spark, sf_dir):
@@ -1031,8 +1137,9 @@ def _refine_split(spark, sf_dir):
 
 
 def _refine_report(model, test):
-    p = learning.predict_medium(model, test)
-    return evaluate.binary_metrics(test.join(p, "attempt_id").withColumn("prediction", (F.col("p_medium") > 0.5).cast("int")))
+    """Predictions of the test part by label: how many, all of them probabilities."""
+    p = test.join(learning.predict_medium(model, test), "attempt_id")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.col("p_medium").between(0, 1)).alias("probabilities"))
 
 
 @query("train_refine_logistic")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilframe.config import HotKeys, PatternRules
@@ -215,52 +216,63 @@ def _sequence_features() -> dict[str, Column]:
     }
 
 
-def _entropy(t: Timeline) -> DataFrame:
-    """Entropy in bits of the event types of each attempt; counts first, so hot attempts are no issue."""
-    counts = t.rows.groupBy(*t.key, "event_type").agg(F.count("*").alias("_c"))
-    n, c = F.sum("_c"), F.col("_c")
-    return counts.groupBy(*t.key).agg(
-        F.greatest(F.log2(n) - F.sum(c * F.log2(c)) / n, F.lit(0.0)).alias("behavior_entropy_score")
+def _type_ranks(t: Timeline) -> Timeline:
+    """Number of each event among those of its type, for the entropy."""
+    return t.scan(Scan("_type_rank", "sum", F.lit(1).cast("long"), here=True), by=("event_type",))
+
+
+def _entropy() -> Column:
+    """Entropy in bits of the event types of an attempt.
+
+    That is log2 n - sum(c log2 c) / n over the counts c of the types; c log2 c is the sum of its steps
+    r log2 r - (r - 1) log2 (r - 1) over the numbers r of the events, so one pass over the rows will do.
+    """
+    n, rank = F.count("*"), F.col("_type_rank")
+    step = rank * F.log2(rank) - F.when(rank > 1, (rank - 1) * F.log2(rank - 1)).otherwise(0.0)
+    return F.greatest(F.log2(n) - F.sum(step) / n, F.lit(0.0))
+
+
+def _question_ranks(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rank of each question time in its attempt (from 0) and how many there are, for the quantile."""
+    known = F.when(F.col("question_us").isNotNull(), 1).otherwise(0).cast("long")
+    order = W.partitionBy(*key).orderBy("question_us", "arrival").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumns(
+        {
+            "_question_rank": F.coalesce(F.sum(known).over(order), F.lit(0)),
+            "_questions": F.count("question_us").over(W.partitionBy(*key)),
+        }
     )
 
 
-def _tenth_percentile(t: Timeline) -> DataFrame:
-    """Interpolated 10 % quantile of the question times."""
-    name = "time_per_question_p10_s"
-    if not t.sliced:
-        return t.rows.groupBy(*t.key).agg(
-            F.coalesce(F.percentile("question_us", F.lit(0.1)) / SECOND, F.lit(0.0)).alias(name)
-        )
-    # exact also for hot attempts: global rank by counting per value, then pick the two neighbours
+def _tenth_percentile() -> Column:
+    """Interpolated 10 % quantile of the question times: the two values beside its place."""
+    spot = (F.col("_questions") - 1) * 0.1
+    asked = F.col("question_us").isNotNull()
+    low = F.max(F.when(asked & (F.col("_question_rank") == F.floor(spot)), F.col("question_us")))
+    high = F.max(F.when(asked & (F.col("_question_rank") == F.ceil(spot)), F.col("question_us")))
+    share = F.max(spot - F.floor(spot))
+    return F.coalesce((low + (high - low) * share) / SECOND, F.lit(0.0))
+
+
+def _tenth_of_hot(t: Timeline) -> DataFrame:
+    """The same quantile where attempts are sliced by time: question times get slices of their own."""
     values = t.rows.where("question_us IS NOT NULL").select(*t.key, "question_us", "arrival")
-    total = values.groupBy(*t.key).agg(F.count("*").alias("_n"))
-    side = F.broadcast(total) if t.small else total
-    spot = (F.col("_n") - 1) * 0.1
+    total = values.groupBy(*t.key).agg(F.count("*").alias("_questions"))
     ranked = on_timelines(
         values,
         lambda v: v.scan(
-            Scan("_rank", "sum", F.lit(1).cast("long")), order=("question_us", "arrival")
+            Scan("_question_rank", "sum", F.lit(1).cast("long")), order=("question_us", "arrival")
         ).rows,
         key=t.key,
         limits=HotKeys(hot_rows=0),
         order=("question_us", "arrival"),
-    )
-    share = spot - F.floor(spot)
-    low = F.max(F.when(F.col("_rank") == F.floor(spot), F.col("question_us")))
-    high = F.max(F.when(F.col("_rank") == F.ceil(spot), F.col("question_us")))
-    picked = (
-        ranked.join(side, list(t.key))
-        .where((F.col("_rank") == F.floor(spot)) | (F.col("_rank") == F.ceil(spot)))
-        .groupBy(*t.key)
-        .agg(low.alias("_low"), high.alias("_high"), F.max(share).alias("_share"))
-    )
+    ).join(F.broadcast(total) if t.small else total, list(t.key))
+    picked = ranked.groupBy(*t.key).agg(_tenth_percentile().alias(TENTH))
     every = t.rows.select(*t.key).distinct()
-    return every.join(picked, list(t.key), "left").select(
-        *t.key,
-        F.coalesce((F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")) / SECOND, F.lit(0.0)).alias(name),
-    )
+    return every.join(picked, list(t.key), "left").withColumn(TENTH, F.coalesce(TENTH, F.lit(0.0)))
 
 
+TENTH = "time_per_question_p10_s"
 FEATURE_COLUMNS = (
     "paste_count",
     "tab_hidden_count",
@@ -302,18 +314,17 @@ def aggregate(
     columns = {**_base_features(extended), **_pattern_features(), **(extra or {})}
     if extended:
         columns.update(_ratio_features())
+        if not marked.sliced:
+            marked = marked.map(lambda rows: _question_ranks(rows, marked.key))
+            columns[TENTH] = _tenth_percentile()
     if sequences:
-        marked = marked.map(lambda rows: rows.withColumns(sequence_columns()))
-        columns.update(_sequence_features())
+        marked = _type_ranks(marked.map(lambda rows: rows.withColumns(sequence_columns())))
+        columns.update(_sequence_features(), behavior_entropy_score=_entropy())
     for name in passthrough:
         at = F.when(F.col(name).isNotNull(), F.struct(*ORDER))
         columns[name] = F.min_by(name, at)
     out = marked.rows.groupBy(*marked.key).agg(*[c.alias(n) for n, c in columns.items()])
-    if extended:
-        out = out.join(_tenth_percentile(marked), list(marked.key))
-    if sequences:
-        out = out.join(_entropy(marked), list(marked.key))
-    return out
+    return out.join(_tenth_of_hot(marked), list(marked.key)) if extended and marked.sliced else out
 
 
 def attempt_features(

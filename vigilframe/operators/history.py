@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilframe.config import HotKeys
@@ -87,6 +88,9 @@ def retain_newest_per_attempt(events: DataFrame, n: int = 5000, limits: HotKeys
 
 def newest_per_attempt(events: DataFrame, n: int, limits: HotKeys = HotKeys()) -> DataFrame:
     def step(t: Timeline) -> DataFrame:
+        if not t.sliced:
+            newest = W.partitionBy("attempt_id").orderBy(*[F.col(c).desc() for c in ORDER])
+            return t.rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
         totals = t.rows.groupBy("attempt_id").agg(F.count("*").alias("_all"))
         ranked = t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=ORDER).attach(totals)
         return ranked.rows.where(F.col("_rank") > F.col("_all") - n).drop("_rank", "_all")

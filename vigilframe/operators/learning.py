@@ -54,6 +54,7 @@ REFINE_COLUMNS = (
     "fast_tab",
     *SEQUENCE_COLUMNS,
 )
+MOST_DEPTH = 30  # of MLlib's trees
 LEAK_COLUMNS = ("timing_score", "tab_score", "clipboard_score")
 
 
@@ -243,10 +244,10 @@ def train_refine_forest(
     columns: Sequence[str] = REFINE_COLUMNS,
     label: str = "label",
     trees: int = 200,
-    depth: int = 10,
+    depth: int = MOST_DEPTH,
     seed: int = 23,
 ) -> PipelineModel:
-    """Comparison forest on unscaled features."""
+    """Comparison forest on unscaled features, grown as deep as MLlib allows."""
     forest = RandomForestClassifier(
         labelCol=label,
         weightCol="_weight",
@@ -297,6 +298,26 @@ def predict_risk(model: PipelineModel | None, matrix: DataFrame) -> DataFrame |
     )
 
 
+def predictor(model: PipelineModel | None):
+    """The model as a step of a scoring plan: adds ml_risk and ml_confidence to feature rows.
+
+    It works on the rows themselves, so nothing is joined; without a model every row gets LOW and 0.
+    """
+
+    def add(rows: DataFrame) -> DataFrame:
+        if model is None:
+            return rows.withColumns({"ml_risk": F.lit("LOW"), "ml_confidence": F.lit(0.0)})
+        names = F.array(*[F.lit(x) for x in LABELS])
+        held = rows.withColumn("_row", F.struct(*rows.columns))
+        return model.transform(serve_features(held, keep=("_row",))).select(
+            "_row.*",
+            F.element_at(names, F.col("prediction").cast("int") + 1).alias("ml_risk"),
+            F.array_max(vector_to_array("probability")).alias("ml_confidence"),
+        )
+
+    return add
+
+
 def predict_medium(model: PipelineModel | None, matrix: DataFrame) -> DataFrame | None:
     """Probability of MEDIUM of each attempt from a refiner."""
     if model is None:

@@ -36,7 +36,7 @@ def _time_us() -> Column:
 def _checked(arrivals: DataFrame) -> DataFrame:
     """Add the parsed time and whether the row can be scored or contradicts its envelope."""
     usable = F.col("event_type").isNotNull() & F.col("t_us").isNotNull()
-    own = F.col("event_attempt_id")
+    own = F.col("event_attempt_id") if "event_attempt_id" in arrivals.columns else F.lit(None).cast("string")
     return (
         arrivals.withColumn("t_us", _time_us())
         .withColumn("usable", usable)
@@ -72,21 +72,36 @@ def rejected_events(arrivals: DataFrame, raise_error: bool = False) -> DataFrame
     return out
 
 
-def normalize_events(arrivals: DataFrame, limits: HotKeys = HotKeys()) -> DataFrame:
-    """Usable events of consistent attempts, in canonical form (not yet ordered)."""
+def unusable_reason() -> Column:
+    """Why a checked row cannot be scored; null if it can."""
+    return (
+        F.when(F.length(F.coalesce("attempt_id", F.lit(""))) == 0, "Missing attempt_id")
+        .when(F.col("event_type").isNull(), "Missing event_type")
+        .when(_time_us().isNull(), "Unreadable time")
+    )
+
+
+def normalize_events(arrivals: DataFrame, limits: HotKeys = HotKeys(), unusable: bool = False) -> DataFrame:
+    """Usable events of consistent attempts, in canonical form (not yet ordered).
+
+    With ``unusable`` the others stay, marked by the column ``usable``: they count as arrivals.
+    """
     checked = _checked(arrivals)
-    mismatched = cut(checked.where("mismatch").select("attempt_id").distinct())
-    found = mismatched.count()
-    usable = _lifted(checked.where("usable"))
+    found = 0
+    if "event_attempt_id" in arrivals.columns:
+        mismatched = cut(checked.where("mismatch").select("attempt_id").distinct())
+        found = mismatched.count()
+    usable = _lifted(checked if unusable else checked.where("usable"))
     if found:
         side = F.broadcast(mismatched) if found <= limits.broadcast_rows else mismatched
         usable = usable.join(side, "attempt_id", "left_anti")
     seq = F.expr("try_cast(try_cast(client_seq AS DOUBLE) AS BIGINT)")
+    if "event_attempt_id" in arrivals.columns:
+        usable = usable.withColumn("attempt_id", F.coalesce("attempt_id", "event_attempt_id"))
     return (
-        usable.withColumn("attempt_id", F.coalesce("attempt_id", "event_attempt_id"))
-        .where(F.length("attempt_id") > 0)
+        usable.where(F.length("attempt_id") > 0)
         .withColumn("client_seq", F.coalesce(seq, F.lit(0)) if "client_seq" in arrivals.columns else F.lit(0))
-        .drop("usable", "mismatch", "event_attempt_id")
+        .drop("mismatch", "event_attempt_id", *([] if unusable else ["usable"]))
     )
 
 

@@ -125,18 +125,34 @@ def _evidence(**values) -> list[Column]:
     return [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()]
 
 
+def _quick_match(rules: PatternRules, idle_end_us: Column, leave_us: Column, question: Column, quick_us: Column) -> list:
+    return [
+        F.lit(QUICK_LEAVE).alias("pattern_type"),
+        quick_leave_strength(quick_us, rules).alias("strength"),
+        *_evidence(
+            idle_end_us=idle_end_us,
+            question_leave_us=leave_us,
+            question_id=question,
+            question_time_s=quick_us / SECOND,
+        ),
+    ]
+
+
 def _matches(t: Timeline, rules: PatternRules, scoring: ScoringRules, extended: bool) -> DataFrame:
     marked = mark(t, rules)
-    features = detect_signals(
-        aggregate(marked, extended=extended, extra={"sequence": sequence_evidence()}), scoring
-    )
+    extra = {"sequence": sequence_evidence()}
+    if not t.sliced:
+        # an attempt here has a bounded number of rows, so its quick leaves fit in one row
+        quick = F.struct("last_idle_end_us", "t_us", "question_id", "quick_leave_us")
+        extra["quick"] = F.collect_list(F.when(F.col("quick_leave_us").isNotNull(), quick))
+    features = detect_signals(aggregate(marked, extended=extended, extra=extra), scoring)
     gate, power = gates(features, rules), strengths(features, rules)
     sequence = F.col("sequence")
 
     def match(name: str, when: Column, *evidence: Column) -> Column:
         return F.when(when, F.struct(F.lit(name).alias("pattern_type"), power[name].alias("strength"), *evidence))
 
-    # at most one match of these kinds per attempt: one pass over the feature rows
+    # at most one match of these kinds per attempt
     single = F.array_compact(
         F.array(
             match(
@@ -153,7 +169,15 @@ def _matches(t: Timeline, rules: PatternRules, scoring: ScoringRules, extended:
             match(MEDIUM_TAB, gate[MEDIUM_TAB], *_evidence()),
         )
     )
-    # quick leaves: any number per attempt, so they stay rows and only the gate is joined to them
+    if not t.sliced:
+        leaves = F.transform(
+            F.when(gate[QUICK_LEAVE], F.col("quick")).otherwise(F.slice("quick", 1, 0)),
+            lambda q: F.struct(
+                *_quick_match(rules, q["last_idle_end_us"], q["t_us"], q["question_id"], q["quick_leave_us"])
+            ),
+        )
+        return features.select("attempt_id", F.inline(F.concat(single, leaves)))
+    # any number of quick leaves: they stay rows and only the gate is joined to them
     quick = Timeline(
         marked.rows.where("quick_leave_us IS NOT NULL").select(
             "attempt_id", "t_us", "last_idle_end_us", "question_id", "quick_leave_us"
@@ -162,21 +186,9 @@ def _matches(t: Timeline, rules: PatternRules, scoring: ScoringRules, extended:
         t.sliced,
         t.small,
     ).attach(features.where(gate[QUICK_LEAVE]).select("attempt_id", "idle_spike_count", "timing_score"))
-    return (
-        features.select("attempt_id", F.inline(single))
-        .unionByName(
-            quick.rows.select(
-                "attempt_id",
-                F.lit(QUICK_LEAVE).alias("pattern_type"),
-                quick_leave_strength(F.col("quick_leave_us"), rules).alias("strength"),
-                *_evidence(
-                    idle_end_us=F.col("last_idle_end_us"),
-                    question_leave_us=F.col("t_us"),
-                    question_id=F.col("question_id"),
-                    question_time_s=F.col("quick_leave_us") / SECOND,
-                ),
-            )
-        )
+    leave = [F.col(c) for c in ("last_idle_end_us", "t_us", "question_id", "quick_leave_us")]
+    return features.select("attempt_id", F.inline(single)).unionByName(
+        quick.rows.select("attempt_id", *_quick_match(rules, *leave))
     )
 
 

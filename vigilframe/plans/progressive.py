@@ -13,7 +13,7 @@ two epochs per attempt and batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from vigilframe.plans.score import decide
 from vigilframe.session import cut
 
 EPOCH = "_epoch"
+NUMBER = "_number"  # of an arrival in its session
 
 
 # what a timeline that starts in the middle of an attempt has to know of the events before
@@ -220,16 +221,33 @@ def progressive_risk(
     after_arrival: int | None = None,
     instant: str = "arrival",
     limits: HotKeys = HotKeys(),
+    predict: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One history row per event, in the order of arrival; ``ttl_s`` starts over after a long silence.
 
     The ingest path does not keep the client sequence, so equal times are ordered by arrival. With
     ``after_arrival`` only rows of later arrivals are returned. ``instant`` names what events were
     received together (a micro-batch, say): its late events are merged before any of them is scored.
+
+    With a column ``usable`` every arrival counts and gets a row: one that cannot be scored repeats the
+    score before it, if its session has one. ``predict`` names columns ``ml_risk`` and ``ml_confidence`` from
+    the feature rows of every prefix.
     """
     key = ("attempt_id", "session_id")
     order = ("arrival",)
     rows = cache_sessions(events.withColumn("client_seq", F.lit(0).cast("long")), ttl_s, limits=limits)
+    every = "usable" in events.columns
+    if every:
+        rows = on_timelines(
+            rows,
+            lambda t: t.scan(Scan(NUMBER, "sum", F.lit(1).cast("long"), here=True), order=order).rows,
+            key=key,
+            limits=limits,
+            order=order,
+        )
+        passthrough = (*passthrough, NUMBER)
+        unusable = rows.where("NOT usable")
+        rows = rows.where("usable")
     late = F.coalesce(F.col("t_us") < F.col("_newest"), F.lit(False))
     opens = F.col("_late") & (F.col("_late_before").isNull() | (F.col("_late_before") != F.col(instant)))
     rows = on_timelines(
@@ -258,8 +276,33 @@ def progressive_risk(
         if passthrough:
             redone = redone.join(rows.select(*key, "arrival", *passthrough), [*key, "arrival"])
         states = states.unionByName(redone)
+    if every:
+        states = _with_unusable(states, unusable, key, passthrough, limits)
     if after_arrival is not None:
         states = states.where(F.col("arrival") > after_arrival)
-    return decide(states, scoring, rules).withColumn(
+    return decide(states, scoring, rules, predict=predict).withColumn(
         "reason", build_reason(F.col("risk"), F.col("explanation_text"))
     )
+
+
+def _with_unusable(
+    states: DataFrame, unusable: DataFrame, key: tuple[str, ...], passthrough: Sequence[str], limits: HotKeys
+) -> DataFrame:
+    """Every arrival with the state after it; ``event_count`` counts them all."""
+    missing = [F.lit(None).cast(states.schema[c].dataType).alias(c) for c in STATE_COLUMNS]
+    both = states.withColumn("_known", F.lit(True)).unionByName(
+        unusable.select(*key, "arrival", *missing, *passthrough).withColumn("_known", F.lit(None).cast("boolean"))
+    )
+    last = Scan("_state", "last", F.when(F.col("_known"), F.struct(*STATE_COLUMNS)), here=True)
+    return on_timelines(
+        both,
+        lambda t: t.scan(last, order=("arrival",)).rows.where("_state IS NOT NULL"),
+        key=key,
+        limits=limits,
+        order=("arrival",),
+    ).select(
+        *key,
+        "arrival",
+        *[(F.col(NUMBER) if c == "event_count" else F.col(f"_state.{c}")).alias(c) for c in STATE_COLUMNS],
+        *[c for c in passthrough if c != NUMBER],
+    )

@@ -6,7 +6,7 @@ one aggregation, then expressions only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,20 +44,29 @@ def join_predictions(rows: DataFrame, predictions: DataFrame | None) -> DataFram
     )
 
 
+Predict = Callable[[DataFrame], DataFrame]
+
+
 def decide(
     features: DataFrame,
     rules: ScoringRules = ScoringRules(),
     patterns: PatternRules = PatternRules(),
     predictions: DataFrame | None = None,
+    predict: Predict | None = None,
 ) -> DataFrame:
-    """From feature rows to decisions, confidences and explanations. No exchange without predictions."""
+    """From feature rows to decisions, confidences and explanations. No exchange without predictions.
+
+    ``predict`` is a model at work: it adds ``ml_risk`` and ``ml_confidence`` to the rows it is given (see
+    ``learning.predictor``), so they need no second pass and no join.
+    """
     rows = scoring.combine_signals(scoring.detect_signals(features, rules), rules)
     rows = summarise_patterns(rows, patterns)
     rows = rows.withColumn("low_data", scoring.is_low_data(rules)).withColumn(
         "rule_risk", scoring.assign_risk(F.col("combined_score"), rules)
     )
     rows = settled(rows, [c for c in rows.columns if c not in features.columns])
-    rows = scoring.promote_by_pattern(join_predictions(rows, predictions), rules)
+    rows = predict(rows) if predict else join_predictions(rows, predictions)
+    rows = scoring.promote_by_pattern(rows, rules)
     rows = scoring.hybrid_decision(rows, rules).withColumns(
         {
             "confidence": scoring.rule_confidence(rules),
@@ -106,12 +115,13 @@ def score_attempts(
     passthrough: Sequence[str] = (),
     extra: dict[str, Column] | None = None,
     limits: HotKeys = HotKeys(),
+    predict: Predict | None = None,
 ) -> DataFrame:
     """One result row per attempt: result, feature and signal columns."""
     features = attempt_features(
         events, patterns, extended=extended, passthrough=passthrough, extra=extra, limits=limits
     )
-    return decide(features, rules, patterns, predictions)
+    return decide(features, rules, patterns, predictions, predict)
 
 
 def score_summary(results: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ def build_session(app: str = "vigilframe", master: str | None = None, **conf) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # files of a checkpoint go when nothing refers to it any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call sites of every column expression are for debugging and slow down plan building
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -116,6 +116,18 @@ def carry_current_risk(spark: SparkSession, path: str, version: int) -> None:
         old.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def drop_old_states(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the versions of the state below ``before``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name[8:]) < before:
+            files.delete(status.getPath(), True)
+
+
 def live_update_feed(rows: DataFrame, mode: str = "progressive_ingest") -> DataFrame:
     """Key and JSON value of one update message per row; needs the columns of ``progressive_risk``."""
     identity = [c for c in IDENTITY if c in rows.columns]

@@ -26,14 +26,17 @@ def scan_attempt_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_batches(batches: DataFrame) -> DataFrame:
-    return batches.select("attempt_id", F.posexplode_outer("events").alias("arrival", "_e")).select(
+    """One row per event. ``arrival`` numbers all rows in the order of reading, so it is unique, and the events
+    of one record are in their order, also for an attempt that has several records."""
+    events = batches.select("attempt_id", F.explode_outer("events").alias("_e"))
+    return events.withColumn("arrival", F.monotonically_increasing_id()).select(
         "attempt_id",
         F.col("_e.attempt_id").alias("event_attempt_id"),
         "_e.event_type",
         "_e.occurred_at",
         "_e.payload",
         "_e.client_seq",
-        F.col("arrival").cast("long").alias("arrival"),
+        "arrival",
     )
 
 

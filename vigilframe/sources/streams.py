@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vigilframe.schema import INGEST_EVENT
 
 
+UNREADABLE = "_corrupt_record"
+
+
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """JSON files of ingest events as they appear, stamped with the time of receipt."""
-    reader = spark.readStream.schema(INGEST_EVENT)
+    """JSON files of ingest events as they appear, stamped with the time of receipt.
+
+    A line that is no event stays, as text in ``_corrupt_record``.
+    """
+    schema = StructType([*INGEST_EVENT.fields, StructField(UNREADABLE, StringType())])
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", UNREADABLE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _stamped(reader.json(path))
@@ -32,7 +40,9 @@ def stream_events_kafka(spark: SparkSession, servers: str, topic: str, **options
         .options(**options)
         .load()
     )
-    return _stamped(values.select(F.from_json(F.col("value").cast("string"), INGEST_EVENT).alias("e")).select("e.*"))
+    schema = StructType([*INGEST_EVENT.fields, StructField(UNREADABLE, StringType())])
+    event = F.from_json(F.col("value").cast("string"), schema, {"columnNameOfCorruptRecord": UNREADABLE})
+    return _stamped(values.select(event.alias("e")).select("e.*"))
 
 
 def _stamped(events: DataFrame) -> DataFrame:

@@ -18,21 +18,25 @@ from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.functions.scalar import parse_event_time
 from vigilframe.operators.history import TTL_S
 from vigilframe.operators.lookup import touched_attempts
-from vigilframe.operators.normalize import normalize_events
+from vigilframe.operators.normalize import normalize_events, unusable_reason
 from vigilframe.operators.timeline import Scan, on_timelines
 from vigilframe.plans.progressive import progressive_risk
+from vigilframe.plans.score import Predict
 from vigilframe.schema import IDENTITY
 from vigilframe.session import cut
 from vigilframe.sinks.writers import (
     append_risk_history,
     carry_current_risk,
+    drop_old_states,
     history_rows,
     live_update_feed,
     read_current_risk,
     score_log_rows,
     upsert_current_risk,
 )
+from vigilframe.sources.streams import UNREADABLE
 
+KEPT_STATES = 3  # versions of the live state that readers and a repeated batch may still need
 BATCH_SPAN = 2**31  # more than the events one attempt can have in one batch
 
 
@@ -62,6 +66,10 @@ class IngestPaths:
     def log(self) -> str:
         return f"{self.root}/score_log"
 
+    @property
+    def quarantine(self) -> str:
+        return f"{self.root}/quarantine"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/_stream"
@@ -74,10 +82,11 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int, fmt: str = "parquet"
 def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
     """Number the events of each attempt by arrival, after those of all earlier batches.
 
-    A micro-batch is received at one instant, so inside it events count as arriving in event time.
+    A micro-batch is received at one instant, so inside it events count as arriving in event time, those
+    without a readable time last.
     """
     order = ("_event_us", "_position")
-    at = F.coalesce(F.unix_micros(parse_event_time(F.col("occurred_at"))), F.lit(0))
+    at = F.coalesce(F.unix_micros(parse_event_time(F.col("occurred_at"))), F.lit(2**62))
     placed = cut(batch.withColumns({"_event_us": at, "_position": F.monotonically_increasing_id()}))
     ranked = on_timelines(
         placed,
@@ -88,6 +97,14 @@ def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
     return ranked.withColumn("arrival", F.col("_rank") + F.lit(batch_id * BATCH_SPAN)).drop("_rank", *order)
 
 
+def quarantined(batch: DataFrame) -> DataFrame:
+    """The rows of a micro-batch that cannot be scored, with the reason."""
+    reason = unusable_reason()
+    if UNREADABLE in batch.columns:
+        reason = F.when(F.col(UNREADABLE).isNotNull(), "Unreadable record").otherwise(reason)
+    return batch.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def score_batch(
     batch: DataFrame,
     batch_id: int,
@@ -96,10 +113,18 @@ def score_batch(
     patterns: PatternRules = PatternRules(),
     ttl_s: float | None = TTL_S,
     limits: HotKeys = HotKeys(),
+    predict: Predict | None = None,
 ) -> None:
-    """Store one micro-batch and write what follows from it."""
+    """Store one micro-batch and write what follows from it.
+
+    Every row with an attempt is stored, counts as an event and gets a history, feed and log row once its
+    attempt has a score; rows that cannot be scored are kept in the quarantine table as well, those
+    without an attempt only there.
+    """
     spark = batch.sparkSession
-    fresh = _arrivals(batch.where(F.length("attempt_id") > 0), batch_id, limits).withColumns(
+    _write_batch(quarantined(batch), paths.quarantine, batch_id)
+    named = batch.where(F.length("attempt_id") > 0).drop(UNREADABLE)
+    fresh = _arrivals(named, batch_id, limits).withColumns(
         {"event_date": F.to_date("received_at"), "batch_id": F.lit(batch_id).cast("long")}
     )
     (
@@ -109,16 +134,16 @@ def score_batch(
         .partitionBy("event_date", "batch_id")
         .parquet(paths.events)
     )
-    span = fresh.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
+    span = fresh.agg(
+        F.min("event_date").alias("first"), F.max("event_date").alias("last"), F.max("received_at").alias("newest")
+    ).first()
     if span["first"] is None:
         carry_current_risk(spark, paths.state, batch_id)
         return
     first = _first_day(fresh, span["first"], paths, batch_id, ttl_s)
     raw = read_events(spark, paths, first, span["last"]).where(F.col("batch_id") <= batch_id)
-    needed = touched_attempts(raw, fresh, limits).withColumns(
-        {"event_attempt_id": F.lit(None).cast("string"), "received_us": F.unix_micros("received_at")}
-    )
-    events = normalize_events(needed, limits)
+    needed = touched_attempts(raw, fresh, limits).withColumn("received_us", F.unix_micros("received_at"))
+    events = normalize_events(needed, limits, unusable=True)
     keep = (*IDENTITY, "event_type", "payload", "occurred_at", "received_at", "session_start_us")
     scored = cut(
         progressive_risk(
@@ -130,6 +155,7 @@ def score_batch(
             after_arrival=batch_id * BATCH_SPAN,
             instant="batch_id",
             limits=limits,
+            predict=predict,
         )
     )
 
@@ -148,9 +174,9 @@ def score_batch(
     )
     expired = None
     if ttl_s is not None:
-        newest = scored.agg(F.max("received_at")).first()[0]
-        expired = F.lit(newest) - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")
+        expired = F.lit(span["newest"]) - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")
     upsert_current_risk(changes, paths.state, batch_id, expired_before=expired)
+    drop_old_states(spark, paths.state, batch_id - KEPT_STATES)
 
 
 def read_events(spark: SparkSession, paths: IngestPaths, first: date | None = None, last: date | None = None) -> DataFrame:
@@ -186,12 +212,13 @@ def stream_score_attempts(
     patterns: PatternRules = PatternRules(),
     ttl_s: float | None = TTL_S,
     limits: HotKeys = HotKeys(),
+    predict: Predict | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start the job on a stream of ingest events stamped with ``received_at``."""
     return (
         events.writeStream.foreachBatch(
-            lambda batch, batch_id: score_batch(batch, batch_id, paths, scoring, patterns, ttl_s, limits)
+            lambda batch, batch_id: score_batch(batch, batch_id, paths, scoring, patterns, ttl_s, limits, predict)
         )
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -199,28 +226,36 @@ def stream_score_attempts(
     )
 
 
-def stream_attempt_state(events: DataFrame, ttl_s: float = TTL_S, late_s: float | None = None) -> DataFrame:
+def stream_attempt_state(events: DataFrame, late_s: float, ttl_s: float = TTL_S) -> DataFrame:
     """Order-free state per attempt session, kept by Spark until the TTL has passed without events.
 
-    Events older than the watermark (``late_s`` behind the newest receipt) no longer count.
+    Receipt times more than ``late_s`` behind the newest one of any attempt no longer count, so in a replay
+    it has to cover the whole disorder of the replayed receipts; ``late_receipts`` finds what fell behind.
     """
     action, state = (F.get_json_object("payload", f"$.{k}") for k in ("action", "state"))
     paste = (F.col("event_type") == "clipboard") & (action == "paste")
     hidden = (F.col("event_type") == "visibility_change") & (state == "hidden")
+    at = parse_event_time(F.col("occurred_at"))
     return (
-        events.withWatermark("received_at", f"{int(late_s or 0)} seconds")
+        events.where(F.length("attempt_id") > 0)
+        .withWatermark("received_at", f"{int(late_s)} seconds")
         .groupBy("attempt_id", F.session_window("received_at", f"{int(ttl_s)} seconds").alias("session"))
         .agg(
             F.count("*").alias("event_count"),
             F.count_if(paste).alias("paste_count"),
             F.count_if(hidden).alias("tab_hidden_count"),
             F.count_if(F.col("event_type") == "exam_submitted").alias("submits"),
-            F.min("occurred_at").alias("first_event_at"),
-            F.max("occurred_at").alias("last_event_at"),
+            F.min(at).alias("first_event_at"),
+            F.max(at).alias("last_event_at"),
         )
     )
 
 
+def late_receipts(batch: DataFrame, newest_before, late_s: float) -> DataFrame:
+    """Rows of a micro-batch whose receipt lies behind the watermark that ``newest_before`` gives."""
+    return batch.where(F.col("received_at") < F.lit(newest_before) - F.expr(f"INTERVAL {int(late_s)} SECONDS"))
+
+
 def late_events(events: DataFrame, late_s: float, limits: HotKeys = HotKeys()) -> DataFrame:
     """Events that arrive more than ``late_s`` after a newer event of their attempt (none is dropped)."""
     behind: Column = F.col("_newest") - F.col("t_us")
