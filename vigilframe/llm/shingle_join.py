@@ -40,7 +40,7 @@ LEAST_MARKS, MOST_MARKS = 16, 30
 HELD = 512
 #: Ids of texts that are wanted are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _ODD = [np.uint64(x) for x in np.random.default_rng(7).integers(2**62, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 

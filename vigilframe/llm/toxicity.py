@@ -37,7 +37,7 @@ LEAST_DOCUMENTS, LEAST_SHARE, MOST_ARCS = 3, 0.002, 20_000
 BEGINNINGS = range(3, 9)
 #: Learned weights start from these, so that a few labels can't turn a reading around.
 PRIOR, STIFFNESS = np.array([-3.0, 0.6, 0.4, 0.2, 0.1, 0.2, 0.3]), 1.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Rejected documents that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
