@@ -21,3 +21,60 @@ SELECT conv_id,
            + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE["op1_vector_dedup"] = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE {_GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.e = b.e AS same, a.e AS x, b.e AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+links AS (
+    SELECT a, b, same FROM pairs
+    WHERE list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) >= 0.95
+),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+own AS (SELECT a, count(*) AS n, min(b) FILTER (same) AS twin FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(own.n, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept,
+       CASE WHEN v.vec_id IS NOT NULL THEN least(e.vec_id, coalesce(twin, e.vec_id)) END AS class_id
+FROM embeddings e LEFT JOIN v ON v.vec_id = e.vec_id LEFT JOIN own ON own.a = e.vec_id LEFT JOIN least_of ON least_of.a = e.vec_id
+"""
+
+ORACLE["op2_shingle_join"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+sh AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b, c = na.n AND c = nb.n AS same FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * c >= 90 * (na.n + nb.n - c)
+),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+twins AS (SELECT a, min(b) AS twin FROM links WHERE same GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+       CASE WHEN n.n > 0 THEN least(w.doc_id, coalesce(twin, w.doc_id)) END AS class_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_of ON least_of.a = w.doc_id LEFT JOIN twins ON twins.a = w.doc_id
+"""
+
+ORACLE["op6_top_k"] = f"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE {_GOOD} AND vec_id IS NOT NULL
+),
+scores AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
