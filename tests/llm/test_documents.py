@@ -171,6 +171,15 @@ def test_pieces(spark):
     assert sum(r.n for r in whole) == pieces.agg(F.sum("length")).first()[0]
 
 
+def test_long_white_space(spark):
+    blanks = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    runs = [" " * 1_100_000, blanks * 70_000, " \x1c" * 60_000]
+    texts = [t for run in runs for t in (run, f"it's{run}1 {run}\n! ")]
+    rows = [(i, t, "b", 1, "", 1) for i, t in enumerate([*texts, " " * 100_000 + "a", " " * 100_001 + "a", " " * 100_001 + "\n"])]
+    docs = spark.sparkContext.parallelize(rows, len(rows)).toDF(SCHEMA)
+    check_pieces(rows, pack(docs, **byte_tokenizer()).collect())
+
+
 def test_queries_on_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check_pieces(rows, QUERIES["op5_packing"](spark, SF).collect())
