@@ -41,7 +41,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Learned scores and tokenizers are beyond SQL; a test holds the rows of ``run`` against brute force.
 ORACLE_SQL = None
 
 
