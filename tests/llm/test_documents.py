@@ -80,6 +80,20 @@ def test_mixture(spark):
     assert sorted((r.doc_id, r.taken) for r in found) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_mixture_of_very_many_sources(spark):
+    n = 200_100
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', int(1 + id % 3)) AS text")
+    found = mix(rows.repartition(4), keep=("source",)).toPandas().sort_values("source", key=lambda s: s.map(str.encode))
+    assert len(found) == n
+    votes, sizes = found["target"].to_numpy(), found["size"].to_numpy()
+    assert abs(votes.sum() - 1.5 * sizes.sum()) < 1e-3
+    # quotients of the first two seats, ties to the source that comes first; every source is one block
+    quotients = np.r_[votes, votes / 3]
+    order = np.lexsort((np.tile(np.arange(n), 2), -quotients))[: round(votes.sum() / 32)]
+    won = np.bincount(order % n, minlength=n)
+    assert (found["taken"].to_numpy() == won * sizes).all() and 0 < won.sum() < n
+
+
 def test_mixture_itself(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     rows = mixed(docs).collect()

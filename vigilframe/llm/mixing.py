@@ -13,18 +13,22 @@ the source that comes first.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import BLANKS, group_key, hash_bucket, running, word_count, written
+from vigilframe.llm.common import BLANKS, group_key, hash_bucket, map_texts, running, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK = 32
-#: A mixture is a table of sources and shares that the driver can hold; more sources than this are an error.
-MAX_SOURCES = 200_000
+#: Sources whose quotas are broadcast at most.
+BROADCAST_SOURCES = 200_000
+#: Parts that one pass over the sources cuts the range of a level into, and sources that it looks at together.
+PARTS, HELD = 64, 1024
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -42,7 +46,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     full = F.col("source_size") * float(most)
     by_ratio = one.orderBy(full / F.col("weight"), "_key")
     ahead = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, Window.unboundedFollowing)
+    # from the other end, as a frame up to the last row would be summed again for every row
+    rest = one.orderBy((full / F.col("weight")).desc(), F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)
     level = (
         F.sum("source_size").over(one) * F.lit(share) - F.coalesce(F.sum(full).over(ahead), F.lit(0.0))
     ) / F.sum("weight").over(rest)
@@ -56,52 +61,113 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
+def seats_above(votes: np.ndarray, level) -> np.ndarray:
+    """Seats whose quotients votes / (2 k + 1) aren't below the level."""
+    return np.floor((votes / level + 1) / 2).astype(np.int64)
+
+
+def lowest_levels(count: Callable, seats: np.ndarray, total: float, parties: int, largest: float) -> np.ndarray:
+    """Per house the lowest level that gives out no more than its seats; ``count`` has the seats above levels.
+
+    Positive floats are in the order of their bits, so the range of bits is cut until two neighbours are left.
+    """
+    low = (total / (2.0 * seats + parties + 2) / 2).view(np.int64)
+    high = np.full(len(seats), largest * 2).view(np.int64)
+    parts = np.arange(1, PARTS)
+    while (high - low).max() > 1:
+        size, rest = (x[:, None] for x in np.divmod(high - low, PARTS))
+        points = np.c_[low, low[:, None] + size * parts + rest * parts // PARTS, high]
+        over = (count(points[:, 1:-1].view(np.float64)) > seats[:, None]).sum(axis=1)
+        house = np.arange(len(seats))
+        low, high = points[house, over], points[house, over + 1]
+    return high.view(np.float64)
+
+
 def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     """Seats by the highest quotients votes / (2 k + 1); equal quotients go to the first.
 
-    A party has the seats whose quotients are above a level; the level is found by halving. Seats that are
-    left then belong to quotients that are equal at that level: one each to the highest.
+    A party has the seats whose quotients are above a level. Seats that are left then belong to quotients that
+    are equal at that level: one each to the highest. ``quotas`` does the same on a table.
     """
     votes = np.maximum(np.asarray(votes, dtype=np.float64), 0.0)
     won = np.zeros(len(votes), dtype=np.int64)
     if seats <= 0 or not votes.sum():
         return won
-    above = lambda level: np.floor((votes / level + 1) / 2).astype(np.int64)
-    low, high = votes.sum() / (2.0 * seats + len(votes) + 2) / 2, votes.max() * 2
-    for _ in range(200):
-        middle = (low + high) / 2
-        low, high = (middle, high) if above(middle).sum() > seats else (low, middle)
-    won = above(high)
+    count = lambda levels: seats_above(votes[:, None, None], levels).sum(axis=0)
+    won = seats_above(votes, lowest_levels(count, np.array([seats]), votes.sum(), len(votes), votes.max())[0])
     while (left := seats - int(won.sum())) > 0:
         order = np.argsort(-(votes / (2 * won + 1)), kind="stable")
         won[order[: min(left, len(order))]] += 1
     return won
 
 
-def shard_quotas(targets: list[tuple[str, int, float]], shards: int, block: int, most: int) -> list[tuple]:
-    """(key, blocks of a pass, [blocks up to and with each shard]) per source.
+def counted(targets: DataFrame, levels: np.ndarray) -> np.ndarray:
+    """Seats above each level, over all sources; one row per partition of the sources is added up."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(levels.shape, dtype=np.int64)
+        for frame in frames:
+            votes = frame["target"].to_numpy()
+            for at in range(0, len(votes), HELD):
+                for house, own in enumerate(levels):
+                    found[house] += seats_above(votes[at : at + HELD, None], own).sum(axis=0)
+        yield pd.DataFrame({"place": np.arange(found.size), "n": found.ravel()})
+
+    parts = map_texts(targets.select("target"), batches, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(levels.size, dtype=np.int64)
+    for row in parts.collect():  # one per level
+        out[row.place] = row.n
+    return out.reshape(levels.shape)
+
+
+def quotas(targets: DataFrame, shards: int, block: int, most: int, seed: int) -> DataFrame:
+    """_key, source_size, target, ``_blocks`` of a pass, ``_upto`` (blocks up to and with each shard) and the
+    seeded permutation k -> (``_a`` k + ``_c``) mod blocks of every source; written.
 
     The method never takes a seat back when more seats are given out, so the seats of the first j shards
     together are the seats of a house j / shards of the size, and every shard's quotas are whole numbers.
+    Levels come from sums over the sources, so that no list of sources is held anywhere.
     """
-    votes = np.array([t for _, _, t in targets])
-    seats = round(float(votes.sum()) / block)
-    blocks = [math.ceil(size / block) for _, size, _ in targets]
-    upto = np.stack([sainte_lague(votes, seats * j // shards) for j in range(1, shards + 1)])
-    upto = np.minimum(upto, most * np.array(blocks, dtype=np.int64))
-    return [(k, b, [int(x) for x in upto[:, i]]) for i, ((k, _, _), b) in enumerate(zip(targets, blocks))]
-
-
-def choose(targets: list[tuple[str, int, float]], shards: int, block: int, most: int, seed: int) -> list[tuple]:
-    """Adds the seeded permutation k -> (a k + c) mod blocks of every source."""
-    out = []
-    for key, blocks, upto in shard_quotas(targets, shards, block, most):
-        draw = np.random.default_rng([seed, *key.encode()])
-        a = int(draw.integers(1, 2**20))
-        while blocks and math.gcd(a, blocks) != 1:
-            a += 1
-        out.append((key, blocks, upto, a, int(draw.integers(0, max(1, blocks)))))
-    return out
+    total, parties, largest = targets.agg(F.sum("target"), F.count("*"), F.max("target")).first()
+    levels, ties = np.full(shards, np.inf), targets.select("_key").limit(0).withColumn("_more", F.array().cast("array<int>"))
+    if total:
+        houses = np.array([round(total / block) * j // shards for j in range(1, shards + 1)])
+        levels = lowest_levels(lambda at: counted(targets, at), houses, total, parties, largest)
+        left = houses - counted(targets, levels[:, None])[:, 0]
+        above = lambda level: F.floor((F.col("target") / F.lit(float(level)) + 1) / 2)
+        next_ones = [
+            F.when(
+                above(level * (1 - 1e-12)) > above(level),
+                F.struct(F.lit(j).alias("house"), F.lit(int(n)).alias("left"), (F.col("target") / (2 * above(level) + 1)).alias("quotient")),
+            )
+            for j, (level, n) in enumerate(zip(levels, left))
+            if n > 0
+        ]
+        if next_ones:
+            at_level = targets.select("_key", F.explode(F.array_compact(F.array(*next_ones))).alias("_n")).select("_key", "_n.*")
+            first = Window.partitionBy("house").orderBy(F.desc("quotient"), "_key")
+            won = at_level.withColumn("_row", F.row_number().over(first)).where("_row <= left")
+            ties = won.groupBy("_key").agg(F.collect_list("house").alias("_more"))  # no more than ``shards``
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, size, target, more in zip(frame["_key"], frame["source_size"].tolist(), frame["target"].tolist(), frame["_more"]):
+                upto, blocks = seats_above(target, levels), math.ceil(size / block)
+                if more is not None:
+                    upto[np.asarray(more, dtype=np.int64)] += 1
+                draw = np.random.default_rng([seed, *key.encode()])
+                a = int(draw.integers(1, 2**20))
+                while blocks and math.gcd(a, blocks) != 1:
+                    a += 1
+                c = int(draw.integers(0, max(1, blocks)))
+                rows.append((key, size, target, blocks, np.minimum(upto, most * blocks), a, c))
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["_key", "source_size", "target", "_blocks", "_upto", "_a", "_c"]
+    schema = "_key string, source_size long, target double, _blocks long, _upto array<long>, _a long, _c long"
+    rows = targets.select("_key", "source_size", "target").join(ties, "_key", "left")
+    return written(map_texts(rows, batches, schema), "mix-quotas")
 
 
 def mix(
@@ -116,7 +182,6 @@ def mix(
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, and ``spans``: the words taken, as (shard, pass, start, words)
     in words of the document. ``keep`` names further columns of ``docs`` to hand through."""
-    spark = docs.sparkSession
     sized = written(
         docs.select(
             "doc_id",
@@ -131,15 +196,8 @@ def mix(
         "mix-sizes",
     )
     targets = written(source_targets(sized, weights, share, most), "mix-targets")
-    # one row per source, and no more than MAX_SOURCES of them
-    rows = targets.select("_key", "source_size", "target").orderBy("_key").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"a mixture of more than {MAX_SOURCES} sources")
-    plan = spark.createDataFrame(
-        choose([tuple(r) for r in rows], shards, block, most, seed),
-        "_key string, _blocks long, _upto array<long>, _a long, _c long",
-    )
-    plan = F.broadcast(targets.join(F.broadcast(plan), "_key"))
+    plan = quotas(targets, shards, block, most, seed)
+    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
     order = [F.col(c) for c in ("_h", "doc_id", "_text", "size")]
     placed = running(sized, ["_key"], "_bucket", order, F.col("size"))
     placed = placed.drop("total").join(plan, "_key")
