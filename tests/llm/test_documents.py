@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from vigilframe.llm import shards
+from vigilframe.llm.common import running
 from vigilframe.llm.mixing import mix, mixed, sainte_lague
 from vigilframe.llm.packing import pack, sequences
 from vigilframe.llm.queries import QUERIES, byte_tokenizer
@@ -150,6 +152,14 @@ def test_every_shard_follows_the_mixture(spark):
     assert all(len(v) == 16 and max(v) - min(v) <= 2 for v in counts.values())
 
 
+def test_small_sources_spread_over_the_slices(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(shards, "running", lambda df, *a: calls.append(df) or running(df, *a))
+    rows = [(i, "t", f"s{i}", 1, "", 1) for i in range(3000)]
+    check_shards(rows, document_shards(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert calls[1].groupBy("_slice").count().agg(F.max("count")).first()[0] < 20
+
+
 def check_pieces(rows, pieces):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {}

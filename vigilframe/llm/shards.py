@@ -1,7 +1,8 @@
 """Proportional stratified interleaving into shards, DataFrame functions only.
 
-Rows of a source are put in a seeded order; row r of n gets the place (r - 1/2) / n. All rows sorted by
-place follow the mixture everywhere, so consecutive cuts of equal length give shards that match it.
+Rows of a source are put in a seeded order; row r of n gets the place (r - 1 + u) / n, where u in (0, 1) is
+drawn per source, so that small sources spread over all places. All rows sorted by place follow the mixture
+everywhere, so consecutive cuts of equal length give shards that match it.
 
 Both orders are found without a sort of everything in one place: a rank is the rank inside a bucket (of the
 hash, or of the place) plus the rows of the earlier buckets, from one summary row per bucket.
@@ -35,8 +36,9 @@ def interleave(
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *tie)).withColumn("_bucket", hash_bucket(F.col("_h")))
     rows = written(rows, "shard-rows")
     ranked = running(rows, ["_key"], "_bucket", [F.col("_h"), *tie], F.lit(1))
+    offset = (F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 20)) + 0.5) / (1 << 20)
     ranked = written(
-        ranked.withColumn("_place", (F.col("before") + 0.5) / F.col("total"))
+        ranked.withColumn("_place", (F.col("before") + offset) / F.col("total"))
         .withColumn("_slice", F.floor(F.col("_place") * PLACES).cast("int"))
         .withColumn("_all", F.lit(0))
         .drop("before", "total", "_bucket"),
