@@ -78,3 +78,58 @@ scores AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """(SELECT xor(list_reduce(list_prepend(4294967295, [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda crc, byte: xor(crc >> 8, t[1 + (xor(crc, byte) & 255)])), 4294967295) FROM crc)"""
+# every step turns the runs of eight into their parents, up to one node per group; the groups' tops are one more group
+_GROW = """
+    SELECT g, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+    FROM {0} WHERE n > 1 GROUP BY g, level, i // 8
+"""
+
+ORACLE["op11_merkle"] = f"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+leaves AS (
+    SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS g, {_LEAF.format("text")} AS leaf,
+           CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(_LOWERED)} ELSE {_LEAF.format("text")} END AS shown
+    FROM documents
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+           count(*) OVER (PARTITION BY g) AS n FROM leaves
+),
+nodes(g, level, i, h, n) AS (SELECT g, 0, i, leaf, n FROM placed UNION ALL {_GROW.format("nodes")}),
+names AS (SELECT g, level AS height, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+above(g, level, i, h, n) AS (SELECT '', 0, i, h, n FROM names UNION ALL {_GROW.format("above")}),
+ways AS (  -- own place and siblings, from the leaf to the root
+    SELECT p.g, p.i AS leaf_i, s.level, (p.i // pow(8, s.level)::BIGINT) % 8 AS own,
+           string_agg(s.h, '' ORDER BY s.i) FILTER (s.i <> p.i // pow(8, s.level)::BIGINT) AS rest
+    FROM placed p JOIN nodes s ON s.g = p.g AND s.n > 1 AND s.i // 8 = p.i // pow(8, s.level + 1)::BIGINT
+    GROUP BY p.g, p.i, s.level
+    UNION ALL
+    SELECT p.g, p.i, 1000 + w.level, w.own, w.rest
+    FROM placed p JOIN (
+        SELECT m.g, s.level, (m.i // pow(8, s.level)::BIGINT) % 8 AS own,
+               string_agg(s.h, '' ORDER BY s.i) FILTER (s.i <> m.i // pow(8, s.level)::BIGINT) AS rest
+        FROM names m JOIN above s ON s.n > 1 AND s.i // 8 = m.i // pow(8, s.level + 1)::BIGINT GROUP BY m.g, m.i, s.level
+    ) w ON w.g = p.g
+),
+paths AS (
+    SELECT g, leaf_i, list(struct_pack(own := own, rest := coalesce(rest, '')) ORDER BY level) AS steps,
+           sha256(string_agg(coalesce(rest, ''), '' ORDER BY level)) AS proof_sha256 FROM ways GROUP BY g, leaf_i
+),
+folded AS (
+    SELECT p.*, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+           list_reduce(list_prepend(struct_pack(own := 0::BIGINT, rest := shown), coalesce(steps, [])), lambda a, s: struct_pack(
+               own := 0::BIGINT, rest := sha256(left(s.rest, 64 * s.own) || a.rest || substr(s.rest, 64 * s.own + 1)))).rest AS folded_root
+    FROM placed p LEFT JOIN paths q ON q.g = p.g AND q.leaf_i = p.i
+)
+SELECT doc_id, leaf, names.h AS subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified
+FROM folded JOIN names ON names.g = folded.g, (SELECT h FROM above WHERE n = 1) AS top
+"""

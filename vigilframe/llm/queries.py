@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import bpe, chat, mixing, packing, pages, shards, shingle_join, token_counts, topk, toxicity, vector_dedup
+from vigilframe.llm import bpe, chat, merkle, mixing, packing, pages, shards, shingle_join, token_counts, topk, toxicity, vector_dedup
 from vigilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
