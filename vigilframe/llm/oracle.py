@@ -133,3 +133,37 @@ folded AS (
 SELECT doc_id, leaf, names.h AS subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified
 FROM folded JOIN names ON names.g = folded.g, (SELECT h FROM above WHERE n = 1) AS top
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (
+    SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM w, (SELECT unnest(range(1, 5)) AS k)
+    ) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30),
+inner_ AS (
+    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS most
+    FROM (SELECT lang, k, w, a, size, unnest(range(1, k - size + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS size) WHERE size < k)
+    GROUP BY ALL
+),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.cut, ((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:c.cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+    SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM worst LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import bpe, chat, merkle, mixing, packing, pages, shards, shingle_join, token_counts, topk, toxicity, vector_dedup
+from vigilframe.llm import bpe, chat, collocations, merkle, mixing, packing, pages, shards, shingle_join, token_counts, topk, toxicity, vector_dedup
 from vigilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
