@@ -4,25 +4,26 @@ Attempts whose events arrive in time order need running aggregates only: every f
 is a running sum, minimum or maximum, and a pattern counts from the event that completes it. The
 decision expressions are those of the batch plan.
 
-A late event changes what came before it, so the state has to be rebuilt. Only attempts that
-contain late events go through ``_with_late_events``: each instant that brings late events opens a
-new epoch, and the running aggregates are continued per epoch from where it starts to matter. The
-ingest job receives a micro-batch at one instant and asks for its rows only, so it builds at most
-two epochs per attempt and batch.
+A late event changes what came before it. Attempts that contain late events go through the sweep of ``late``, which
+looks again at what a late event changes only. An attempt too large for one task goes through
+``_with_late_events`` instead: each instant that brings late events opens a new epoch, and the running
+aggregates are continued per epoch, over slices, from where it starts to matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.functions.review import build_reason
 from vigilframe.operators.features import SECOND, conditions, second_quick
 from vigilframe.operators.history import cache_sessions
-from vigilframe.operators.timeline import ORDER, Scan, Timeline, on_timelines
+from vigilframe.operators.timeline import ORDER, SLICE, Scan, Timeline, on_timelines, timelines
+from vigilframe.plans.late import sweep
 from vigilframe.plans.score import decide
 from vigilframe.session import cut
 
@@ -93,20 +94,37 @@ def running(t: Timeline, rules: PatternRules, here: bool, resumed: bool = False)
 
 def prefix_features(t: Timeline, rules: PatternRules = PatternRules(), resumed: bool = False) -> Timeline:
     """The feature columns of ``attempt_features`` for every prefix of the timeline."""
+    return running(t, rules, here=True, resumed=resumed).map(lambda rows: _features(rows, F.col("t_us")))
+
+
+def _features(rows: DataFrame, newest_us: Column) -> DataFrame:
+    """The feature columns that follow from running totals."""
     mean = F.col("_question_sum") / F.nullif(F.col("questions_seen"), F.lit(0)) / SECOND
-    return running(t, rules, here=True, resumed=resumed).map(
-        lambda rows: rows.withColumns(
-            {
-                "time_per_question_mean_s": F.coalesce(mean, F.lit(0.0)),
-                "attempt_duration_s": (F.col("t_us") - F.col("_first_us")) / SECOND,
-                "client_seq_gaps": F.lit(0).cast("long"),
-                "has_submit_event": F.lit(True),
-                "has_sequence": F.col("_sequences") > 0,
-            }
-        )
+    return rows.withColumns(
+        {
+            "time_per_question_mean_s": F.coalesce(mean, F.lit(0.0)),
+            "attempt_duration_s": (newest_us - F.col("_first_us")) / SECOND,
+            "client_seq_gaps": F.lit(0).cast("long"),
+            "has_submit_event": F.lit(True),
+            "has_sequence": F.col("_sequences") > 0,
+        }
     )
 
 
+def _late_states(
+    events: DataFrame, key: tuple[str, ...], rules: PatternRules, after: int | None, limits: HotKeys
+) -> DataFrame:
+    """Prefix features of attempts with late events: a sweep for each, epochs for those too large for one task."""
+    parts = []
+    for t in timelines(events, key, limits):
+        if t.sliced:
+            parts.append(_with_late_events(t.rows.drop(SLICE), key, rules, after, limits))
+        else:
+            totals = sweep(t.rows, key, EPOCH, rules, after)
+            parts.append(_features(totals, F.col("_newest_us")).select(*key, "arrival", *STATE_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _with_late_events(
     events: DataFrame, key: tuple[str, ...], rules: PatternRules, after: int | None, limits: HotKeys
 ) -> DataFrame:
@@ -272,7 +290,7 @@ def progressive_risk(
         ordered, lambda t: prefix_features(t, rules).rows.select(*kept, *passthrough), key=key, limits=limits
     )
     if found:
-        redone = _with_late_events(rows.join(side, list(key), "left_semi"), key, rules, after_arrival, limits)
+        redone = _late_states(rows.join(side, list(key), "left_semi"), key, rules, after_arrival, limits)
         if passthrough:
             redone = redone.join(rows.select(*key, "arrival", *passthrough), [*key, "arrival"])
         states = states.unionByName(redone)
