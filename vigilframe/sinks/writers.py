@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from vigilframe.operators.features import FEATURE_COLUMNS
 from vigilframe.operators.scoring import signal_items
 from vigilframe.schema import IDENTITY
+from vigilframe.sinks.state import StateLog
 
 
 def append_raw_events(events: DataFrame, path: str, received: str = "received_at") -> None:
@@ -75,57 +74,35 @@ def append_risk_history(rows: DataFrame, path: str, batch_id: int | None = None)
     )
 
 
-def latest_state(rows: DataFrame, updated: str = "updated_at") -> DataFrame:
-    """Last write wins per attempt; the rank limit is applied before the shuffle."""
-    newest = W.partitionBy("attempt_id").orderBy(F.col(updated).desc(), F.col("written_in").desc())
-    return rows.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+def current_risk(path: str, updated: str = "updated_at") -> StateLog:
+    return StateLog(path, "attempt_id", updated)
 
 
 def upsert_current_risk(
     changes: DataFrame, path: str, version: int, updated: str = "updated_at", expired_before: Column | None = None
 ) -> DataFrame:
-    """Merge changes into the state of the version before and write it as ``<path>/version=n``.
+    """Lay changes over the state of the version before; only the changed rows are written.
 
     A repeated version overwrites only itself and gives the same result; readers of the version
     before are not disturbed. States last updated before ``expired_before`` are left out, so the
     state holds live attempts only.
     """
-    fresh = changes.withColumn("written_in", F.lit(version).cast("long"))
-    old = read_current_risk(changes.sparkSession, path, version - 1)
-    merged = fresh if old is None else old.unionByName(fresh, allowMissingColumns=True)
-    if expired_before is not None:
-        merged = merged.where(F.col(updated) >= expired_before)
-    latest_state(merged, updated).write.mode("overwrite").parquet(f"{path}/version={version}")
-    return read_current_risk(changes.sparkSession, path, version)
+    return current_risk(path, updated).upsert(changes, version, expired_before)
 
 
-def read_current_risk(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    """One version of the state; none if it was never written."""
-    try:
-        return spark.read.parquet(f"{path}/version={version}")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def read_current_risk(spark: SparkSession, path: str, version: int, attempts: DataFrame | None = None) -> DataFrame | None:
+    """One version of the state, or of some attempts in it; none if it was never written."""
+    return current_risk(path).read(spark, version, attempts)
 
 
 def carry_current_risk(spark: SparkSession, path: str, version: int) -> None:
-    """Write the state of the version before again, for a version without changes."""
-    old = read_current_risk(spark, path, version - 1)
-    if old is not None:
-        old.write.mode("overwrite").parquet(f"{path}/version={version}")
+    """The state of the version before again, for a version without changes."""
+    current_risk(path).carry(spark, version)
 
 
 def drop_old_states(spark: SparkSession, path: str, before: int) -> None:
     """Remove the versions of the state below ``before``."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and int(name[8:]) < before:
-            files.delete(status.getPath(), True)
+    current_risk(path).drop_old(spark, before)
 
 
 def live_update_feed(rows: DataFrame, mode: str = "progressive_ingest") -> DataFrame:
