@@ -295,15 +295,22 @@ def progressive_risk(
             redone = redone.join(rows.select(*key, "arrival", *passthrough), [*key, "arrival"])
         states = states.unionByName(redone)
     if every:
-        states = _with_unusable(states, unusable, key, passthrough, limits)
+        states = with_unusable(states, unusable, key, passthrough, limits)
     if after_arrival is not None:
         states = states.where(F.col("arrival") > after_arrival)
+    return finished(states, scoring, rules, predict)
+
+
+def finished(
+    states: DataFrame, scoring: ScoringRules, rules: PatternRules, predict: Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
+    """Decisions and reasons from the state after each event."""
     return decide(states, scoring, rules, predict=predict).withColumn(
         "reason", build_reason(F.col("risk"), F.col("explanation_text"))
     )
 
 
-def _with_unusable(
+def with_unusable(
     states: DataFrame, unusable: DataFrame, key: tuple[str, ...], passthrough: Sequence[str], limits: HotKeys
 ) -> DataFrame:
     """Every arrival with the state after it; ``event_count`` counts them all."""

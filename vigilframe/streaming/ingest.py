@@ -1,8 +1,9 @@
 """The progressive ingest job: store events, re-score touched attempts, keep history and live state.
 
 A micro-batch is the unit of atomicity. Everything it writes is keyed by its batch id, so a batch
-that is repeated after a failure replaces its own output. A re-score reads the stored events of the
-touched attempts only, and only the days their open sessions reach back to.
+that is repeated after a failure replaces its own output. Scores go on from what is kept of each open attempt
+(``plans.carried``), so a batch costs its own events. Only attempts with an event that comes late are scored from
+their stored events, and only the days their open sessions reach back to are read.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.functions.scalar import parse_event_time
 from vigilframe.operators.history import TTL_S
-from vigilframe.operators.lookup import touched_attempts
 from vigilframe.operators.normalize import normalize_events, unusable_reason
 from vigilframe.operators.timeline import Scan, on_timelines
+from vigilframe.plans.carried import carried_over, continued, reached_back, sessions
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import Predict
 from vigilframe.schema import IDENTITY
 from vigilframe.session import cut
+from vigilframe.sinks.state import StateLog
 from vigilframe.sinks.writers import (
     append_risk_history,
     carry_current_risk,
@@ -58,6 +60,10 @@ class IngestPaths:
     def state(self) -> str:
         return f"{self.root}/current_risk"
 
+    @property
+    def kept(self) -> str:
+        return f"{self.root}/kept"
+
     @property
     def feed(self) -> str:
         return f"{self.root}/live_updates"
@@ -139,14 +145,26 @@ def score_batch(
     ).first()
     if span["first"] is None:
         carry_current_risk(spark, paths.state, batch_id)
+        StateLog(paths.kept, "attempt_id", "last_received_us").carry(spark, batch_id)
         return
-    first = _first_day(fresh, span["first"], paths, batch_id, ttl_s)
-    raw = read_events(spark, paths, first, span["last"]).where(F.col("batch_id") <= batch_id)
-    needed = touched_attempts(raw, fresh, limits).withColumn("received_us", F.unix_micros("received_at"))
-    events = normalize_events(needed, limits, unusable=True)
     keep = (*IDENTITY, "event_type", "payload", "occurred_at", "received_at", "session_start_us")
-    scored = cut(
-        progressive_risk(
+    with_us = lambda rows: rows.withColumn("received_us", F.unix_micros("received_at"))
+    log = StateLog(paths.kept, "attempt_id", "last_received_us")
+    kept = log.read(spark, batch_id - 1, fresh)
+    rows = sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, limits)
+    late = None
+    if kept is not None:
+        rows = cut(rows)
+        late = cut(reached_back(rows))
+    n_late = late.count() if kept is not None else 0
+    small = F.broadcast(late) if 0 < n_late <= limits.broadcast_rows else late
+    on_time = rows.join(small, "attempt_id", "left_anti") if n_late else rows
+    scored, keeping = continued(on_time, scoring, patterns, keep, limits, predict, cut)
+    if n_late:
+        first = _first_day(late, span["first"], paths, batch_id, ttl_s)
+        raw = read_events(spark, paths, first, span["last"]).where(F.col("batch_id") <= batch_id)
+        events = cut(normalize_events(with_us(raw.join(small, "attempt_id", "left_semi")), limits, unusable=True))
+        again = progressive_risk(
             events,
             scoring,
             patterns,
@@ -157,7 +175,9 @@ def score_batch(
             limits=limits,
             predict=predict,
         )
-    )
+        scored = scored.unionByName(again, allowMissingColumns=True)
+        keeping = keeping.unionByName(carried_over(events, ttl_s, patterns, limits))
+    scored = cut(scored)
 
     append_risk_history(history_rows(scored, F.col("received_at")), paths.history, batch_id)
     _write_batch(live_update_feed(scored), paths.feed, batch_id, "json")
@@ -176,7 +196,9 @@ def score_batch(
     if ttl_s is not None:
         expired = F.lit(span["newest"]) - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")
     upsert_current_risk(changes, paths.state, batch_id, expired_before=expired)
+    log.upsert(keeping, batch_id, None if expired is None else F.unix_micros(expired))
     drop_old_states(spark, paths.state, batch_id - KEPT_STATES)
+    log.drop_old(spark, batch_id - KEPT_STATES)
 
 
 def read_events(spark: SparkSession, paths: IngestPaths, first: date | None = None, last: date | None = None) -> DataFrame:
@@ -189,19 +211,13 @@ def read_events(spark: SparkSession, paths: IngestPaths, first: date | None = No
 
 
 def _first_day(
-    fresh: DataFrame, today: date, paths: IngestPaths, batch_id: int, ttl_s: float | None
+    attempts: DataFrame, today: date, paths: IngestPaths, batch_id: int, ttl_s: float | None
 ) -> date | None:
-    """First day that an open session of a touched attempt has events on; none means all days."""
+    """First day that an open session of the attempts has events on; none means all days."""
     if ttl_s is None:
         return None
-    state = read_current_risk(fresh.sparkSession, paths.state, batch_id - 1)
-    if state is None:
-        return today
-    open_since = (
-        state.join(fresh.select("attempt_id").distinct(), "attempt_id", "left_semi")
-        .agg(F.to_date(F.timestamp_micros(F.min("session_start_us"))).alias("day"))
-        .first()["day"]
-    )
+    kept = StateLog(paths.kept, "attempt_id", "last_received_us").read(attempts.sparkSession, batch_id - 1, attempts)
+    open_since = kept.agg(F.to_date(F.timestamp_micros(F.min("session_start_us"))).alias("day")).first()["day"]
     return min(today, open_since) if open_since else today
 
 
