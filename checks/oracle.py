@@ -842,3 +842,4 @@ ORACLE: dict[str, str] = {
 ORACLE["write_eval_report_metrics"] = ORACLE["eval_metrics"]
 ORACLE["score_attempts_default"] = ORACLE["score_attempts"].replace("questions_seen >= 4", "questions_seen >= 10")
 ORACLE["score_attempts_with_model"] = ORACLE["score_attempts"].replace(chain(BASE), chain(BASE, predictions=STAND_IN))
+ORACLE["stream_late_events"] = ORACLE["late_event_policy"]

@@ -10,7 +10,6 @@ from conftest import SMALL, same
 from vigilframe.catalog import RULES
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.session import fresh_path
-from vigilframe.sinks.state import StateLog
 from vigilframe.sources.fixture import attempt_events, iso_time
 from vigilframe.streaming import ingest
 
@@ -61,7 +60,7 @@ def test_batches_in_order_read_no_stored_event(spark, events, ttl_s, monkeypatch
     history = spark.read.parquet(paths.history)
     assert history.count() == events.count()
     assert same(wanted, history.select(*COLUMNS))
-    kept = StateLog(paths.kept, "attempt_id", "last_received_us").read(spark, BATCHES - 1)
+    kept = paths.kept.read(spark, BATCHES - 1)
     assert kept.count() <= events.select("attempt_id").distinct().count()
 
 

@@ -28,6 +28,7 @@ from vigilframe.session import cut, fresh_path
 from vigilframe.sinks import writers
 from vigilframe.sources import fixture, readers, streams
 from vigilframe.streaming import ingest
+from vigilframe.streaming.sessions import attempt_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +140,7 @@ def _(spark, sf_dir):
         "attempt_id", "event_type", "occurred_at", F.get_json_object("payload", "$.state").alias("state"), "arrival")
 
 
+LATE_BATCHES = 3
 FILES = 2
 
 
@@ -1012,16 +1014,15 @@ def _(spark, sf_dir):
 
 @query("stream_attempt_state")
 def _(spark, sf_dir):
-    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir))
-    target, state = fresh_path(spark, "attempt_state"), fresh_path(spark, "attempt_state_progress")
-    rows = ingest.stream_attempt_state(stream, late_s=3600.0).select(
-        "attempt_id", "event_count", "paste_count", "tab_hidden_count", "submits",
-        (F.unix_micros("first_event_at") - F.lit(fixture.EPOCH_US)).alias("first_us"),
-        (F.unix_micros("last_event_at") - F.lit(fixture.EPOCH_US)).alias("last_us"))
-    q = (rows.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
-         .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(target)).start())
-    q.awaitTermination()
-    return spark.read.parquet(target)
+    """Closed sessions; a last row without attempt moves the clock on, so that all of them close."""
+    source = _ingest_json(spark, sf_dir)
+    spark.range(1).select(F.lit('{"event_type":"heartbeat"}').alias("value")).write.mode("append").text(source)
+    clock = F.when(F.col("attempt_id").isNull(), F.col("received_at") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("received_at"))
+    stream = streams.stream_events(spark, source).withColumn("received_at", clock)
+    found = _drain(attempt_sessions(stream, late_s=3600.0), spark, "attempt_sessions")
+    us = lambda c: (F.col(c) - F.lit(fixture.EPOCH_US)).alias(c)
+    return found.where("kind = 'session'").select(
+        "attempt_id", "event_count", "paste_count", "tab_hidden_count", "submits", us("first_us"), us("last_us"))
 
 
 @query("late_event_policy")
@@ -1030,6 +1031,21 @@ def _(spark, sf_dir):
     return ingest.late_events(late, 20.0).select("attempt_id", "arrival", "late_by_s")
 
 
+@query("stream_late_events")
+def _(spark, sf_dir):
+    """The same rows from a stream of several batches, each with the arrivals of its time."""
+    source, root = fresh_path(spark, "late_source"), fresh_path(spark, "late_job")
+    late = events(spark, sf_dir).withColumn("arrival", delayed_arrival()).select("attempt_id", "arrival", "t_us")
+    late = cut(late)
+    last = late.agg(F.max("arrival")).first()[0] or 0
+    for part in range(LATE_BATCHES):  # one after the other, as files are taken by their age
+        mine = late.where(F.floor(F.col("arrival") * LATE_BATCHES / F.lit(last + 1)) == part)
+        mine.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.stream_late_events(stream, root, 20.0).awaitTermination()
+    return spark.read.parquet(f"{root}/late").select("attempt_id", "arrival", "late_by_s")
+
+
 @query("idle_sessions")
 def _(spark, sf_dir):
     return sessions.idle_sessions(events(spark, sf_dir))

@@ -31,13 +31,13 @@ def newest(rows: DataFrame, key: str, updated: str) -> DataFrame:
 class StateLog:
     """State rows by ``key``; of several rows of a key the one with the largest ``updated`` counts.
 
-    ``buckets`` is fixed with the first version. A bucket is compacted once it has ``longest`` deltas.
+    ``buckets`` is fixed with the first version: set it so that a bucket's rows are some hundred MB. A bucket is compacted once it has ``longest`` deltas.
     """
 
     path: str
     key: str = "attempt_id"
     updated: str = "updated_at"
-    buckets: int = 64
+    buckets: int = 16
     longest: int = 8
 
     # ---- reading ----

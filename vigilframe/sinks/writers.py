@@ -74,12 +74,17 @@ def append_risk_history(rows: DataFrame, path: str, batch_id: int | None = None)
     )
 
 
-def current_risk(path: str, updated: str = "updated_at") -> StateLog:
-    return StateLog(path, "attempt_id", updated)
+def current_risk(path: str, updated: str = "updated_at", buckets: int = StateLog.buckets) -> StateLog:
+    return StateLog(path, "attempt_id", updated, buckets)
 
 
 def upsert_current_risk(
-    changes: DataFrame, path: str, version: int, updated: str = "updated_at", expired_before: Column | None = None
+    changes: DataFrame,
+    path: str,
+    version: int,
+    updated: str = "updated_at",
+    expired_before: Column | None = None,
+    buckets: int = StateLog.buckets,
 ) -> DataFrame:
     """Lay changes over the state of the version before; only the changed rows are written.
 
@@ -87,7 +92,7 @@ def upsert_current_risk(
     before are not disturbed. States last updated before ``expired_before`` are left out, so the
     state holds live attempts only.
     """
-    return current_risk(path, updated).upsert(changes, version, expired_before)
+    return current_risk(path, updated, buckets).upsert(changes, version, expired_before)
 
 
 def read_current_risk(spark: SparkSession, path: str, version: int, attempts: DataFrame | None = None) -> DataFrame | None:

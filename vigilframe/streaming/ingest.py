@@ -44,9 +44,13 @@ BATCH_SPAN = 2**31  # more than the events one attempt can have in one batch
 
 @dataclass(frozen=True)
 class IngestPaths:
-    """Where the job keeps its tables; all on storage that every executor reaches."""
+    """Where the job keeps its tables; all on storage that every executor reaches.
+
+    ``buckets`` is for the states by attempt (see ``StateLog``).
+    """
 
     root: str
+    buckets: int = StateLog.buckets
 
     @property
     def events(self) -> str:
@@ -61,8 +65,8 @@ class IngestPaths:
         return f"{self.root}/current_risk"
 
     @property
-    def kept(self) -> str:
-        return f"{self.root}/kept"
+    def kept(self) -> StateLog:
+        return StateLog(f"{self.root}/kept", "attempt_id", "last_received_us", self.buckets)
 
     @property
     def feed(self) -> str:
@@ -145,11 +149,11 @@ def score_batch(
     ).first()
     if span["first"] is None:
         carry_current_risk(spark, paths.state, batch_id)
-        StateLog(paths.kept, "attempt_id", "last_received_us").carry(spark, batch_id)
+        paths.kept.carry(spark, batch_id)
         return
     keep = (*IDENTITY, "event_type", "payload", "occurred_at", "received_at", "session_start_us")
     with_us = lambda rows: rows.withColumn("received_us", F.unix_micros("received_at"))
-    log = StateLog(paths.kept, "attempt_id", "last_received_us")
+    log = paths.kept
     kept = log.read(spark, batch_id - 1, fresh)
     rows = sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, limits)
     late = None
@@ -195,7 +199,7 @@ def score_batch(
     expired = None
     if ttl_s is not None:
         expired = F.lit(span["newest"]) - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")
-    upsert_current_risk(changes, paths.state, batch_id, expired_before=expired)
+    upsert_current_risk(changes, paths.state, batch_id, expired_before=expired, buckets=paths.buckets)
     log.upsert(keeping, batch_id, None if expired is None else F.unix_micros(expired))
     drop_old_states(spark, paths.state, batch_id - KEPT_STATES)
     log.drop_old(spark, batch_id - KEPT_STATES)
@@ -216,7 +220,7 @@ def _first_day(
     """First day that an open session of the attempts has events on; none means all days."""
     if ttl_s is None:
         return None
-    kept = StateLog(paths.kept, "attempt_id", "last_received_us").read(attempts.sparkSession, batch_id - 1, attempts)
+    kept = paths.kept.read(attempts.sparkSession, batch_id - 1, attempts)
     open_since = kept.agg(F.to_date(F.timestamp_micros(F.min("session_start_us"))).alias("day")).first()["day"]
     return min(today, open_since) if open_since else today
 
@@ -272,15 +276,67 @@ def late_receipts(batch: DataFrame, newest_before, late_s: float) -> DataFrame:
     return batch.where(F.col("received_at") < F.lit(newest_before) - F.expr(f"INTERVAL {int(late_s)} SECONDS"))
 
 
-def late_events(events: DataFrame, late_s: float, limits: HotKeys = HotKeys()) -> DataFrame:
-    """Events that arrive more than ``late_s`` after a newer event of their attempt (none is dropped)."""
-    behind: Column = F.col("_newest") - F.col("t_us")
+def late_events(
+    events: DataFrame, late_s: float, limits: HotKeys = HotKeys(), marks: DataFrame | None = None
+) -> DataFrame:
+    """Events that arrive more than ``late_s`` after a newer event of their attempt (none is dropped).
+
+    ``marks`` holds the newest time (``newest_us``) that each attempt had before these events.
+    """
+    newest, extra = F.col("_newest"), []
+    if marks is not None:
+        events = events.join(marks.select("attempt_id", F.col("newest_us").alias("_mark")), "attempt_id", "left")
+        newest, extra = F.greatest("_newest", "_mark"), ["_mark"]
+    behind: Column = newest - F.col("t_us")
     return on_timelines(
         events,
         lambda t: t.scan(Scan("_newest", "max", F.col("t_us")), order=("arrival",))
         .rows.where(behind > int(late_s * 1_000_000))
         .withColumn("late_by_s", behind / 1_000_000)
-        .drop("_newest"),
+        .drop("_newest", *extra),
         limits=limits,
         order=("arrival",),
     )
+
+
+def late_batch(
+    batch: DataFrame, batch_id: int, root: str, late_s: float, limits: HotKeys = HotKeys(), keep_s: float | None = None
+) -> None:
+    """Write the late events of a micro-batch to ``late`` and the newest time of its attempts to ``marks``.
+
+    The marks are a state log: only those of the batch's attempts are read, and only changed ones are written. With
+    ``keep_s``, marks that lie further behind the newest time of all are given up; without, late events are
+    found however long their attempt was silent.
+    """
+    spark, log = batch.sparkSession, StateLog(f"{root}/marks", "attempt_id", "newest_us")
+    events = cut(batch.where("t_us IS NOT NULL AND length(attempt_id) > 0"))
+    marks = log.read(spark, batch_id - 1, events)
+    _write_batch(late_events(events, late_s, limits, marks), f"{root}/late", batch_id)
+    tops = events.groupBy("attempt_id").agg(F.max("t_us").alias("newest_us"))
+    expired = None
+    if keep_s is not None:
+        newest = events.agg(F.max("t_us")).first()[0]
+        expired = None if newest is None else F.lit(newest - int(keep_s * 1_000_000))
+    log.upsert(tops, batch_id, expired)
+    log.drop_old(spark, batch_id - KEPT_STATES)
+
+
+def stream_late_events(
+    events: DataFrame,
+    root: str,
+    late_s: float,
+    limits: HotKeys = HotKeys(),
+    keep_s: float | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """The late events of a stream of canonical events, also of those whose newer event came in an earlier batch.
+
+    Inside a batch events arrive in the order of ``arrival``. What the job writes is keyed by batch, so that a batch
+    that is repeated replaces its own rows.
+    """
+    return (
+        events.writeStream.foreachBatch(lambda batch, batch_id: late_batch(batch, batch_id, root, late_s, limits, keep_s))
+        .option("checkpointLocation", f"{root}/_stream")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
