@@ -1,6 +1,7 @@
 """Shingle join, token counts, toxicity, pages, chats."""
 
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -118,29 +119,102 @@ def test_counts_in_spark(spark):
 
 
 def test_clauses():
-    machine = toxicity.Machine({"idiot": 5.0, "schwach*": 3.0})
-    plain = machine.readings_of("you are an idiot.")
-    denied = machine.readings_of("you are not an idiot.")
-    quoted = machine.readings_of('he said idiot. fine')
-    apart = machine.readings_of("not so. an idiot")
-    assert plain[1] == 5 and plain[4] == 0 and plain[5] == 5
-    assert denied[4] == 5 and quoted[4] == 5 and apart[4] == 0 and apart[5] == 0
-    assert machine.readings_of("schwachkopf")[1] == 3 and machine.readings_of("schwach")[1] == 0
-    assert machine.readings_of("I will kill you")[6] > 0 == machine.readings_of("kill time")[6]
-    assert machine.readings_of("")[1:] == [0.0] * 6
-
-
-def test_toxicity_on_held_out_documents(spark):
+    """Best clause, all clauses, weight a word, best targeted clause, threats."""
+    machine = toxicity.Machine({"idiot": 5.0, "schwach*": 3.0, "schwachk*": 4.0})
+    best = lambda text: machine.readings_of(text)[1]
+    _, denied, quoted = toxicity.LEFT
+    assert best("you are an idiot.") == machine.readings_of("you are an idiot.")[4] == 5
+    assert best("you are not an idiot.") == 5 * denied < best("he said idiot. fine") == 5 * quoted < 5
+    assert best("not so. an idiot") == 5 and machine.readings_of("not so. an idiot")[4] == 0
+    assert (best("schwachkopf"), best("schwacher"), best("schwach")) == (4, 3, 0)  # the longest arc
+    assert machine.readings_of("I will kill you")[5] > 0 == machine.readings_of("kill time")[5]
+    assert machine.readings_of("")[1:] == [0.0] * 5
+
+
+def plain_readings(text, arcs):
+    """The grammar word by word, without machines and their composition."""
+    clauses, words = [[]], 0
+    for token in toxicity._TOKENS.findall(text):
+        if token in ".!?;\n":
+            clauses.append([])
+        else:
+            clauses[-1].append(token.lower())
+            words += 1
+    sums, targeted, threats = [], [0.0], 0
+    for clause in clauses:
+        score, since, target, threat, inside, reported = 0.0, 9, False, False, False, False
+        for w in clause:
+            quote, since = w in toxicity._QUOTES, since + 1
+            if w in arcs:
+                score += arcs[w] * (0.1 if since <= 3 else 0.4 if inside or reported else 1.0)
+            elif quote:
+                inside, reported = not inside, False
+            elif w in toxicity.THREATS:
+                threat = True
+            elif w in toxicity.TARGETS:
+                target = True
+            elif w in toxicity.NEGATIONS:
+                since = 0
+            elif w in toxicity.REPORTS and not inside:
+                reported = True
+        sums.append(score)
+        if target:
+            targeted.append(score)
+            threats += threat
+    total = sum(sums)
+    return [1.0, max(sums), math.log1p(total), 10 * total / (words + 10), max(targeted), math.log1p(threats)]
+
+
+def test_machine_is_the_grammar():
+    rng, arcs = random.Random(8), {"idiot": 5.0, "scum": 3.5}
+    stock = ["idiot", "scum", "not", "said", "you", "kill", "word", "fine", ".", "\"", "“", "!", "nicht", "dit", "tu"]
+    machine = toxicity.Machine(arcs)
+    for _ in range(4000):
+        text = " ".join(rng.choices(stock, k=rng.randint(0, 14)))
+        assert machine.readings_of(text) == pytest.approx(plain_readings(text, arcs)), text
+
+
+ORDINARY = [
+    "We discussed the distance to the station.",
+    "The district train travels through the track.",
+    "They trained for the disco contest.",
+    "Your loss was a close call, you said.",
+    "Die Strecke zum Bahnhof ist lang, und du wirst nicht schlagen müssen.",
+    "Schwache Nerven sind kein Hindernis für eine Wanderung.",
+    "Le trajet jusqu'à la gare est court et tu es en avance.",
+    "El tren llega tarde a la estación y usted puede esperar.",
+]
+
+
+def test_toxicity_after_training(spark):
+    """Held-out documents, ordinary sentences, and what denial and report leave of an insult."""
     sf = "/root/testdata/sf0.1"
-    found = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, sf).collect()}
-    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()
-    held = [(found[r.doc_id], r.toxic) for r in labels if found[r.doc_id].held_out]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    judge = toxicity.train(docs, labels)
+    worst = max((w for w in judge.arcs if not w.endswith("*")), key=judge.arcs.get)
+    said = [f"you are {worst}.", f"he said you are {worst}.", f"you are not {worst}."]
+    rows = spark.createDataFrame(list(enumerate(ORDINARY + said)), "doc_id long, text string")
+    scores = [r.score for r in toxicity.score(rows, judge).orderBy("doc_id").collect()]
+    assert all(s < 0.5 for s in scores[: len(ORDINARY)])
+    plain, reported, denied = scores[len(ORDINARY) :]
+    assert plain > reported > denied and plain >= 0.5 > denied
+    found = {r.doc_id: r for r in toxicity.score(docs, judge).collect()}
+    held = [(found[r.doc_id], r.toxic) for r in labels.where("toxic is not null").where(toxicity.remainder() == 0).collect()]
     assert len(held) > 500 and sum(f.predicted == t for f, t in held) / len(held) > 0.97
     high, low = [f.score for f, t in held if t], [f.score for f, t in held if not t]
     wins = sum((h > l) + (h == l) / 2 for h in high for l in low) / (len(high) * len(low))
     assert wins > 0.94
 
 
+def test_a_beginning_needs_words_of_its_own(spark):
+    texts = [("you disgusting one", 1)] * 9 + [(f"rotten{x} thing", 1) for x in "abcdefghi" * 3] + [("we discuss the rota", 0)] * 60
+    rows = spark.createDataFrame([(f"{t} w{i}", y) for i, (t, y) in enumerate(texts)], "text string, toxic int")
+    arcs = toxicity.learn_arcs(rows)
+    assert "disgusting" in arcs and not any(f.startswith("dis") and f.endswith("*") for f in arcs)
+    assert "rotten*" in arcs and "rott*" not in arcs
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(1, None, 5.0), (2, "", 5.0), (2, "", 5.0), (None, "x", 5.0), (3, "word " * 50_000, 5.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")

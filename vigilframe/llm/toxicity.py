@@ -2,11 +2,12 @@
 
 Small transducers read a clause word by word: one for insults, one each for threats, targets, negation and
 reported speech. Their composition is one machine whose states are tuples of theirs; its arcs carry the
-weight of the word and sort it by what surrounds it, so an insult that is denied or quoted is told apart from
-one that is thrown at somebody. Clauses are scored, never single words out of their clause.
+weight of the word times what its reading leaves of it: all if it is thrown at somebody, less if it is reported,
+least if it is denied. Clauses are scored, never single words out of their clause.
 
-The insult transducer's arcs (words and beginnings of words, with weights) are learned from labelled documents;
-what a clause's readings are worth is learned from other labelled documents than the arcs, so that arcs that
+The insult transducer's arcs (words and beginnings of words, with weights) are learned from labelled documents. A
+beginning is an arc only if toxic documents have it in several words, and with evidence left when the most frequent
+of them is taken away; of several arcs the longest one counts, a whole word before any beginning. What a clause's readings are worth is learned from other labelled documents than the arcs, so that arcs that
 fit by chance get no credit. Both take TRAIN_ROWS labelled documents at most, chosen by a hash of their ids;
 scoring covers every document and its whole text. Nothing but the text enters a score.
 
@@ -34,9 +35,12 @@ TRAIN_ROWS = 200_000
 HELD_OUT = 5
 #: Arcs need this many toxic documents and this share of them; the strongest MOST_ARCS are kept.
 LEAST_DOCUMENTS, LEAST_SHARE, MOST_ARCS = 3, 0.002, 20_000
-BEGINNINGS = range(3, 9)
-#: Learned weights start from these, so that a few labels can't turn a reading around.
-PRIOR, STIFFNESS = np.array([-3.0, 0.6, 0.4, 0.2, 0.1, 0.2, 0.3]), 1.0
+#: A beginning needs so many different words.
+LEAST_WORDS = 3
+BEGINNINGS = range(4, 10)
+#: Learned weights start from these, so that a few labels can't turn a reading around. All but the constant stay at 0
+#: or above: more insults never make a text less toxic.
+PRIOR, STIFFNESS = np.array([-3.0, 0.6, 0.4, 0.2, 0.2, 0.3]), 1.0
 REMEMBERED = 100_000
 #: Rejected documents that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
@@ -62,7 +66,8 @@ REPORTS = frozenset(
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”«»„]")
 _BREAKS, _QUOTES = frozenset(".!?;\n"), frozenset("\"“”«»„")
-READINGS = ("plain", "denied", "quoted")
+#: What a reading leaves of a word's weight: plain, denied, reported.
+LEFT = (1.0, 0.1, 0.4)
 
 
 class Transducer:
@@ -114,10 +119,9 @@ class Machine:
         if word in _QUOTES:
             return QUOTE, 0.0
         weight = self.arcs.get(word, 0.0)
-        for k in BEGINNINGS:
-            if len(word) <= k:
-                break
-            weight = max(weight, self.arcs.get(word[:k] + "*", 0.0))
+        for k in reversed(BEGINNINGS):  # the longest arc
+            if not weight and len(word) > k:
+                weight = self.arcs.get(word[:k] + "*", 0.0)
         if weight > 0:
             return INSULT, weight
         for symbol, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
@@ -126,25 +130,23 @@ class Machine:
         return WORD, 0.0
 
     def readings_of(self, text: str) -> list[float]:
-        """1, best clause, all clauses (log), weight a word, best denied or quoted, best targeted, threats."""
-        best = targeted = muted = total = 0.0
+        """1, best clause, all clauses (log), weight a word, best targeted clause, threats."""
+        best = targeted = total = score = 0.0
         threats = words = 0
-        state, sums = self.start, [0.0, 0.0, 0.0]
+        state = self.start
         known, moves, readings = self.known, self.moves, self.readings
         if len(known) > REMEMBERED:
             known.clear()
         for token in [*_TOKENS.findall(text), "."]:
             if token in _BREAKS:
                 if state != self.start:
-                    score = sums[0] + sums[1] + sums[2]
-                    if score:
-                        total += score
-                        best, muted = max(best, score), max(muted, sums[1] + sums[2])
+                    total += score
+                    best = max(best, score)
                     _, threat, target, _, _ = self.states[state]
                     if target:
                         targeted = max(targeted, score)
                         threats += threat
-                    state, sums = self.start, [0.0, 0.0, 0.0]
+                    state, score = self.start, 0.0
                 continue
             found = known.get(token)
             if found is None:
@@ -152,11 +154,9 @@ class Machine:
             words += 1
             symbol, weight = found
             if weight:
-                sums[readings[state]] += weight
+                score += weight * LEFT[readings[state]]
             state = moves[state][symbol]
-        return [
-            1.0, best, math.log1p(total), 10 * total / (words + 10), muted, targeted, math.log1p(threats)
-        ]
+        return [1.0, best, math.log1p(total), 10 * total / (words + 10), targeted, math.log1p(threats)]
 
 
 def features_of(text: str) -> set[str]:
@@ -192,35 +192,75 @@ def learn_arcs(labelled: DataFrame) -> dict[str, float]:
         return {}
     least = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * toxic))
     # a share of the toxic documents bounds this list by their mean number of words over that share
-    candidates = documents_with(labelled.where("toxic = 1"), None).where(F.col("n") >= least)
-    own = {r.feature: r.n for r in candidates.collect()}
+    counted_own = written(documents_with(labelled.where("toxic = 1"), None), "toxic-features")
+    own = {r.feature: r.n for r in counted_own.where(F.col("n") >= least).collect()}
+    single = beginnings(counted_own)
     others = documents_with(labelled.where("toxic = 0"), set(own))
     others = {r.feature: r.n for r in others.collect()}
     arcs = {}
     sure = max(10.0, 2 * math.log(max(1, len(own))))  # so many candidates have chances to fit by accident
     for feature, a in own.items():
         b = others.get(feature, 0)
+        if feature.endswith("*"):
+            words, most, word = single.get(feature, (0, 0, ""))
+            # what is left when its most frequent word is taken away; documents with both count against it
+            a, b = a - most, max(0, b - others.get(word, 0))
+            if words < LEAST_WORDS or a < least:
+                continue
         odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         even = (a + b) / (toxic + clean)
         ratio = 2 * (a * math.log(a / (toxic * even)) + (b * math.log(b / (clean * even)) if b else 0.0))
         if odds > error + 0.5 and ratio > sure:
             arcs[feature] = odds - error
+    # a beginning of a longer one needs words of its own, too
+    arcs = {f: w for f, w in arcs.items() if not f.endswith("*") or not explained(f, arcs, own, least)}
     strongest = sorted(arcs, key=lambda f: (-arcs[f], f))[:MOST_ARCS]
     return {f: arcs[f] for f in strongest}
 
 
+def beginnings(counted: DataFrame) -> dict[str, tuple[int, int, str]]:
+    """Of each beginning of several words: how many words, and documents of the most frequent one and its name.
+
+    ``counted`` has the documents of each word; words of fewer than two documents are no witnesses.
+    """
+    words = counted.where("n > 1 AND NOT endswith(feature, '*')")
+    parts = F.transform(F.sequence(F.lit(BEGINNINGS[0]), F.lit(BEGINNINGS[-1])), lambda k: F.when(F.length("feature") > k, F.substring("feature", 1, k)))
+    below = words.select(F.explode(F.array_compact(parts)).alias("part"), "feature", "n")
+    found = below.groupBy("part").agg(F.count("*").alias("words"), F.max(F.struct("n", "feature")).alias("most"))
+    rows = found.where(F.col("words") >= LEAST_WORDS).orderBy(F.col("most.n").desc(), "part").limit(10 * MOST_ARCS).collect()
+    return {f"{r.part}*": (r.words, r.most.n, r.most.feature) for r in rows}
+
+
+def explained(feature: str, arcs: dict[str, float], own: dict[str, int], least: int) -> bool:
+    """Whether a longer beginning has nearly all the toxic documents of this one."""
+    stem = feature[:-1]
+    return any(f.endswith("*") and len(f) > len(feature) and f.startswith(stem) and own[f] + least > own[feature] for f in arcs)
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by damped Newton steps, held to PRIOR by STIFFNESS (the constant is nearly free)."""
-    hold = np.array([1e-3, *[STIFFNESS] * (len(PRIOR) - 1)])
+    """``newton`` with all weights but the constant at 0 or above: those that would be negative are left out."""
+    used = np.arange(x.shape[1])
+    while True:
+        weights = np.zeros(x.shape[1])
+        weights[used] = newton(x[:, used], y, PRIOR[used])
+        bad = np.flatnonzero(weights[1:] < 0) + 1
+        if not len(bad):
+            return weights
+        used = np.setdiff1d(used, bad)
+
+
+def newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logistic regression by damped Newton steps, held to the prior by STIFFNESS (the constant is nearly free)."""
+    hold = np.array([1e-3, *[STIFFNESS] * (len(prior) - 1)])
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + hold @ (w - PRIOR) ** 2 / 2)
+        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + hold @ (w - prior) ** 2 / 2)
 
-    weights, now = PRIOR.copy(), loss(PRIOR)
+    weights, now = prior.copy(), loss(prior)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
-        slope = x.T @ (y - p) - hold * (weights - PRIOR)
+        slope = x.T @ (y - p) - hold * (weights - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), slope)
         while (after := loss(weights + step)) > now and np.abs(step).max() > 1e-10:
             step /= 2
@@ -261,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Judge:
     labelled = docs.join(first, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     arcs = learn_arcs(labelled.where(remainder() != HELD_OUT - 1))
     read = readings(labelled.where(remainder() == HELD_OUT - 1).select("text", "toxic"), arcs)
-    read = read.select("readings", "toxic").collect()  # a quarter of the sample, seven numbers each
+    read = read.select("readings", "toxic").collect()  # a quarter of the sample, six numbers each
     y = np.array([r.toxic for r in read], dtype=np.float64)
     both = 0 < y.sum() < len(y)
     return Judge(arcs, fit(np.array([r.readings for r in read]), y) if both else PRIOR)
