@@ -1,7 +1,9 @@
 """The stages of the pipeline on the smallest table, each held against what its operator says."""
 
+import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -90,24 +92,34 @@ def mixture_by_hand(rows, hashes):
         sizes[s] = sizes.get(s, 0) + len(words[i])
     targets = targets_by_hand(sizes)
     sources = sorted(sizes, key=lambda s: "n" if s is None else f"v{s}")
-    seats = highest_quotients([targets[s] for s in sources], round(sum(targets.values()) / 32))
+    seats = highest_quotients([targets[s] for s in sources], round(sum(targets.values())))
     out = []
     for source, quota in zip(sources, seats):
-        blocks = math.ceil(sizes[source] / 32)
-        quota = min(quota, 2 * blocks)
+        size = sizes[source]
+        blocks, quota = math.ceil(size / 32), min(quota, 2 * size)
         draw = np.random.default_rng([0, *("n" if source is None else f"v{source}").encode()])
         a = int(draw.integers(1, 2**20))
         while blocks and math.gcd(a, blocks) != 1:
             a += 1
         c = int(draw.integers(0, max(1, blocks)))
+        taken = set()  # (pass, place in the line of words)
+        for number in range(2):
+            ahead = number * size
+            for k in sorted(range(blocks), key=lambda k: (a * k + c) % blocks):
+                for x in range(32 * k, min(32 * k + 32, size)):
+                    if ahead < quota:
+                        taken.add((number, x))
+                    ahead += 1
         at = 0
         for i, text, _ in sorted((r for r in rows if r[2] == source), key=lambda r: hashes[r[0]]):
-            places = range(at, at + len(words[i]))
-            at += len(words[i])
+            spots = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
             for number in range(2):
-                own = [w for w, k in zip(words[i], places) if (a * (k // 32) + c) % blocks + number * blocks < quota]
-                if own:
-                    out.append((i, text if len(own) == len(words[i]) else b" ".join(own).decode()))
+                own = [j for j in range(len(spots)) if (number, at + j) in taken]
+                runs = [[j for _, j in g] for _, g in itertools.groupby(enumerate(own), key=lambda e: e[1] - e[0])]
+                for run in runs:
+                    part = text.encode()[spots[run[0]][0] : spots[run[-1]][1]].decode()
+                    out.append((i, text if len(run) == len(spots) else part))
+            at += len(spots)
     return out
 
 

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Every source's documents, in a seeded order, are a line of words that is cut into blocks of equal length; two
-passes over the line are on offer, as a document may be taken twice at most. Blocks are the seats, targets
-the votes: shard by shard the highest quotients target / (2 seats + 1) win, which gives whole quotas per
-shard. A source's quota is filled with a whole pass first, then with blocks chosen by a seeded permutation.
+passes over the line are on offer, as a document may be taken twice at most. Words are the seats, targets
+the votes: shard by shard the highest quotients target / (2 seats + 1) win, which gives whole quotas of words per
+shard, however small a source is. A source's quota is filled with a whole pass first, then with blocks in a seeded
+permutation, the last one up to the word that fills the quota.
 
 Defined cases: null sources are one source that comes last; a null or empty text has no words and gives none;
 an empty table gives an empty table; repeated rows are documents of their own; ties between quotients go to
@@ -25,6 +26,7 @@ from vigilframe.llm.common import BLANKS, group_key, hash_bucket, map_texts, run
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK = 32
+WHITE = BLANKS.removesuffix("+")
 #: Sources whose quotas are broadcast at most.
 BROADCAST_SOURCES = 200_000
 #: Parts that one pass over the sources cuts the range of a level into, and sources that it looks at together.
@@ -121,7 +123,7 @@ def counted(targets: DataFrame, levels: np.ndarray) -> np.ndarray:
 
 
 def quotas(targets: DataFrame, shards: int, block: int, most: int, seed: int) -> DataFrame:
-    """_key, source_size, target, ``_blocks`` of a pass, ``_upto`` (blocks up to and with each shard) and the
+    """_key, source_size, target, ``_blocks`` of a pass, ``_upto`` (words up to and with each shard) and the
     seeded permutation k -> (``_a`` k + ``_c``) mod blocks of every source; written.
 
     The method never takes a seat back when more seats are given out, so the seats of the first j shards
@@ -131,7 +133,7 @@ def quotas(targets: DataFrame, shards: int, block: int, most: int, seed: int) ->
     total, parties, largest = targets.agg(F.sum("target"), F.count("*"), F.max("target")).first()
     levels, ties = np.full(shards, np.inf), targets.select("_key").limit(0).withColumn("_more", F.array().cast("array<int>"))
     if total:
-        houses = np.array([round(total / block) * j // shards for j in range(1, shards + 1)])
+        houses = np.array([round(total) * j // shards for j in range(1, shards + 1)])
         levels = lowest_levels(lambda at: counted(targets, at), houses, total, parties, largest)
         left = houses - counted(targets, levels[:, None])[:, 0]
         above = lambda level: F.floor((F.col("target") / F.lit(float(level)) + 1) / 2)
@@ -161,7 +163,7 @@ def quotas(targets: DataFrame, shards: int, block: int, most: int, seed: int) ->
                 while blocks and math.gcd(a, blocks) != 1:
                     a += 1
                 c = int(draw.integers(0, max(1, blocks)))
-                rows.append((key, size, target, blocks, np.minimum(upto, most * blocks), a, c))
+                rows.append((key, size, target, blocks, np.minimum(upto, most * size), a, c))
             yield pd.DataFrame(rows, columns=names)
 
     names = ["_key", "source_size", "target", "_blocks", "_upto", "_a", "_c"]
@@ -206,22 +208,25 @@ def mix(
     last = F.expr(f"(before + size - 1) div {block}")
     quota = F.element_at("_upto", -1)
     place = lambda k: F.pmod(F.col("_a") * k + F.col("_c"), F.col("_blocks"))
+    lacks = F.col("_blocks") * block - F.col("source_size")  # of the last block of the line
 
     def of_pass(number):
-        seat = lambda k: place(k) + F.lit(number) * F.col("_blocks")
-        chosen = F.filter(F.sequence(first, last), lambda k: seat(k) < quota)
+        def ahead(k):  # words of the passes and blocks before it
+            seats = place(k)
+            return F.lit(number) * F.col("source_size") + seats * block - F.when(seats > place(F.col("_blocks") - 1), lacks).otherwise(0)
 
         def span(k):
             start = F.greatest(k * block, F.col("before"))
-            end = F.least((k + 1) * block, F.col("before") + F.col("size"))
+            end = F.least(k * block + F.least(F.lit(block), quota - ahead(k)), F.col("before") + F.col("size"))
             return F.struct(
-                F.size(F.filter("_upto", lambda u: u <= seat(k))).alias("shard"),
+                F.size(F.filter("_upto", lambda u: u <= ahead(k))).alias("shard"),
                 F.lit(number).alias("pass"),
                 (start - F.col("before")).alias("start"),
                 (end - start).alias("words"),
             )
 
-        return F.transform(chosen, span)
+        chosen = F.filter(F.sequence(first, last), lambda k: ahead(k) < quota)
+        return F.filter(F.transform(chosen, span), lambda s: s["words"] > 0)
 
     spans = F.flatten(F.array(*[of_pass(n) for n in range(most)]))
     none = F.array().cast("array<struct<shard:int,pass:int,start:bigint,words:bigint>>")
@@ -233,17 +238,27 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: a row of ``docs`` per pass that takes words of it, its text cut to these words where
-    they are not all, ``n_chars`` (if there is one) the new length. Rows that give no word are gone."""
+    """The mixture itself: a row of ``docs`` per pass and unbroken stretch of words that is taken, its text that part
+    of the document's text as it stands (all of it where all is taken), ``n_chars`` (if there is one) its length."""
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "source", "text")
     rows = mix(inner, keep=("row",), **options)
     rows = rows.select("row", "size", "spans", F.explode(F.array_distinct(F.transform("spans", lambda s: s["pass"]))).alias("pass"))
-    own = F.array_sort(F.transform(F.filter("spans", lambda s: s["pass"] == F.col("pass")), lambda s: F.struct(s["start"], s["words"])))
-    words = F.filter(F.split("row.text", BLANKS), lambda w: w != "")
-    part = F.flatten(F.transform("own", lambda s: F.slice("words", (s["start"] + 1).cast("int"), s["words"].cast("int"))))
-    whole = F.aggregate("own", F.lit(0).cast("long"), lambda t, s: t + s["words"]) == F.col("size")
-    rows = rows.withColumn("own", own).withColumn("words", words)
-    rows = rows.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(F.array_join(part, " ")))
+    own = F.filter("spans", lambda s: s["pass"] == F.col("pass"))
+    own = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["words"]).alias("end"))))
+    # every word with the white space after it
+    parts = F.split("row.text", rf"(?<={WHITE})(?=[^{WHITE[1:]})")
+    rows = rows.withColumns({"own": own, "words": F.filter(parts, lambda w: w.rlike(rf"[^{WHITE[1:]}"))})
+    begins = F.transform("own", lambda s, i: F.when(F.coalesce(F.get("own", i - 1)["end"] != s["start"], F.lit(True)), s["start"]))
+    ends = F.transform("own", lambda s, i: F.when(F.coalesce(F.get("own", i + 1)["start"] != s["end"], F.lit(True)), s["end"]))
+    rows = rows.withColumn("stretches", F.arrays_zip(F.array_compact(begins).alias("begin"), F.array_compact(ends).alias("end")))
+
+    def text(s):
+        words = F.slice("words", (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))
+        part = F.regexp_replace(F.array_join(words, ""), rf"{WHITE}+$", "")
+        return F.when(s["end"] - s["begin"] == F.col("size"), F.col("row.text")).otherwise(part)
+
+    others = [F.col(f"row.`{c}`").alias(f"_{i}") for i, c in enumerate(names) if c not in ("text", "n_chars")]
+    rows = rows.select(*others, F.explode(F.transform("stretches", text)).alias("cut"))
     new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
-    return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names])
+    return rows.select(*[(new[c] if c in new else F.col(f"_{i}")).alias(c) for i, c in enumerate(names)])
