@@ -490,7 +490,7 @@ ORACLE: dict[str, str] = {
              row_number() OVER (PARTITION BY attempt_id ORDER BY arrival) - 1 AS arrival FROM raw""", raw=True),
     "scan_raw_events": plain("SELECT attempt_id, event_type, occurred_at, state, arrival FROM raw", raw=True),
     "stream_events": plain(
-        "SELECT event_type, count(*) AS events, count(*) AS stamped FROM raw GROUP BY event_type", raw=True),
+        "SELECT attempt_id, event_type, occurred_at, true AS stamped FROM raw", raw=True),
     "scan_score_log": sql(
         f"""SELECT aid AS attempt_id, risk, paste_count, questions_seen, round(s2, 6) AS tab_score FROM res
             JOIN (SELECT attempt_id AS aid, arg_max(k, arrival) AS last_k FROM ev GROUP BY ALL) USING (aid) WHERE last_k NOT IN (5, 7)"""),
@@ -507,7 +507,7 @@ ORACLE: dict[str, str] = {
             FROM (SELECT CAST({RANK.format(r='risk')} AS VARCHAR) AS risk, {TRAIN_MATRIX} FROM res)"""),
     # sinks
     "append_raw_events": plain(
-        """SELECT substr(received_at, 1, 10) AS event_date, count(*) AS events, count(DISTINCT attempt_id) AS attempts FROM raw GROUP BY 1""", raw=True),
+        """SELECT id, attempt_id, event_type, occurred_at, substr(received_at, 1, 10) AS event_date FROM raw""", raw=True),
     "append_score_log": sql(f"SELECT {FEATURES8}, risk, s1 AS timing_score FROM res"),
     "append_risk_history": prefixes(
         f"SELECT attempt_id, arrival, risk, round(confidence_score, 6) AS confidence, {SCORE}, reason FROM hist", extra=HIST),
@@ -830,10 +830,10 @@ ORACLE: dict[str, str] = {
         + f" FROM (SELECT aid AS attempt_id, {RANK.format(r='risk')} AS risk, {TRAIN_MATRIX.replace(', 6)', ', 15)')} FROM res)"),
     "save_model": sql("SELECT aid AS attempt_id, true AS same FROM res"),
     "predict_in_plan": sql("SELECT aid AS attempt_id, true AS same FROM res"),
-    "predict_risk": sql("SELECT aid AS attempt_id, true AS known_label, true AS adds_up, true AS is_maximum FROM res"),
-    "train_risk_forest": sql("SELECT risk AS expected_label, n - CAST(round(n * 0.8) AS BIGINT) AS n FROM (SELECT risk, count(*) AS n FROM res GROUP BY 1)"),
-    "feature_importance": "SELECT unnest([" + ", ".join(f"'{c}'" for c in SERVE) + "]) AS feature, true AS adds_up, true AS is_share",
-    **{name: sql("""SELECT CAST(expected_label = 'MEDIUM' AS INTEGER) AS label, count(*) - CAST(round(count(*) * 0.75) AS BIGINT) AS n, true AS probabilities
+    "predict_risk": sql("SELECT aid AS attempt_id, true AS known_label, true AS adds_up, true AS is_maximum, true AS beats_majority FROM res"),
+    "train_risk_forest": sql("SELECT risk AS expected_label, n - CAST(round(n * 0.8) AS BIGINT) AS n, true AS beats_majority FROM (SELECT risk, count(*) AS n FROM res GROUP BY 1)"),
+    "feature_importance": "SELECT unnest([" + ", ".join(f"'{c}'" for c in SERVE) + "]) AS feature, true AS adds_up, true AS is_share, true AS tells_apart",
+    **{name: sql("""SELECT CAST(expected_label = 'MEDIUM' AS INTEGER) AS label, count(*) - CAST(round(count(*) * 0.75) AS BIGINT) AS n, true AS probabilities, true AS tells_apart
         FROM att WHERE expected_label <> 'HIGH' GROUP BY 1""", extra=LAST) for name in ("train_refine_logistic", "train_refine_forest")},
     "rebuild_refine_dataset": sql(
         f"SELECT aid AS attempt_id, expected_label AS label, {REFINE_MATRIX} FROM att WHERE expected_label <> 'HIGH'", extra=LAST),
@@ -843,3 +843,36 @@ ORACLE["write_eval_report_metrics"] = ORACLE["eval_metrics"]
 ORACLE["score_attempts_default"] = ORACLE["score_attempts"].replace("questions_seen >= 4", "questions_seen >= 10")
 ORACLE["score_attempts_with_model"] = ORACLE["score_attempts"].replace(chain(BASE), chain(BASE, predictions=STAND_IN))
 ORACLE["stream_late_events"] = ORACLE["late_event_policy"]
+
+
+def _newton(columns: list[str], rows: str, steps: int = 10) -> str:
+    """Newton steps for logistic regression: sums per step, and elimination of one variable after the other."""
+    d = len(columns) + 1
+    scaled = ", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0 END" for c in columns)
+    names = ", ".join(f"'{c}'" for c in ["intercept", *columns])
+    return f"""WITH RECURSIVE {rows},
+    seen AS MATERIALIZED (SELECT CAST(label = 'MEDIUM' AS DOUBLE) AS y, CASE WHEN label = 'MEDIUM' THEN 1.25 ELSE 1.0 END AS w,
+        [1.0::DOUBLE, {scaled}] AS x FROM labelled),
+    newton(step, b) AS (
+        SELECT 0, list_transform(range({d}), lambda i: 0.0::DOUBLE)
+        UNION ALL
+        SELECT step + 1, list_transform(range(1, {d + 1}), lambda i: b[i] + m[i][{d + 1}]) FROM (
+            SELECT step, b, list_reduce(list_prepend(m, list_transform(range(1, {d + 1}), lambda k: [[k::DOUBLE]])), lambda a, e:
+                list_transform(range(1, {d + 1}), lambda r: list_transform(range(1, {d + 2}), lambda c:
+                    CASE WHEN r = e[1][1]::INTEGER THEN a[r][c] / a[r][r]
+                    ELSE a[r][c] - a[r][e[1][1]::INTEGER] * a[e[1][1]::INTEGER][c] / a[e[1][1]::INTEGER][e[1][1]::INTEGER] END))) AS m
+            FROM (SELECT step, any_value(b) AS b, list(line ORDER BY i) AS m FROM (
+                SELECT step, i, any_value(b) AS b, list(v ORDER BY j) AS line FROM (
+                    SELECT step, i, j, any_value(b) AS b,
+                        CASE WHEN j <= {d} THEN sum(w * p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END
+                        ELSE sum(w * (y - p) * x[i]) - CASE WHEN i > 1 THEN any_value(b)[i] ELSE 0 END END AS v
+                    FROM (SELECT step, b, x, y, w, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM newton, seen WHERE step < {steps}),
+                        range(1, {d + 1}) AS r1(i), range(1, {d + 2}) AS r2(j)
+                    GROUP BY step, i, j) GROUP BY step, i) GROUP BY step)))
+    SELECT unnest([{names}]) AS feature, unnest(list_transform(b, lambda v: round(v, 6))) AS weight FROM newton WHERE step = {steps}"""
+
+
+_REFINE_COLUMNS = [c + {"time_per_question": "_mean_s", "attempt_duration": "_s"}.get(c, "") for c in SERVE] + list(SEQUENCES)
+_LABELLED = sql(
+    f"SELECT expected_label AS label, {REFINE_MATRIX.replace(', 6)', ', 15)')} FROM att WHERE expected_label <> 'HIGH'", extra=LAST)
+ORACLE["train_refine_newton"] = _newton(_REFINE_COLUMNS, f"labelled AS MATERIALIZED ({_LABELLED})")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from vigilframe.catalog import RULES, events, labels, scored
+from vigilframe.catalog import QUERIES, RULES, events, labels, scored
 from vigilframe.operators import learning
 from vigilframe.plans.score import score_attempts
 from vigilframe.session import cut, fresh_path
@@ -70,6 +70,30 @@ def test_refiner(spark):
     assert p.count() == rows.count()
 
 
+def test_newton_steps_and_mllib_agree(spark):
+    rows = learning.rebuild_refine_dataset(events(spark, SMALL), labels(spark, SMALL), sequences=True, rules=RULES)
+    rows = cut(rows.withColumn("label", F.when(F.col("label") == "MEDIUM", 1).otherwise(0)))
+    columns = learning.REFINE_COLUMNS[:12]
+    model = learning.newton_logistic(rows, columns)
+    assert model.moved < 1e-9 and len(model.weights) == 13
+    other = learning.train_refine_logistic(rows, columns)
+    both = other.transform(rows).select(learning.vector_to_array("probability")[1].alias("a"), model.probability().alias("b"))
+    assert both.where("abs(a - b) > 1e-3").isEmpty()
+    assert model.weights[1:] == pytest.approx(other.stages[-1].coefficients.toArray().tolist(), abs=2e-3)
+    nothing = learning.newton_logistic(rows.limit(0), columns)
+    assert nothing.weights == (0.0,) * 13
+
+
+@pytest.mark.parametrize("name", ["train_risk_forest", "predict_risk", "train_refine_logistic"])
+def test_a_constant_model_turns_its_row_red(spark, monkeypatch, name):
+    """What the queries say of a model is not true of every model."""
+    said = QUERIES[name](spark, SMALL).collect()[0].asDict()
+    real_risk, real_medium = learning.predict_risk, learning.predict_medium
+    monkeypatch.setattr(learning, "predict_risk", lambda m, x: real_risk(m, x).withColumns({"ml_risk": F.lit("LOW"), "ml_confidence": F.lit(1.0)}))
+    monkeypatch.setattr(learning, "predict_medium", lambda m, x: real_medium(m, x).withColumn("p_medium", F.lit(0.5)))
+    assert QUERIES[name](spark, SMALL).collect()[0].asDict() != said
+
+
 CASES = [
     # risk, score, p, paste, advanced -> refined, used
     ("HIGH", 0.9, 0.1, 0, 0, "HIGH", None),

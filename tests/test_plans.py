@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from conftest import SMALL
 from vigilframe.catalog import QUERIES, RULES, _stand_in, log_rows
 from vigilframe.config import HotKeys
-from vigilframe.operators import reports
+from vigilframe.operators import reports, timeline
 from vigilframe.operators.features import attempt_features
 from vigilframe.operators.history import newest_per_attempt
 from vigilframe.operators.patterns import detect_patterns
@@ -65,6 +65,23 @@ def test_unused_windows_are_pruned(spark):
     assert "Window" not in plan
 
 
+def test_one_count_for_all_steps_of_a_plan(spark):
+    """Attempts are counted once for all sessions, epochs and scans on them."""
+    counted = []
+    real = timeline.timelines
+
+    def seen(events, key, limits, order):
+        counted.append(limits.hot_rows)
+        return real(events, key, limits, order)
+
+    timeline.timelines, kept = seen, timeline.timelines
+    try:
+        progressive_risk(attempt_events(spark, SMALL), rules=RULES, ttl_s=3600.0)
+    finally:
+        timeline.timelines = kept
+    assert len(counted) >= 3 and set(counted) == {None}
+
+
 def test_filter_on_the_decision_stays_small(spark):
     rows = score_attempts(attempt_events(spark, SMALL), patterns=RULES, limits=WITHOUT_CHECK)
     plan = plan_of(rows.where("risk = 'HIGH'").select("attempt_id", "risk"))

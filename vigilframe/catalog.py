@@ -172,8 +172,8 @@ def _drain(stream: DataFrame, spark, name: str) -> DataFrame:
 @query("stream_events")
 def _(spark, sf_dir):
     stream = streams.stream_events(spark, _ingest_json(spark, sf_dir))
-    return _drain(stream, spark, "stream_events").groupBy("event_type").agg(
-        F.count("*").alias("events"), F.count("received_at").alias("stamped"))
+    return _drain(stream, spark, "stream_events").select(
+        "attempt_id", "event_type", "occurred_at", F.col("received_at").isNotNull().alias("stamped"))
 
 
 def _log_file(spark, sf_dir) -> str:
@@ -248,8 +248,8 @@ def _(spark, sf_dir):
     raw = fixture.raw_events(spark, sf_dir).select(*readers.RAW_EVENT_COLUMNS)
     for half in (raw.where("id % 2 = 0"), raw.where("id % 2 = 1")):
         writers.append_raw_events(half, path)
-    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
-        F.count("*").alias("events"), F.countDistinct("attempt_id").alias("attempts"))
+    return spark.read.parquet(path).select(
+        "id", "attempt_id", "event_type", "occurred_at", F.col("event_date").cast("string").alias("event_date"))
 
 
 @query("append_score_log")
@@ -1102,36 +1102,50 @@ def _(spark, sf_dir):
     return learning.scale_features(rows, learning.fit_scaler(rows, learning.SERVE_COLUMNS))
 
 
+def _beats_majority(pairs: DataFrame):
+    """Whether more of (label, predicted) agree than have the most frequent label."""
+    cells = pairs.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("hits")).collect()
+    return F.lit(sum(c.hits for c in cells) > max((c.n for c in cells), default=0))
+
+
 @query("train_risk_forest")
 def _(spark, sf_dir):
-    """The confusion cells of the test part add up to the size of each class."""
+    """The confusion cells of the test part add up to the size of each class, and most are on the diagonal."""
     train, test = _training_split(spark, sf_dir)
     predicted = learning.predict_risk(learning.train_risk_forest(train), test)
     known = test.select("attempt_id", F.element_at(F.array(*[F.lit(x) for x in learning.LABELS]), F.col("risk") + 1).alias("expected_label"))
     both = known.join(predicted.withColumnRenamed("ml_risk", "predicted_label"), "attempt_id")
+    both = cut(both.select("attempt_id", "expected_label", "predicted_label"))
     cells = evaluate.confusion_matrix(both)
-    return cells.select("expected_label", (F.col("LOW") + F.col("MEDIUM") + F.col("HIGH")).alias("n"))
+    skilled = _beats_majority(both.select(F.col("expected_label").alias("label"), F.col("predicted_label").alias("predicted")))
+    return cells.select(
+        "expected_label", (F.col("LOW") + F.col("MEDIUM") + F.col("HIGH")).alias("n"), skilled.alias("beats_majority"))
 
 
 @query("feature_importance")
 def _(spark, sf_dir):
-    """Names in their order, with weights that are shares of one."""
+    """Names in their order, with weights that are shares of one, and none that all share alike."""
     train, _test = _training_split(spark, sf_dir)
     rows = learning.feature_importance(learning.train_risk_forest(train), spark)
     total = F.sum("importance").over(W.partitionBy(F.lit(0)))
-    return rows.select("feature", (F.abs(total - 1) < 1e-9).alias("adds_up"), F.col("importance").between(0, 1).alias("is_share"))
+    return rows.select("feature", (F.abs(total - 1) < 1e-9).alias("adds_up"), F.col("importance").between(0, 1).alias("is_share"),
+        (F.max("importance").over(W.partitionBy(F.lit(0))) > 2 / len(learning.SERVE_COLUMNS)).alias("tells_apart"))
 
 
 @query("predict_risk")
 def _(spark, sf_dir):
-    """Of every attempt: a known label, probabilities that add up to one, and their maximum as confidence."""
+    """Of every attempt: a known label, probabilities that add up to one, and their maximum as confidence; and whether
+    the labels are right more often than the most frequent one."""
     train, _test = _training_split(spark, sf_dir)
-    predicted = learning.predict_risk(learning.train_risk_forest(train), learning.serve_features(scored(spark, sf_dir)))
+    rows = cut(learning.serve_features(scored(spark, sf_dir), keep=("attempt_id", "risk")))
+    predicted = cut(learning.predict_risk(learning.train_risk_forest(train), rows))
+    known = rows.select("attempt_id", F.col("risk").alias("label"))
+    skilled = _beats_majority(known.join(predicted.withColumnRenamed("ml_risk", "predicted"), "attempt_id"))
     p = F.map_values("probabilities")
     total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
     return predicted.select(
         "attempt_id", F.col("ml_risk").isin(*learning.LABELS).alias("known_label"), (F.abs(total - 1) < 1e-9).alias("adds_up"),
-        (F.col("ml_confidence") == F.array_max(p)).alias("is_maximum"))
+        (F.col("ml_confidence") == F.array_max(p)).alias("is_maximum"), skilled.alias("beats_majority"))
 
 
 @query("predict_in_plan")
@@ -1146,6 +1160,10 @@ def _(spark, sf_dir):
         "attempt_id", ((F.col("ml_risk") == F.col("_risk")) & (F.col("ml_confidence") == F.col("_confidence"))).alias("same"))
 
 
+#: Least difference of the mean predictions of both classes; a constant has none.
+LEAST_APART = 0.1
+
+
 def _refine_split(spark, sf_dir):
     rows = learning.rebuild_refine_dataset(events(spark, sf_dir), labels(spark, sf_dir), sequences=True, rules=RULES)
     rows = cut(rows.withColumn("label", scalar.label_to_int(F.col("label"))))
@@ -1153,9 +1171,12 @@ def _refine_split(spark, sf_dir):
 
 
 def _refine_report(model, test):
-    """Predictions of the test part by label: how many, all of them probabilities."""
-    p = test.join(learning.predict_medium(model, test), "attempt_id")
-    return p.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.col("p_medium").between(0, 1)).alias("probabilities"))
+    """Predictions of the test part by label: how many, all of them probabilities, and clearly higher for MEDIUM."""
+    p = cut(test.select("attempt_id", "label").join(learning.predict_medium(model, test), "attempt_id"))
+    of = lambda label: F.coalesce(F.avg(F.when(F.col("label") == label, F.col("p_medium"))), F.lit(0.0))
+    apart = p.agg((of(1) - of(0)).alias("apart")).first()["apart"]
+    found = p.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.col("p_medium").between(0, 1)).alias("probabilities"))
+    return found.withColumn("tells_apart", F.lit(apart > LEAST_APART))
 
 
 @query("train_refine_logistic")
@@ -1164,6 +1185,15 @@ def _(spark, sf_dir):
     return _refine_report(learning.train_refine_logistic(train), test)
 
 
+@query("train_refine_newton")
+def _(spark, sf_dir):
+    """The weights themselves, after ten Newton steps over all labelled attempts."""
+    rows = learning.rebuild_refine_dataset(events(spark, sf_dir), labels(spark, sf_dir), sequences=True, rules=RULES)
+    rows = rows.withColumn("label", scalar.label_to_int(F.col("label")))
+    model = learning.newton_logistic(rows)
+    return model.rows(spark).select("feature", F.round("weight", 6).alias("weight"))
+
+
 @query("train_refine_forest")
 def _(spark, sf_dir):
     train, test = _refine_split(spark, sf_dir)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from vigilframe.config import LABELS, HotKeys, PatternRules
 from vigilframe.functions.scalar import fixed, map_risk, or_default
 from vigilframe.operators.features import NO_PASTE_ANSWER_S, SEQUENCE_COLUMNS, attempt_features
 from vigilframe.operators.timeline import Scan, on_timelines
+from vigilframe.session import cut
 
 # Columns of the two feature matrices, in training order.
 SERVE_COLUMNS = (
@@ -239,6 +243,73 @@ def train_refine_logistic(
     return Pipeline(stages=[*_stages(columns, scaled=True), model]).fit(weighted)
 
 
+@dataclass(frozen=True)
+class LogisticWeights:
+    """A fitted logistic regression: the constant, then a weight for each standardised column."""
+
+    columns: tuple[str, ...]
+    scaler: dict[str, tuple[float, float]]
+    weights: tuple[float, ...]
+    moved: float  # largest change of a weight in the last step
+
+    def probability(self) -> Column:
+        x = _standardised(self.columns, self.scaler)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(x, self.weights)))
+
+    def rows(self, spark) -> DataFrame:
+        pairs = list(zip(("intercept", *self.columns), self.weights))
+        return spark.createDataFrame(pairs, "feature string, weight double")
+
+
+def _standardised(columns: Sequence[str], scaler: dict[str, tuple[float, float]]) -> Column:
+    """1 and the scaled columns as an array; a constant column is 0."""
+    scaled = [(F.col(c) - scaler[c][0]) / scaler[c][1] if scaler[c][1] else F.lit(0.0) for c in columns]
+    return F.array(F.lit(1.0), *scaled)
+
+
+def _dot(x: Column, weights: Sequence[float]) -> Column:
+    products = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+
+
+def newton_logistic(
+    train: DataFrame,
+    columns: Sequence[str] = REFINE_COLUMNS,
+    label: str = "label",
+    positive_weight: float = 1.25,
+    penalty: float = 1.0,
+    steps: int = 10,
+) -> LogisticWeights:
+    """Logistic regression by Newton steps, with an L2 penalty on all weights but the constant.
+
+    A step is one aggregate over the rows: the sums of x x' w p (1 - p) and of x w (y - p), columns squared numbers
+    whatever the number of rows. The rows are pinned once as arrays. Rows with a null in a column don't count.
+    """
+    known = train.where(F.col(label).isin(0, 1)).na.drop(subset=list(columns))
+    stats = known.agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]
+    ).first()
+    scaler = {c: (stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0) for c in columns}
+    weight = F.when(F.col(label) == 1, positive_weight).otherwise(1.0)
+    rows = cut(known.select(_standardised(columns, scaler).alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w")))
+    size = len(columns) + 1
+    weights, moved = np.zeros(size), 0.0
+    hold = np.array([0.0, *[penalty] * (size - 1)])
+    for _ in range(steps if stats["n"] else 0):
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(F.col("x"), weights)))
+        seen = rows.withColumn("p", p).withColumn("curve", F.col("w") * F.col("p") * (1 - F.col("p")))
+        outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b * F.col("curve"))))
+        slope = F.transform("x", lambda a: a * F.col("w") * (F.col("y") - F.col("p")))
+        both = seen.select(array_to_vector(F.concat(outer, slope)).alias("v"))
+        sums = both.agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"].toArray()
+        curves = sums[: size * size].reshape(size, size) + np.diag(hold)
+        if not np.linalg.cond(curves) < 1e15:
+            break
+        step = np.linalg.solve(curves, sums[size * size :] - hold * weights)
+        weights, moved = weights + step, float(np.abs(step).max())
+    return LogisticWeights(tuple(columns), scaler, tuple(weights.tolist()), moved)
+
+
 def train_refine_forest(
     train: DataFrame,
     columns: Sequence[str] = REFINE_COLUMNS,

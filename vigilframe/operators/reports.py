@@ -72,12 +72,12 @@ def explode_signals(log: DataFrame) -> DataFrame:
 
 
 def attempt_drilldown(log: DataFrame, attempt_id: str, time: str = "timestamp") -> DataFrame:
-    """Newest log row of one attempt with what the detail view shows."""
+    """Newest log row of one attempt with what the detail view shows; of rows of one time the highest score."""
     number = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     texts = [F.col(c) for c in ("explanation_text", "explanation") if c in log.columns]
     return (
         log.where(F.col("attempt_id") == attempt_id)
-        .orderBy(F.col(time).desc_nulls_last())
+        .orderBy(F.col(time).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ("combined_score", "confidence_score", "risk")])
         .limit(1)
         .select(
             "attempt_id",

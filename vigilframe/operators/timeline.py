@@ -149,6 +149,17 @@ def timelines(
     ]
 
 
+def census(events: DataFrame, limits: HotKeys, key: Sequence[str] = ("attempt_id",)) -> HotKeys:
+    """One count of the events for all operators on them: limits without further checks if no attempt is above them.
+
+    Sessions and questions are parts of an attempt, so they need no check of their own then.
+    """
+    if limits.hot_rows is None:
+        return limits
+    above = events.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > limits.hot_rows)
+    return replace(limits, hot_rows=None) if above.isEmpty() else limits
+
+
 def on_timelines(
     events: DataFrame,
     step: Callable[[Timeline], DataFrame],

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.operators.features import SECOND
 from vigilframe.operators.history import cache_sessions
-from vigilframe.operators.timeline import Scan, on_timelines
+from vigilframe.operators.timeline import Scan, census, on_timelines
 from vigilframe.plans.progressive import (
     LEAST,
     NUMBER,
@@ -138,6 +138,7 @@ def continued(
 
 def carried_over(events: DataFrame, ttl_s: float | None, rules: PatternRules, limits: HotKeys = HotKeys()) -> DataFrame:
     """The rows to keep of attempts of which all events are given."""
+    limits = census(events, limits)
     rows = sessions(events, None, ttl_s, limits)
     states, about = _timeline(rows, rules, (), limits)
     return _kept_rows(rows, states, about, rules)

@@ -22,7 +22,7 @@ from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.functions.review import build_reason
 from vigilframe.operators.features import SECOND, conditions, second_quick
 from vigilframe.operators.history import cache_sessions
-from vigilframe.operators.timeline import ORDER, SLICE, Scan, Timeline, on_timelines, timelines
+from vigilframe.operators.timeline import ORDER, SLICE, Scan, Timeline, census, on_timelines, timelines
 from vigilframe.plans.late import sweep
 from vigilframe.plans.score import decide
 from vigilframe.session import cut
@@ -253,6 +253,7 @@ def progressive_risk(
     """
     key = ("attempt_id", "session_id")
     order = ("arrival",)
+    limits = census(events, limits)
     rows = cache_sessions(events.withColumn("client_seq", F.lit(0).cast("long")), ttl_s, limits=limits)
     every = "usable" in events.columns
     if every:

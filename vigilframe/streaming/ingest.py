@@ -19,7 +19,7 @@ from vigilframe.config import HotKeys, PatternRules, ScoringRules
 from vigilframe.functions.scalar import parse_event_time
 from vigilframe.operators.history import TTL_S
 from vigilframe.operators.normalize import normalize_events, unusable_reason
-from vigilframe.operators.timeline import Scan, on_timelines
+from vigilframe.operators.timeline import Scan, census, on_timelines
 from vigilframe.plans.carried import carried_over, continued, reached_back, sessions
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import Predict
@@ -155,7 +155,8 @@ def score_batch(
     with_us = lambda rows: rows.withColumn("received_us", F.unix_micros("received_at"))
     log = paths.kept
     kept = log.read(spark, batch_id - 1, fresh)
-    rows = sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, limits)
+    of_batch = census(fresh, limits)
+    rows = sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, of_batch)
     late = None
     if kept is not None:
         rows = cut(rows)
@@ -163,7 +164,7 @@ def score_batch(
     n_late = late.count() if kept is not None else 0
     small = F.broadcast(late) if 0 < n_late <= limits.broadcast_rows else late
     on_time = rows.join(small, "attempt_id", "left_anti") if n_late else rows
-    scored, keeping = continued(on_time, scoring, patterns, keep, limits, predict, cut)
+    scored, keeping = continued(on_time, scoring, patterns, keep, of_batch, predict, cut)
     if n_late:
         first = _first_day(late, span["first"], paths, batch_id, ttl_s)
         raw = read_events(spark, paths, first, span["last"]).where(F.col("batch_id") <= batch_id)
