@@ -67,6 +67,21 @@ def test_raw_table_is_partitioned_and_filters_reach_the_files(spark):
     assert "EqualTo(attempt_id,a3)" in plan and "PartitionFilters: [isnotnull(event_date" in plan
 
 
+def test_one_attempt_is_found_in_its_folders(spark):
+    path = fresh_path(spark, "t_folders")
+    rows = spark.range(4000).select(
+        F.concat(F.lit("a"), F.col("id") % 200).alias("attempt_id"), "id", F.lit("x").alias("event_type"),
+        F.col("id").cast("string").alias("occurred_at"), F.lit("2024-01-01T09:00:00Z").alias("received_at"))
+    writers.append_raw_events(rows.unionByName(rows.limit(3).withColumn("attempt_id", F.lit(None).cast("string"))), path, digits=2)
+    table = spark.read.parquet(path)
+    assert table.count() == 4003
+    mine = readers.of_attempt(table, "a17")
+    assert sorted(r.id for r in mine.collect()) == list(range(17, 4000, 200))
+    scan = mine._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() <= writers.SPREAD < len(table.inputFiles())
+    assert readers.of_attempt(table, "none").isEmpty()
+
+
 def test_state_upsert_is_last_write_wins_and_repeatable(spark):
     path = fresh_path(spark, "t_state")
     rows = lambda *r: spark.createDataFrame(r, "attempt_id string, risk string, updated_at long")

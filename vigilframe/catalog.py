@@ -370,14 +370,19 @@ def _(spark, sf_dir):
 @query("events_for_attempt")
 def _(spark, sf_dir):
     path = fresh_path(spark, "raw_for_one")
-    fixture.raw_events(spark, sf_dir).select(*readers.RAW_EVENT_COLUMNS).write.parquet(path)
+    writers.append_raw_events(fixture.raw_events(spark, sf_dir).select(*readers.RAW_EVENT_COLUMNS), path, digits=1)
     return readers.events_for_attempt(readers.scan_raw_events(spark, path), "5-0").select(
         "id", "attempt_id", "candidate_name", "event_type", "occurred_at")
 
 
 @query("risk_history_for_attempt")
 def _(spark, sf_dir):
-    rows = history_fixture(spark, sf_dir)
+    """The attempt is looked up in the stored events, and only it is scored."""
+    path = fresh_path(spark, "events_for_one")
+    stored = events(spark, sf_dir).withColumns({"received_at": F.timestamp_micros("received_us"), "occurred_at": F.col("t_us")})
+    writers.append_raw_events(stored, path, digits=1)
+    mine = readers.of_attempt(spark.read.parquet(path), "5-0")
+    rows = progressive.progressive_risk(mine, rules=RULES, passthrough=("received_us",)).withColumnRenamed("received_us", "timestamp_us")
     return readers.risk_history_for_attempt(rows, "5-0", "timestamp_us").select(
         "attempt_id", "risk", "combined_score", "reason", "timestamp_us")
 

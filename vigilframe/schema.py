@@ -1,5 +1,9 @@
 """Schemas at the edges. Payloads arrive as JSON text and are lifted once, by ``normalize``."""
 
+import hashlib
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _L, _D, _B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
@@ -91,3 +95,15 @@ LABELLED_ATTEMPT = _struct(
     is_edge_case=_B,
     edge_case_scenario=_S,
 )
+
+#: Folder of an attempt: a letter, as folder names that look like numbers are read as such, and digits of a hash.
+ATTEMPT_BUCKET = "attempt_bucket"
+
+
+def attempt_bucket(attempt_id: Column, digits: int) -> Column:
+    return F.concat(F.lit("h"), F.substring(F.md5(F.coalesce(attempt_id, F.lit("")).cast("binary")), 1, digits))
+
+
+def in_bucket_of(attempt_id: str) -> Column:
+    """Whether a folder (of any number of digits) may hold the attempt."""
+    return F.lit("h" + hashlib.md5(attempt_id.encode()).hexdigest()).startswith(F.col(ATTEMPT_BUCKET))

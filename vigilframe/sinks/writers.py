@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 from vigilframe.operators.features import FEATURE_COLUMNS
 from vigilframe.operators.scoring import signal_items
-from vigilframe.schema import IDENTITY
+from vigilframe.schema import ATTEMPT_BUCKET, IDENTITY, attempt_bucket
 from vigilframe.sinks.state import StateLog
 
+SPREAD = 4
 
-def append_raw_events(events: DataFrame, path: str, received: str = "received_at") -> None:
-    """Append raw events, partitioned by the day of receipt and clustered by attempt in each file."""
-    day = F.to_date(F.col(received))
+
+def append_raw_events(events: DataFrame, path: str, received: str = "received_at", digits: int = 0) -> None:
+    """Append raw events, partitioned by the day of receipt and clustered by attempt in each file.
+
+    With ``digits`` the days are partitioned again by that many hexadecimal digits of a hash of the attempt, so that
+    ``readers.of_attempt`` opens one folder in 16 ** digits of each day. Bloom filters on the attempt let it skip row
+    groups in any layout. An append has SPREAD files in a folder at most, whatever attempt is in it.
+    """
+    rows, folders = events.withColumn("event_date", F.to_date(F.col(received))), ["event_date"]
+    if digits:
+        rows, folders = rows.withColumn(ATTEMPT_BUCKET, attempt_bucket(F.col("attempt_id"), digits)), ["event_date", ATTEMPT_BUCKET]
+        rows = rows.repartition(*folders, F.pmod(F.xxhash64("attempt_id", "event_type", "occurred_at"), F.lit(SPREAD)))
     (
-        events.withColumn("event_date", day)
-        .sortWithinPartitions("event_date", "attempt_id")
+        rows.sortWithinPartitions(*folders, "attempt_id")
         .write.mode("append")
-        .partitionBy("event_date")
+        .option("parquet.bloom.filter.enabled#attempt_id", "true")
+        .partitionBy(*folders)
         .parquet(path)
     )
 

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from vigilframe.schema import (
     ATTEMPT_BATCH,
+    ATTEMPT_BUCKET,
     IDENTITY,
     LABELLED_ATTEMPT,
     PAYLOAD,
     RAW_EVENT_COLUMNS,
     SCORE_LOG,
+    in_bucket_of,
 )
 
 _BAD = "_corrupt_record"
@@ -100,9 +102,15 @@ def scan_training_csv(spark: SparkSession, path: str, label: str, features: Sequ
     return rows.select(label, *[number(c) for c in features])
 
 
+def of_attempt(table: DataFrame, attempt_id: str) -> DataFrame:
+    """Rows of one attempt; of a table in folders by attempt only its folders are read."""
+    mine = table.where(F.col("attempt_id") == attempt_id)
+    return mine.where(in_bucket_of(attempt_id)) if ATTEMPT_BUCKET in table.columns else mine
+
+
 def events_for_attempt(raw: DataFrame, attempt_id: str) -> DataFrame:
     """Raw events of one attempt by event time (text order)."""
-    mine = raw.where(F.col("attempt_id") == attempt_id)
+    mine = of_attempt(raw, attempt_id)
     return mine.select(*RAW_EVENT_COLUMNS).orderBy("occurred_at", "id")
 
 
