@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -243,6 +244,28 @@ def test_blocks():
     assert text_of("<section id=comments><article><p>me too</article></section><article>news</article>") == ["news"]
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div>" * 200_000 + "deep", ["deep"]),
+        ("<div><p>" * 100_000 + "deep" + "</p></div>" * 100_000, ["deep"]),
+        ("<p>word</p>" + '<a "' * 250_000, ["word", '<a "' * 249_999 + '<a "']),
+        ("<p>word" + "<a x=\"" * 150_000 + "'>", None),
+        ("x<button>no</button>" * 50_000, ["x" * 50_000]),
+        ("</b></div>" * 100_000 + "end", ["end"]),
+        ("<ul>" + "<li>a" * 150_000, ["a"] * 150_000),
+        ("<b>" * 300_000 + "x" + "</i>" * 100_000, ["x"]),
+        ("<script" * 120_000, ["<script" * 120_000]),
+        ("<" * 1_000_000, ["<" * 1_000_000]),
+        ("<p><math><mi>x</mi></math> is one", ["x is one"]),
+    ],
+)
+def test_any_page_takes_its_size(page, text):
+    start = time.process_time()
+    found = text_of(page)
+    assert time.process_time() - start < 12 and (text is None or found == text)
+
+
 def test_style_tree_removes_what_returns(spark):
     page = "<div class=top>Welcome to our house</div><div class=body><p>{}</p><p>{}</p></div><div class=x{}>Same words</div>"
     rows = [(i, "http://h.example/" + str(i), page.format(f"text {i} " * 9, f"more {i}" * 9, "")) for i in range(9)]

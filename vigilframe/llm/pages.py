@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,7 +45,7 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 _OUT = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head iframe input label map math menu nav noframes "
+    "aside audio button canvas datalist dialog embed footer form head iframe input label map menu nav noframes "
     "noscript object search select svg template video".split()
 )
 _ENDS_P = _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option", "optgroup"}
@@ -72,10 +73,11 @@ _PAGE_HEADER = frozenset("header hdr head".split())
 #: Names with such a word speak of what surrounds or contains the rest.
 _AROUND = frozenset("has no with without main content".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""",
-    re.S,
-)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: Where a tag's quotes don't close before the end of the page, the rest of the page is read without regard to quotes.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_TAG_START = re.compile("</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -86,12 +88,42 @@ def _signed(text: str) -> int:
 
 
 class _Element:
-    """An open element. ``saved`` is the text before an inline element that is left out: it goes on after it."""
+    """An open element. ``node`` numbers the styles from the root to it, ``name`` is the last of their tags.
+    ``saved`` is the text before an inline element that is left out: it goes on after it."""
+
+    __slots__ = ("tag", "node", "name", "main", "out", "saved")
+
+    def __init__(self, tag: str, node: int, name: str, main: bool, out: bool, saved: list[str] | None = None):
+        self.tag, self.node, self.name, self.main, self.out, self.saved = tag, node, name, main, out, saved
+
+
+class _Open:
+    """The open elements, and at which depths those of each tag are."""
 
-    __slots__ = ("tag", "path", "main", "out", "saved")
+    def __init__(self, root: _Element):
+        self.stack, self.depths = [root], {}
 
-    def __init__(self, tag: str, path: str, main: bool, out: bool, saved: list[str] | None = None):
-        self.tag, self.path, self.main, self.out, self.saved = tag, path, main, out, saved
+    def push(self, element: _Element) -> None:
+        self.depths.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def pop(self) -> _Element:
+        element = self.stack.pop()
+        self.depths[element.tag].pop()
+        return element
+
+    def nearest(self, *tags: str) -> int:
+        """Depth of the last open element of the tags, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def first_above(self, depth: int, tags: set[str]) -> int:
+        """Depth of the first open element of the tags that lies deeper than ``depth``, 0 if there is none."""
+        found = []
+        for t in tags:
+            at = self.depths.get(t, ())
+            i = bisect_right(at, depth)
+            found += at[i : i + 1]
+        return min(found, default=0)
 
 
 def _not_article(tag: str, attributes: dict[str, str], main: bool) -> bool:
@@ -111,11 +143,46 @@ def _not_article(tag: str, attributes: dict[str, str], main: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str | None, str, str, int]]:
+    """(text, "", "", place after it) or (None, slash, name and attributes of a tag, place after it), in page order.
+
+    A tag that does not close is text. Every character is looked at a fixed number of times. The place after a tag
+    may be sent back to go on from another place.
+    """
+    at, end, quotes, last = 0, len(page), True, page.rfind(">")
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            yield page[at:], "", "", end
+            return
+        if start > at:
+            yield page[at:start], "", "", start
+        at = start
+        if found := _COMMENT.match(page, at):
+            at = found.end()
+            continue
+        found = None
+        if at < last and _TAG_START.match(page, at):
+            found = _TAG.match(page, at) if quotes else _PLAIN.match(page, at)
+            if found is None:
+                quotes = False
+                found = _PLAIN.match(page, at)
+        if found is None:
+            yield "<", "", "", at + 1
+            at += 1
+            continue
+        at = (yield None, found[1], f"{found[2].lower()} {found[3]}", found.end()) or found.end()
+
+
 def blocks_of(page: str) -> list[dict]:
-    """Blocks in page order: path, text, main (inside an article or main element), out (declared not to be the
-    article) and style (the child styles seen under the node)."""
-    stack = [_Element("", "", False, False)]
-    children: dict[str, set[str]] = {}
+    """Blocks in page order: node, name (its tag), text, main (inside an article or main element), out (declared
+    not to be the article) and style (the child styles seen under the node).
+
+    Time and memory are in proportion to the page, however deep its elements lie.
+    """
+    opened = _Open(_Element("", 0, "", False, False))
+    stack = opened.stack
+    children: dict[int, set[str]] = {}
     found: list[tuple[_Element, str]] = []
     pieces: list[str] = []
 
@@ -127,90 +194,85 @@ def blocks_of(page: str) -> list[dict]:
                 found.append((owner, text))
 
     def close(depth: int) -> None:
+        nonlocal pieces
         while len(stack) > depth:
-            top = stack.pop()
+            top = opened.pop()
             if top.tag in _BLOCK:
                 flush(top)
             elif top.saved is not None:
                 flush(top)
-                pieces.extend(top.saved)
-
-    at, end = 0, len(page)
-    while at < end:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            pieces.append(page[at:])
+                pieces = top.saved
+
+    source, back = tokens(page), None
+    last = page.rfind(">")
+    while True:
+        try:
+            text, slash, rest, after = source.send(back)
+        except StopIteration:
             break
-        if token.start() > at:
-            pieces.append(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
+        back = None
+        if text is not None:
+            pieces.append(text)
             continue
-        tag = token[2].lower()
-        if token[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
-            if depth:
+        tag, _, written_attributes = rest.partition(" ")
+        if slash:
+            if depth := opened.nearest(tag):
                 close(depth)
             elif tag in _BLOCK:
                 flush(stack[-1])
             continue
         if tag in _RAW:
-            raw = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            at = raw.end() if raw else end
+            raw = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, after) if after < last else None
+            back = raw.end() if raw else len(page)
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         block = tag in _BLOCK
-        if tag == "body":
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == "head"), 0)
-            if depth:
-                close(depth)
+        if tag == "body" and (depth := opened.nearest("head")):
+            close(depth)
         if block:
             flush(stack[-1])
             if tag in _ENDS_P:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag in ("p", "button", "td", "th")), 0)
+                depth = opened.nearest("p", "button", "td", "th")
                 if depth and stack[depth].tag == "p":
                     close(depth)
             if tag in _ENDS:
                 closes, until = _ENDS[tag]
-                lowest = 0
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d].tag in until:
-                        break
-                    if stack[d].tag in closes:
-                        lowest = d
-                if lowest:
+                if lowest := opened.first_above(opened.nearest(*until), closes):
                     close(lowest)
         if tag in _VOID:
             continue
         above = stack[-1]
         attributes = {}
-        if token[3].strip(" /\n\t\r"):
-            for a in _ATTRIBUTE.finditer(token[3]):
+        if written_attributes.strip(" /\n\t\r"):
+            for a in _ATTRIBUTE.finditer(written_attributes):
                 attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         out = above.out or _not_article(tag, attributes, above.main)
         if not block:
             if out == above.out:
-                stack.append(_Element(tag, above.path, above.main, out))
+                opened.push(_Element(tag, above.node, above.name, above.main, out))
             else:
-                stack.append(_Element(tag, f"{above.path}>{tag}", above.main, out, pieces.copy()))
-                pieces.clear()
+                opened.push(_Element(tag, _signed(f"{above.node}>{tag}"), tag, above.main, out, pieces))
+                pieces = []
             continue
         style = ".".join([tag, *sorted(set(attributes.get("class", "").split()))])
-        children.setdefault(above.path, set()).add(style)
+        children.setdefault(above.node, set()).add(style)
         main = above.main or tag in ("article", "main") or attributes.get("role", "").lower() == "main"
-        stack.append(_Element(tag, f"{above.path}>{style}", main, out))
+        opened.push(_Element(tag, _signed(f"{above.node}>{style}"), tag, main, out))
     close(1)
     flush(stack[0])
+    styles = {node: _signed(">".join(sorted(below))) for node, below in children.items()}
+    none = _signed("")
     return [
         {
-            "path": e.path,
+            "node": e.node,
+            "name": e.name,
             "text": t,
             "main": e.main,
             "out": e.out,
-            "style": ">".join(sorted(children.get(e.path, ()))),
-            "children": len(children.get(e.path, ())),
+            "style": styles.get(e.node, none),
+            "children": len(children.get(e.node, ())),
         }
         for e, t in found
     ]
@@ -223,19 +285,18 @@ def _kept_and_nodes(page: str) -> tuple[list[dict], int]:
     if inside:
         for b in blocks:
             b["out"] = b["out"] or not b["main"]
-    weight: dict[str, int] = {}
+    weight: dict[int, int] = {}
     for b in blocks:
         if not b["out"]:
-            weight[b["path"]] = weight.get(b["path"], 0) + len(b["text"])
+            weight[b["node"]] = weight.get(b["node"], 0) + len(b["text"])
     heaviest = max(weight, key=lambda p: (weight[p], p), default=None)
     for b in blocks:
-        last = b["path"].rpartition(">")[2].split(".")[0]
-        b["fixed"] = b["path"] == heaviest or last in ("h1", "h2", "h3", "h4", "h5", "h6")
-    content = _signed("\n".join(f"{b['path']}\t{b['text']}" for b in blocks))
+        b["fixed"] = b["node"] == heaviest or b["name"] in ("h1", "h2", "h3", "h4", "h5", "h6")
+    content = _signed("\n".join(f"{b['node']}\t{b['text']}" for b in blocks))
     return [
         {
-            "node": _signed(b["path"]),
-            "style": _signed(b["style"]),
+            "node": b["node"],
+            "style": b["style"],
             "children": b["children"],
             "text": b["text"],
             "keep": not b["out"],
