@@ -289,7 +289,7 @@ def _kept_and_nodes(page: str) -> tuple[list[dict], int]:
     for b in blocks:
         if not b["out"]:
             weight[b["node"]] = weight.get(b["node"], 0) + len(b["text"])
-    heaviest = max(weight, key=lambda p: (weight[p], p), default=None)
+    heaviest = max(weight, key=weight.get, default=None)  # of equal ones the first
     for b in blocks:
         b["fixed"] = b["node"] == heaviest or b["name"] in ("h1", "h2", "h3", "h4", "h5", "h6")
     content = _signed("\n".join(f"{b['node']}\t{b['text']}" for b in blocks))
