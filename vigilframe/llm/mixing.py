@@ -208,24 +208,27 @@ def mix(
     last = F.expr(f"(before + size - 1) div {block}")
     quota = F.element_at("_upto", -1)
     place = lambda k: F.pmod(F.col("_a") * k + F.col("_c"), F.col("_blocks"))
-    lacks = F.col("_blocks") * block - F.col("source_size")  # of the last block of the line
+    placed = placed.withColumn("_end", F.when(F.col("_blocks") > 0, place(F.col("_blocks") - 1)))  # of the last block, which
+    lacks = F.col("_blocks") * block - F.col("source_size")  # words
 
     def of_pass(number):
         def ahead(k):  # words of the passes and blocks before it
             seats = place(k)
-            return F.lit(number) * F.col("source_size") + seats * block - F.when(seats > place(F.col("_blocks") - 1), lacks).otherwise(0)
+            return F.lit(number) * F.col("source_size") + seats * block - F.when(seats > F.col("_end"), lacks).otherwise(0)
 
-        def span(k):
+        def span(s):
+            k = s["k"]
             start = F.greatest(k * block, F.col("before"))
-            end = F.least(k * block + F.least(F.lit(block), quota - ahead(k)), F.col("before") + F.col("size"))
+            end = F.least(k * block + F.least(F.lit(block), quota - s["ahead"]), F.col("before") + F.col("size"))
             return F.struct(
-                F.size(F.filter("_upto", lambda u: u <= ahead(k))).alias("shard"),
+                F.size(F.filter("_upto", lambda u: u <= s["ahead"])).alias("shard"),
                 F.lit(number).alias("pass"),
                 (start - F.col("before")).alias("start"),
                 (end - start).alias("words"),
             )
 
-        chosen = F.filter(F.sequence(first, last), lambda k: ahead(k) < quota)
+        blocks = F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("k"), ahead(k).alias("ahead")))
+        chosen = F.filter(blocks, lambda s: s["ahead"] < quota)
         return F.filter(F.transform(chosen, span), lambda s: s["words"] > 0)
 
     spans = F.flatten(F.array(*[of_pass(n) for n in range(most)]))
