@@ -96,3 +96,17 @@ def test_split_of_a_hot_label_is_exact(spark):
         train, test = learning.stratified_split(rows, "label", "id", 0.8, 42, limits)
         assert {r.label: r["count"] for r in train.groupBy("label").count().collect()} == {0: 640, 1: 80}
         assert train.join(test, "id").isEmpty() and train.count() + test.count() == 900
+
+
+def test_contradicting_hot_attempts_go_and_consistent_ones_stay(spark):
+    rows = [("h", "h", 40), ("bad", "bad", 40), ("bad", "other", 1), ("s", None, 3), ("t", "u", 1), (None, "s", 1), (None, "t", 2)]
+    arrivals = [
+        (a, own, "focus", "2024-01-01T00:00:01Z", None, "1", n * 100 + k) for n, (a, own, many) in enumerate(rows) for k in range(many)
+    ]
+    frame = spark.createDataFrame(
+        arrivals,
+        "attempt_id string, event_attempt_id string, event_type string, occurred_at string, payload string, client_seq string, arrival long",
+    )
+    for limits in (HotKeys(hot_rows=10), HotKeys(hot_rows=10, broadcast_rows=0), HotKeys(), HotKeys(hot_rows=None)):
+        got = {r.attempt_id: r["count"] for r in normalize.normalize_events(frame, limits).groupBy("attempt_id").count().collect()}
+        assert got == {"h": 40, "s": 4}, limits

@@ -11,10 +11,11 @@ from vigilframe.config import HotKeys
 from vigilframe.operators import reports, timeline
 from vigilframe.operators.features import attempt_features
 from vigilframe.operators.history import newest_per_attempt
+from vigilframe.operators.normalize import normalize_events, ordered_events
 from vigilframe.operators.patterns import detect_patterns
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import score_attempts
-from vigilframe.sources.fixture import attempt_events
+from vigilframe.sources.fixture import attempt_events, raw_events
 
 WITHOUT_CHECK = HotKeys(hot_rows=None)
 
@@ -112,3 +113,14 @@ def test_registered_queries_have_hashable_columns(spark):
     assert set(ORACLE) <= set(QUERIES)
     df = QUERIES["score_attempts"](spark, SMALL)
     assert not any(isinstance(f.dataType, (T.MapType, T.ArrayType)) for f in df.schema)
+
+
+def test_contradicting_attempts_are_found_in_the_exchange_of_the_scans(spark):
+    raw = raw_events(spark, SMALL)
+    started = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    canonical = normalize_events(raw, WITHOUT_CHECK)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == started
+    for rows in (canonical, ordered_events(canonical, WITHOUT_CHECK)):
+        plan = plan_of(rows)
+        assert (exchanges(plan), plan.count("FileScan")) == (1, 1)
+        assert "Join" not in plan and "RDD" not in plan

@@ -26,12 +26,38 @@ def test_batches_keep_arrival_order_and_unknown_keys(spark, tmp_path):
     path = write_lines(tmp_path / "b.json", [json.dumps(batch), json.dumps({"attempt_id": "empty", "events": []})])
     rows = readers.scan_attempt_batches(spark, path)
     got = rows.where("attempt_id = 'a'").orderBy("arrival").collect()
-    assert [(r.event_type, r.arrival, r.client_seq) for r in got] == [("clipboard", 0, "4"), ("focus", 1, None)]
+    assert [(r.event_type, r.client_seq) for r in got] == [("clipboard", "4"), ("focus", None)]
     assert rows.where("attempt_id = 'empty'").count() == 1
-    lifted = readers.lift_payload(rows.where("arrival = 0 AND attempt_id = 'a'")).first()
+    lifted = readers.lift_payload(rows.where("client_seq = 4")).first()
     assert lifted.payload_fields.action == "paste" and lifted.payload_rest == {"device": "pen"}
 
 
+def test_arrival_follows_files_and_offsets_whatever_order_they_are_read_in(spark, tmp_path):
+    """Small files first, splits of a few lines, records that go on in later files, one that is far longer than a split."""
+    event = lambda n: {"event_type": "focus", "occurred_at": "2024-01-01T00:00:01Z", "client_seq": str(n)}
+    number, folder = iter(range(10**6)), tmp_path / "in"
+    folder.mkdir()
+    for name, sizes in (("a b", [1]), ("b", [3, 1, 400, 2] * 5), ("c", []), ("d", [1] * 300), ("e", [2])):
+        lines = [json.dumps({"attempt_id": "x", "events": [event(next(number)) for _ in range(n)]}) for n in sizes]
+        write_lines(folder / f"{name}.json", lines)
+    total = next(number)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = [spark.conf.get(k) for k in keys]
+    try:
+        for sizes in (("700b", "700"), ("3kb", "64MB"), kept):
+            for key, size in zip(keys, sizes):
+                spark.conf.set(key, size)
+            rows = readers.scan_attempt_batches(spark, str(folder))
+            got = [int(r.client_seq) for r in rows.select("client_seq", "arrival").orderBy("arrival").collect()]
+            assert got == list(range(total)), sizes
+            assert rows.select("arrival").distinct().count() == total
+        found = readers.labelled_attempts(spark, str(folder)).first()
+        assert (found.n_events, found.first_event.client_seq, found.expected_label) == (total, "0", None)
+    finally:
+        for key, size in zip(keys, kept):
+            spark.conf.set(key, size)
+
+
 def test_score_log_skips_bad_lines(spark, tmp_path):
     good = {"timestamp": "2024-01-01T10:00:00", "attempt_id": "a", "risk": "LOW", "confidence": 0.5, "features": {"paste_count": 1}}
     lines = [json.dumps(good), "{broken", json.dumps({"risk": "LOW"}), json.dumps({"features": {}}), "",

@@ -36,6 +36,8 @@ QUERIES: dict[str, Query] = {}
 # fixture attempts are short: four questions already make a borderline pattern
 RULES = PatternRules(medium_min_questions=4)
 DIGITS = 6
+#: Events in one record of a written batch, at most.
+EVENTS_A_RECORD = 4096
 
 
 def query(name: str):
@@ -114,17 +116,24 @@ def seconds(*columns: str):
 # ---- sources ---------------------------------------------------------------------------------------
 
 
+def _in_records(rows, *per_attempt) -> DataFrame:
+    """Records (attempt_id, events) of at most EVENTS_A_RECORD events, as arrivals are unique, in order of arrival over
+    all files: a long attempt goes on in later records."""
+    part = F.expr(f"arrival div {EVENTS_A_RECORD}").alias("_part")
+    by_arrival = lambda a, b: F.signum(a["arrival"] - b["arrival"]).cast("int")
+    records = rows.groupBy("attempt_id", part).agg(
+        *per_attempt, F.array_sort(F.collect_list(F.struct("arrival", "event")), by_arrival).alias("events")
+    ).withColumn("events", F.col("events.event"))
+    return records.repartitionByRange("_part", "attempt_id").sortWithinPartitions("_part", "attempt_id").drop("_part")
+
+
 @query("scan_attempt_batches")
 def _(spark, sf_dir):
     raw = fixture.raw_events(spark, sf_dir)
     event = F.struct("event_type", "occurred_at", F.from_json("payload", "map<string,string>").alias("payload"),
                      F.col("event_attempt_id").alias("attempt_id"), "client_seq")
-    batches = raw.groupBy("attempt_id").agg(
-        F.array_sort(F.collect_list(F.struct("arrival", event.alias("e"))),
-                     lambda a, b: (a["arrival"] - b["arrival"]).cast("int")).alias("events")
-    ).withColumn("events", F.col("events.e"))
     path = fresh_path(spark, "attempt_batches")
-    batches.select("attempt_id", "events").write.json(path)
+    _in_records(raw.select("attempt_id", "arrival", event.alias("event"))).write.json(path)
     order = F.row_number().over(W.partitionBy("attempt_id").orderBy("arrival")) - 1
     return readers.scan_attempt_batches(spark, path).select(
         "attempt_id", "event_attempt_id", "event_type", "occurred_at",
@@ -213,10 +222,10 @@ def _labelled_file(spark, sf_dir) -> str:
         F.struct("event_type", fixture.iso_time("t_us").alias("occurred_at"),
                  F.struct("action", "state", "question_id").alias("payload"),
                  F.col("client_seq").cast("string").alias("client_seq")).alias("event"))
-    records = raw.groupBy("attempt_id").agg(
+    records = _in_records(
+        raw,
         F.first("expected_label").alias("expected_label"),
         F.struct(F.first("candidate_id").alias("candidate_id")).alias("candidate"),
-        F.transform(F.array_sort(F.collect_list(F.struct("arrival", "event"))), lambda x: x["event"]).alias("events"),
         F.first("profile").alias("profile"), F.first("is_edge_case").alias("is_edge_case"))
     path = fresh_path(spark, "labelled")
     records.select("attempt_id", "expected_label", "candidate", "events", "profile", "is_edge_case").write.json(path)
@@ -225,9 +234,9 @@ def _labelled_file(spark, sf_dir) -> str:
 
 @query("scan_labelled_attempts")
 def _(spark, sf_dir):
-    rows = readers.scan_labelled_attempts(spark, _labelled_file(spark, sf_dir))
+    rows = readers.labelled_attempts(spark, _labelled_file(spark, sf_dir))
     return rows.select("attempt_id", "expected_label", "candidate.candidate_id", "profile", "is_edge_case",
-                       F.size("events").alias("n_events"), F.col("events")[0]["event_type"].alias("first_event_type"))
+                       F.col("n_events").cast("int"), F.col("first_event.event_type").alias("first_event_type"))
 
 
 @query("scan_training_csv")

@@ -9,6 +9,7 @@ and ``arrival`` (position of arrival, unique per attempt). The canonical frame h
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilframe.config import HotKeys
@@ -81,23 +82,41 @@ def unusable_reason() -> Column:
     )
 
 
+def _consistent(checked: DataFrame, limits: HotKeys) -> DataFrame:
+    """Rows of attempts without a contradicting event.
+
+    The check is a column over the whole attempt, made in the exchange and the sort that ordered scans use
+    anyway. Attempts above ``limits.hot_rows`` would be one task that way: they get it from an aggregate.
+    """
+    attempt = F.coalesce("attempt_id", "event_attempt_id")
+    rows = checked.withColumn("attempt_id", attempt).where(F.length("attempt_id") > 0)
+    order = [c for c in ORDER if c in rows.columns]
+    whole = W.partitionBy("attempt_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    fused = lambda part: part.withColumn("_bad", F.bool_or("mismatch").over(whole)).where(~F.col("_bad")).drop("_bad")
+    if limits.hot_rows is None:
+        return fused(rows)
+    sizes = rows.groupBy("attempt_id").agg(F.count("*").alias("_n"), F.bool_or("mismatch").alias("_bad"))
+    above = sizes.where(F.col("_n") > limits.hot_rows)
+    if above.isEmpty():
+        return fused(rows)
+    hot = cut(above.select("attempt_id", "_bad"))
+    hot = F.broadcast(hot) if hot.count() <= limits.broadcast_rows else hot
+    good = rows.join(hot.where("NOT _bad").select("attempt_id"), "attempt_id", "left_semi")
+    ordinary = rows.join(hot.select("attempt_id"), "attempt_id", "left_anti")
+    return fused(ordinary).unionByName(good)
+
+
 def normalize_events(arrivals: DataFrame, limits: HotKeys = HotKeys(), unusable: bool = False) -> DataFrame:
     """Usable events of consistent attempts, in canonical form (not yet ordered).
 
-    With ``unusable`` the others stay, marked by the column ``usable``: they count as arrivals.
+    An attempt is left out as a whole if any of its events names another one, as in ``rejected_events``. With
+    ``unusable`` the events that cannot be scored stay, marked by the column ``usable``: they count as arrivals.
     """
     checked = _checked(arrivals)
-    found = 0
     if "event_attempt_id" in arrivals.columns:
-        mismatched = cut(checked.where("mismatch").select("attempt_id").distinct())
-        found = mismatched.count()
+        checked = _consistent(checked, limits)
     usable = _lifted(checked if unusable else checked.where("usable"))
-    if found:
-        side = F.broadcast(mismatched) if found <= limits.broadcast_rows else mismatched
-        usable = usable.join(side, "attempt_id", "left_anti")
     seq = F.expr("try_cast(try_cast(client_seq AS DOUBLE) AS BIGINT)")
-    if "event_attempt_id" in arrivals.columns:
-        usable = usable.withColumn("attempt_id", F.coalesce("attempt_id", "event_attempt_id"))
     return (
         usable.where(F.length("attempt_id") > 0)
         .withColumn("client_seq", F.coalesce(seq, F.lit(0)) if "client_seq" in arrivals.columns else F.lit(0))
