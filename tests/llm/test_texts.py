@@ -5,13 +5,14 @@ import math
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import Row
 
 from checks.compare import connect, difference
-from vigilframe.llm import chat, pages, toxicity
+from vigilframe.llm import chat, pages, shingle_join, toxicity
 from vigilframe.llm.oracle import ORACLE
 from vigilframe.llm.queries import QUERIES
 from vigilframe.llm.shingle_join import one_of_each, similar_groups
@@ -81,6 +82,39 @@ def test_one_of_each(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_long_texts_just_below_the_limit_take_few_rounds(spark, monkeypatch):
+    """The short sketch is full for such texts, so that every pair of the family is a candidate and fails."""
+    family, draw = [], random.Random(3)
+    for i in range(60):
+        words = [f"w{n}" for n in range(3000)]
+        for n in draw.sample(range(3000), 33):
+            words[n] = f"own{i}x{n}"
+        family.append((i, " ".join(words)))
+    family.append((60, family[7][1] + " and a few words more"))
+    rounds, sent = [], []
+    real, wide = shingle_join.candidates, shingle_join.sketched
+    monkeypatch.setattr(shingle_join, "candidates", lambda *a: rounds.append(1) or real(*a))
+
+    def seen(*a):
+        near = wide(*a)
+        sent.append((near.count(), near.where("near").count()))
+        return near
+
+    monkeypatch.setattr(shingle_join, "sketched", seen)
+    found = similar_groups(spark.createDataFrame(family, "doc_id long, text string"), 3, 90)[0].collect()
+    assert {r.doc_id: r.component_id for r in found} == {**{i: i for i in range(60)}, 60: 7}
+    assert len(rounds) <= 3 and sent and all(near * 5 < pairs for pairs, near in sent), (len(rounds), sent)
+
+
+def test_wide_sketches_never_overstate(spark):
+    draw = np.random.default_rng(8)
+    for n, m, common in ((0, 3, 0), (5, 9, 5), (800, 900, 700), (40_000, 300, 200), (90_000, 88_000, 80_000)):
+        tokens = draw.integers(0, 2**63, n + m - common, dtype=np.uint64)
+        a, b = np.unique(tokens[:n]), np.unique(tokens[n - common :])
+        bound = shingle_join.parted(shingle_join.wide_sketch(a), shingle_join.wide_sketch(b))
+        assert bound <= len(np.setxor1d(a, b)) and (bound > 0) == (len(np.setxor1d(a, b)) > 0)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, toxic int")

@@ -8,11 +8,13 @@ inverted index; its pairs must fit in length and in a parity sketch that never o
 differ; the prefixes under the other orders are intersected before the sets themselves are compared.
 
 Only pairs between different components are of interest, as the result is classes and components. A list takes all
-its pairs if they are no more than FEW times its members; else every member names its nearest partner of
-another component, and the list has another round when the verified pairs have merged components; pairs
-that failed are not taken again. The rounds end when no list has held pairs back, so no link between components
-is lost, while a large group of near copies costs rows in its size, not its square. Lists of any length are
-dealt into blocks that meet in pairs.
+its pairs if they are no more than FEW times its members; else every member names its nearest partners of
+other components, one and WIDER more for each of its pairs that failed, and the list has another round when the
+verified pairs have merged components; pairs that failed are not taken again. So a member that meets no similar set
+has named all of a block after three rounds. The rounds end when no list has held pairs back, so no link between
+components is lost, while a large group of near copies costs rows in its size, not its square. Lists of any length are
+dealt into blocks that meet in pairs. Where a round has many pairs for its sets, sketches in the size of the sets part
+most of those that fall short, before any text is sent for a pair.
 
 Defined cases: A-Z are lower-cased and words end at space and the controls 9 to 13; a text with fewer words than a
 shingle is one shingle; null texts and texts without words have the empty set, no links and a component of
@@ -33,7 +35,11 @@ from pyspark.sql import functions as F
 
 from vigilframe.llm.common import components, map_texts, written
 
-ORDERS, SKETCH_BITS, FREQUENT, BLOCK, GROUP, FEW = 3, 1024, 4, 512, 1024, 4
+ORDERS, SKETCH_BITS, FREQUENT, BLOCK, GROUP, FEW, WIDER = 3, 1024, 4, 512, 1024, 4, 15
+#: Longest sketch of a set, in bits.
+WIDEST = 1 << 17
+#: Bits of frequent tokens go to the driver in blocks of so many (a power of two), 32,768 blocks of 4 KB at most.
+MARKS_A_BLOCK = 15
 #: Bits that mark frequent tokens: 16 a token, between these powers of two.
 LEAST_MARKS, MOST_MARKS = 16, 30
 #: Rows that a worker holds ready before it hands them on.
@@ -95,10 +101,23 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, length: int, order: int) ->
     return np.r_[rare, np.sort(common)[: length - len(rare)]]
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parities of the tokens that fall on each of SKETCH_BITS places."""
-    places = (grams >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    return np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(grams: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of the tokens that fall on each of so many places."""
+    places = (grams >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(grams: np.ndarray) -> bytes:
+    """A sketch of four places a token, a power of two and WIDEST at most."""
+    return sketch(grams, min(WIDEST, max(SKETCH_BITS, 1 << (4 * len(grams)).bit_length())))
+
+
+def parted(left: bytes, right: bytes) -> int:
+    """No more than the number of tokens in which two sets differ; the longer sketch is folded to the shorter."""
+    a, b = (np.frombuffer(x, dtype=np.uint64) for x in (left, right))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def marked(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -134,14 +153,14 @@ def frequent_marks(sets: DataFrame) -> np.ndarray:
     counted = written(slots.groupBy("slot").count().where(F.col("count") >= FREQUENT).select("slot"), "frequent")
     bits = min(MOST_MARKS, max(LEAST_MARKS, (16 * counted.count()).bit_length()))
     slot = F.pmod(F.col("slot"), F.lit(1 << bits)) if bits < MOST_MARKS else F.col("slot")
-    words = (
-        counted.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    blocks = (
+        counted.select(slot.cast("long").alias("slot"))
+        .groupBy(F.shiftright("slot", MARKS_A_BLOCK).alias("block"))
+        .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit((1 << MARKS_A_BLOCK) - 1))).alias("bits"))
     )
-    table = np.zeros((1 << bits) // 64, dtype=np.int64)
-    for row in words.toLocalIterator():
-        table[row.word] = row.bits
+    table, size = np.zeros((1 << bits) // 8, dtype=np.uint8), 1 << MARKS_A_BLOCK >> 3
+    for row in blocks.toLocalIterator():
+        table[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, dtype=np.uint8)
     return table.view(np.uint64)
 
 
@@ -192,6 +211,7 @@ def near_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     sid, n, component = (frame[c].to_numpy() for c in ("sid", "n", "component"))
     bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
     failed = [frozenset(x) if x is not None and len(x) else None for x in frame["failed"]]
+    tried = np.array([len(x) if x else 0 for x in failed], dtype=np.int64)
     block, low, high = (frame[c].to_numpy() for c in ("block", "low", "high"))
     group = frame[["token", "low", "high"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
@@ -222,12 +242,16 @@ def near_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 apart[at] = -1
         i, j, apart = i[apart >= 0], j[apart >= 0], apart[apart >= 0]
         if len(i) > FEW * (end - start):
-            found.append(np.full((2, 1), group[start, 0]))
+            every = len(i)
             one, other = np.r_[i, j], np.r_[j, i]
             order = np.lexsort((sid[other], np.r_[apart, apart], one))
             one, other = one[order], other[order]
-            first = np.r_[True, one[1:] != one[:-1]]
-            i, j = one[first], other[first]
+            first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+            place = np.arange(len(one)) - np.repeat(first, np.diff(np.r_[first, len(one)]))
+            named = place < 1 + WIDER * tried[one]
+            i, j = np.unique(np.sort(np.stack([one[named], other[named]]), axis=0), axis=1)
+            if len(i) < every:
+                found.append(np.full((2, 1), group[start, 0]))
         found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
     return pd.DataFrame(np.unique(np.concatenate(found, axis=1), axis=1).T, columns=["a", "b"])
 
@@ -268,12 +292,46 @@ def candidates(
     return written(pairs.distinct(), "shingle-pairs")
 
 
+def sketched(pairs: DataFrame, texts: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
+    """(a, b, near): whether wide sketches of the two sets leave them similar enough; written."""
+
+    def sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(words, salt)
+        for frame in frames:
+            rows = []
+            for sid, text in zip(frame["sid"], frame["text"]):
+                grams = shingles.of(text)
+                if shingles.key(grams)[0] == sid:  # not another text under an id that is not unique
+                    rows.append((sid, len(grams), wide_sketch(grams)))
+            yield pd.DataFrame(rows, columns=["sid", "n", "wide"])
+
+    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            differ = np.array([parted(x, y) for x, y in zip(frame["left"], frame["right"])], dtype=np.int64)
+            near = differ * (100 + percent) <= frame["n"].to_numpy() * (100 - percent)
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "near": near})
+
+    wide = written(map_texts(texts, sketches, "sid long, n long, wide binary").dropDuplicates(["sid"]), "shingle-sketches")
+    both = pairs.join(wide.select(F.col("sid").alias("a"), F.col("n").alias("_n"), F.col("wide").alias("left")), "a")
+    both = both.join(wide.select(F.col("sid").alias("b"), "n", F.col("wide").alias("right")), "b")
+    both = both.select("a", "b", (F.col("_n") + F.col("n")).alias("n"), "left", "right")
+    return written(map_texts(both, compared, "a long, b long, near boolean"), "shingle-near")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, marks, words: int, percent: int, salt: int) -> DataFrame:
-    """(a, b, linked): the other orders' prefixes first, then the sets, both made from the whole texts; written."""
+    """(a, b, linked): the other orders' prefixes first, then the sets, both made from the whole texts; written.
+
+    With more than FEW pairs a set, wide sketches part what they can before the texts are sent for each pair.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = written(wanted.join(classes.select("sid", "doc_id"), "sid"), "shingle-wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    many = wanted.count()
+    ids = F.broadcast(wanted) if many <= BROADCAST_ROWS else wanted
     texts = docs.select("doc_id", "text").join(ids, "doc_id").select("sid", "text")
+    apart = None
+    if pairs.count() > FEW * many:
+        near = sketched(pairs, texts, words, percent, salt)
+        apart, pairs = near.where("NOT near").select("a", "b", F.lit(False).alias("linked")), near.where("near").select("a", "b")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, table = Shingles(words, salt), marks.value
@@ -302,7 +360,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, marks, words
     both = both.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("right")), "b")
     checked = map_texts(both.select("a", "b", "left", "right"), batches, "a long, b long, linked boolean")
     checked = checked.where("linked is not null").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
-    return written(checked, "shingle-links")
+    return written(checked if apart is None else checked.unionByName(apart), "shingle-links")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
