@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from vigilframe.llm import topk
 from vigilframe.llm.queries import QUERIES
 from vigilframe.llm.topk import search_block, top_k, usable
 from vigilframe.llm.vector_dedup import near_vectors
@@ -93,6 +94,20 @@ def test_top_k(spark):
     assert len(found) == len({(r.query_id, r["rank"]) for r in found})
 
 
+def test_lengths_outside_the_sample_have_pivots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", 1)
+    draw = np.random.default_rng(6)
+    rows = [(i, draw.normal(size=3 + i % 4).tolist()) for i in range(400)] + [(450, []), (500, [])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(docs, F.col("vec_id") % 50 == 0).collect()
+    assert {tuple(r) for r in found} == brute_top(rows)
+    ints = docs.select("vec_id", topk.whole(F.col("embedding")).alias("ints"))
+    # one length has its pivots from a sample of one row
+    counted = {r.dim: len(r.distances) for r in topk.pivot_table(ints).collect()}
+    assert counted.pop(0) == 0 and sorted(counted) == [3, 4, 5, 6]
+    assert sorted(counted.values()) in ([1] + 3 * [topk.PIVOTS], 4 * [topk.PIVOTS])
+
+
 def test_search_stops_exactly():
     import pandas as pd
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from vigilframe.llm.common import written
 
-#: Pivots are chosen from a sample of this many vectors; they only change how much is evaluated.
+#: Pivots are chosen from a sample of this many vectors (drawn at random for lengths that it lacks); they only change
+#: how much is evaluated.
 PIVOTS, PIVOT_SAMPLE = 24, 2000
 ROWS_A_BLOCK, QUERIES_A_BLOCK, STEP = 8192, 1024, 64
 EXACT = float(2**53)
@@ -52,7 +53,12 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def pivot_table(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+def drawn_pivots(dim: int, count: int, scale: float) -> np.ndarray:
+    """Pivots for a length that the sample lacks: drawn by the length alone, so that all tasks have the same ones."""
+    return np.random.default_rng(dim).normal(0.0, scale, (count, dim))
+
+
+def pivot_table(vectors: DataFrame, pivots: int = PIVOTS, scale: int = 256) -> DataFrame:
     """vec_id, ints, dim, square, distances: written, with pivots of each vector length."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("ints").collect()
     by_dim: dict[int, list] = {}
@@ -68,8 +74,9 @@ def pivot_table(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
                 at = np.flatnonzero(dims == d)
                 x = np.array(frame["ints"].iloc[at].tolist(), dtype=np.float64).reshape(len(at), d)
                 square[at] = (x * x).sum(1)
-                if d in chosen:
-                    apart = np.stack([np.linalg.norm(x - p, axis=1) for p in chosen[d]], axis=1)
+                if d:
+                    own = chosen[d] if d in chosen else drawn_pivots(d, pivots, scale / d**0.5)
+                    apart = np.stack([np.linalg.norm(x - p, axis=1) for p in own], axis=1)
                     for i, row in zip(at, apart):
                         distances[i] = row
             yield frame.assign(dim=dims.astype("int32"), square=square, distances=distances)
@@ -118,7 +125,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     """query_id, rank, vec_id, score; ``is_query`` is a condition on ``vec_id``."""
     rows = vectors.where(usable(F.col(vector)) & F.col("vec_id").isNotNull())
     rows = rows.select("vec_id", whole(F.col(vector), scale).alias("ints")).distinct()
-    rows = pivot_table(rows).withColumn("uid", F.xxhash64("vec_id", "ints"))
+    rows = pivot_table(rows, scale=scale).withColumn("uid", F.xxhash64("vec_id", "ints"))
     counted = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     row_blocks, query_blocks = (max(1, -(-n // size)) for n, size in zip(counted, (ROWS_A_BLOCK, QUERIES_A_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
