@@ -57,3 +57,21 @@ def test_sessions_that_a_row_bridges_are_one(spark):
     rows = spark.createDataFrame([row("a", 0), row("a", 1), row("a", 90)], SCHEMA).select(
         F.unix_micros("received_at").alias("received_us"), *[F.lit(False).alias(c) for c in ("is_paste", "is_hidden", "is_submit")], F.lit(None).cast("double").alias("event_us"))
     assert [s["event_count"] for s in of_events(rows.toPandas(), 1800 * 10**6)] == [2, 1]
+
+
+def test_attempts_share_states(spark):
+    """A call costs more than the events of an attempt: there are as many as states, whatever the attempts."""
+    source, target, progress = (fresh_path(spark, f"t_shared_{n}") for n in ("in", "out", "state"))
+    names = [f"a{n}" for n in range(50)]
+    batches = [[row(a, n % 7) for n, a in enumerate(names)], [row(a, 8, "exam_submitted") for a in names[::2]], [row(None, 1000)]]
+    states = []
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        q = (attempt_sessions(stream, 600, 1800, buckets=3).writeStream.format("parquet").option("path", target)
+             .option("checkpointLocation", progress).trigger(availableNow=True).start())
+        q.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert max(states) == 3 and states[-1] == 0
+    found = sorted((r.attempt_id, r.event_count, r.submits, r.kind) for r in spark.read.parquet(target).collect())
+    assert found == sorted((a, 2 - n % 2, 1 - n % 2, "session") for n, a in enumerate(names))

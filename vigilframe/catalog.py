@@ -151,6 +151,13 @@ def _(spark, sf_dir):
 
 LATE_BATCHES = 3
 FILES = 2
+#: Rows in one file of the ingest stream, about.
+ROWS_A_FILE = 250_000
+
+
+def _files(spark, sf_dir) -> int:
+    """Files in which each half of the ingest stream is written, and of which a micro-batch is made."""
+    return max(FILES, -(-events(spark, sf_dir).count() // (2 * ROWS_A_FILE)))
 
 
 def _ingest_json(spark, sf_dir, broken: bool = False) -> str:
@@ -162,9 +169,9 @@ def _ingest_json(spark, sf_dir, broken: bool = False) -> str:
         rows = rows.withColumn("attempt_id", F.when(F.col("arrival") % 11 != 0, F.col("attempt_id")))
         value = F.when(F.col("arrival") % 13 == 0, F.substring(value, 1, 30)).otherwise(value)
     # two writes, so that the files of the first half are older than those of the second
-    half = F.col("received_at") < "2024-01-16"
+    half, files = F.col("received_at") < "2024-01-16", _files(spark, sf_dir)
     for part in (rows.where(half), rows.where(~half)):
-        part.repartitionByRange(FILES, "arrival").sortWithinPartitions("arrival").select(
+        part.repartitionByRange(files, "arrival").sortWithinPartitions("arrival").select(
             value.alias("value")).write.mode("append").text(path)
     return path
 
@@ -1003,7 +1010,7 @@ def _(spark, sf_dir):
 @query("stream_score_attempts")
 def _(spark, sf_dir):
     paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
-    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=FILES)
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=_files(spark, sf_dir))
     ingest.stream_score_attempts(stream, paths, patterns=RULES).awaitTermination()
     return spark.read.parquet(paths.history).select("attempt_id", "risk", "confidence", "combined_score", "reason")
 
@@ -1012,7 +1019,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The live state after the last batch; every stored event counts."""
     paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
-    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=FILES)
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir), max_files=_files(spark, sf_dir))
     ingest.stream_score_attempts(stream, paths, patterns=RULES, ttl_s=None).awaitTermination()
     return writers.read_current_risk(spark, paths.state, 1).select("attempt_id", "event_count")
 
@@ -1021,7 +1028,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """What the job could not score, from a stream with broken lines and rows without attempt."""
     paths = ingest.IngestPaths(fresh_path(spark, "ingest_job"))
-    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir, broken=True), max_files=FILES)
+    stream = streams.stream_events(spark, _ingest_json(spark, sf_dir, broken=True), max_files=_files(spark, sf_dir))
     ingest.stream_score_attempts(stream, paths, patterns=RULES).awaitTermination()
     return spark.read.parquet(paths.quarantine).groupBy("reason").agg(F.count("*").alias("n"))
 
