@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,13 @@ def test_old_states_are_removed(spark):
 def test_receipts_behind_the_watermark_are_found(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, 1, 10),), (datetime(2024, 1, 1, 12),)], "received_at timestamp")
     assert ingest.late_receipts(rows, datetime(2024, 1, 1, 12), 3600.0).count() == 1
+
+
+def test_feed_and_log_are_compressed(spark, job):
+    """A message repeats names and phrases: as plain text feed and log were most of what the job wrote."""
+    _events, paths = job
+    for table in (paths.feed, paths.log):
+        files = list(Path(table).glob("batch_id=*/part-*"))
+        assert files and all(f.name.endswith(".json.gz") for f in files)
+        text = sum(len(r.value) + 1 for r in spark.read.text(table).collect())
+        assert sum(f.stat().st_size for f in files) < text / 4

@@ -86,7 +86,11 @@ class IngestPaths:
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    rows.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+    """Rows of a batch; texts are compressed, as messages repeat names and phrases in every row."""
+    writer = rows.write.mode("overwrite").format(fmt)
+    if fmt == "json":
+        writer = writer.option("compression", "gzip")
+    writer.save(f"{path}/batch_id={batch_id}")
 
 
 def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
