@@ -181,3 +181,13 @@ def test_feed_and_log_are_compressed(spark, job):
         assert files and all(f.name.endswith(".json.gz") for f in files)
         text = sum(len(r.value) + 1 for r in spark.read.text(table).collect())
         assert sum(f.stat().st_size for f in files) < text / 4
+
+
+def test_job_without_expiry_writes_little(spark):
+    """Everything that a batch leaves behind, live state included, is less than its messages were as plain text."""
+    rows = ingest_rows(attempt_events(spark, SMALL)).drop("arrival", "t_us").withColumn("payload", F.to_json("payload"))
+    paths = ingest.IngestPaths(fresh_path(spark, "t_little"))
+    ingest.score_batch(rows.withColumn("received_at", F.lit(datetime(2024, 1, 1))), 0, paths, patterns=RULES, ttl_s=None)
+    text = sum(len(r.value) + 1 for table in (paths.feed, paths.log) for r in spark.read.text(table).collect())
+    assert sum(f.stat().st_size for f in Path(paths.root).rglob("*") if f.is_file()) < text
+    assert writers.read_current_risk(spark, paths.state, 0).agg(F.sum("event_count")).first()[0] == rows.count()
