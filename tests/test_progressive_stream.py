@@ -191,3 +191,23 @@ def test_job_without_expiry_writes_little(spark):
     text = sum(len(r.value) + 1 for table in (paths.feed, paths.log) for r in spark.read.text(table).collect())
     assert sum(f.stat().st_size for f in Path(paths.root).rglob("*") if f.is_file()) < text
     assert writers.read_current_risk(spark, paths.state, 0).agg(F.sum("event_count")).first()[0] == rows.count()
+
+
+def test_a_batch_is_read_once(spark):
+    """Quarantine and events come from one pass over the source."""
+    schema = "attempt_id string, candidate_id string, candidate_name string, candidate_email string, assessment_id string, assessment_name string, event_type string, payload string, occurred_at string, received_at timestamp"
+    at = datetime(2024, 1, 1, 12)
+    rows = [("a", *[None] * 5, "blur", "{}", f"2024-01-01T12:00:0{n}Z", at) for n in range(5)] + [(None, *[None] * 5, "blur", "{}", None, at)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    batch = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    paths = ingest.IngestPaths(fresh_path(spark, "t_once"))
+    ingest.score_batch(batch, 0, paths)
+    assert read.value == len(rows)
+    assert spark.read.parquet(paths.quarantine).columns.count("_position") == 0
+    assert spark.read.parquet(paths.events).count() == 5

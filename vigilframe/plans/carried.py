@@ -60,7 +60,13 @@ def reached_back(rows: DataFrame) -> DataFrame:
     return rows.where("usable AND t_us < _b_newest_us").select("attempt_id").distinct()
 
 
-def _timeline(rows: DataFrame, rules: PatternRules, passthrough: Sequence[str], limits: HotKeys) -> tuple[DataFrame, DataFrame]:
+def _timeline(
+    rows: DataFrame,
+    rules: PatternRules,
+    passthrough: Sequence[str],
+    limits: HotKeys,
+    pin: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
     """States after every usable event and after the markers, and one row about each session's arrivals.
 
     The marker before the events repeats the state that is carried; the one after them has seen all.
@@ -78,6 +84,7 @@ def _timeline(rows: DataFrame, rules: PatternRules, passthrough: Sequence[str],
             "arrivals": F.col("_new") + F.coalesce("_b_arrivals", F.lit(0)),
         }
     )
+    about = pin(about)  # both markers and the kept rows are made from it
     at = lambda place, t_us: about.where(t_us.isNotNull()).select(
         *KEY, *before, t_us.alias("t_us"), F.lit(place).cast("long").alias("arrival"), F.lit(0).cast("long").alias("client_seq")
     )
@@ -91,11 +98,11 @@ def _timeline(rows: DataFrame, rules: PatternRules, passthrough: Sequence[str],
     return states, about
 
 
-def _entered(rows: DataFrame, rules: PatternRules) -> DataFrame:
+def _entered(rows: DataFrame, about: DataFrame, rules: PatternRules) -> DataFrame:
     """The time at which each question was entered last, by session."""
     enter = F.col("usable") & (F.col("event_type") == "question_view") & (F.col("action") == "enter")
     new = rows.where(enter & F.col("question_id").isNotNull()).select(*KEY, "question_id", "t_us")
-    old = rows.groupBy(*KEY).agg(F.first("_b_entered").alias("_e")).select(*KEY, F.inline("_e"))
+    old = about.select(*KEY, F.inline("_b_entered"))
     return new.unionByName(old).groupBy(*KEY, "question_id").agg(F.max("t_us").alias("t_us"))
 
 
@@ -106,7 +113,7 @@ def _kept_rows(rows: DataFrame, states: DataFrame, about: DataFrame, rules: Patt
     ends = states.where(F.col("arrival") == END).select(*KEY, *CARRIED)
     # an enter matters to a leave of its question for a bounded time only
     span = int(rules.fast_answer_s * SECOND)
-    recent = _entered(rows, rules).join(last.select(*KEY, "newest_us"), list(KEY)).where(F.col("t_us") >= F.col("newest_us") - span)
+    recent = _entered(rows, about, rules).join(last.select(*KEY, "newest_us"), list(KEY)).where(F.col("t_us") >= F.col("newest_us") - span)
     recent = recent.groupBy(*KEY).agg(F.collect_list(F.struct("question_id", "t_us")).alias("entered"))
     return last.join(ends, list(KEY), "left").join(recent, list(KEY), "left").select("attempt_id", *KEPT)
 
@@ -128,7 +135,7 @@ def continued(
     rows = on_timelines(rows, lambda t: t.scan(number, order=("arrival",)).rows, key=KEY, limits=limits, order=("arrival",))
     rows = rows.withColumn(NUMBER, F.col(NUMBER) + F.coalesce("_b_arrivals", F.lit(0)))
     carry = [*passthrough, NUMBER]
-    states, about = _timeline(rows, rules, carry, limits)
+    states, about = _timeline(rows, rules, carry, limits, pin)
     states = pin(states)
     new = states.where(F.col("arrival") < END).select(*KEY, "arrival", *STATE_COLUMNS, *carry)
     every = with_unusable(new, rows.where("NOT usable"), KEY, carry, limits)

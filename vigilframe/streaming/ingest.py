@@ -93,22 +93,28 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int, fmt: str = "parquet"
     writer.save(f"{path}/batch_id={batch_id}")
 
 
-def _arrivals(batch: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
+PLACE = ("_event_us", "_position")
+
+
+def _placed(batch: DataFrame) -> DataFrame:
+    """A micro-batch with the place of its rows, written down: the source is read and parsed once."""
+    at = F.coalesce(F.unix_micros(parse_event_time(F.col("occurred_at"))), F.lit(2**62))
+    return cut(batch.withColumns({"_event_us": at, "_position": F.monotonically_increasing_id()}))
+
+
+def _arrivals(placed: DataFrame, batch_id: int, limits: HotKeys) -> DataFrame:
     """Number the events of each attempt by arrival, after those of all earlier batches.
 
     A micro-batch is received at one instant, so inside it events count as arriving in event time, those
     without a readable time last.
     """
-    order = ("_event_us", "_position")
-    at = F.coalesce(F.unix_micros(parse_event_time(F.col("occurred_at"))), F.lit(2**62))
-    placed = cut(batch.withColumns({"_event_us": at, "_position": F.monotonically_increasing_id()}))
     ranked = on_timelines(
         placed,
-        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=order).rows,
+        lambda t: t.scan(Scan("_rank", "sum", F.lit(1).cast("long"), here=True), order=PLACE).rows,
         limits=limits,
-        order=order,
+        order=PLACE,
     )
-    return ranked.withColumn("arrival", F.col("_rank") + F.lit(batch_id * BATCH_SPAN)).drop("_rank", *order)
+    return ranked.withColumn("arrival", F.col("_rank") + F.lit(batch_id * BATCH_SPAN)).drop("_rank", *PLACE)
 
 
 def quarantined(batch: DataFrame) -> DataFrame:
@@ -136,7 +142,8 @@ def score_batch(
     without an attempt only there.
     """
     spark = batch.sparkSession
-    _write_batch(quarantined(batch), paths.quarantine, batch_id)
+    batch = _placed(batch)
+    _write_batch(quarantined(batch.drop(*PLACE)), paths.quarantine, batch_id)
     named = batch.where(F.length("attempt_id") > 0).drop(UNREADABLE)
     fresh = _arrivals(named, batch_id, limits).withColumns(
         {"event_date": F.to_date("received_at"), "batch_id": F.lit(batch_id).cast("long")}
@@ -160,10 +167,9 @@ def score_batch(
     log = paths.kept
     kept = log.read(spark, batch_id - 1, fresh)
     of_batch = census(fresh, limits)
-    rows = sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, of_batch)
+    rows = cut(sessions(normalize_events(with_us(fresh), limits, unusable=True), kept, ttl_s, of_batch))
     late = None
     if kept is not None:
-        rows = cut(rows)
         late = cut(reached_back(rows))
     n_late = late.count() if kept is not None else 0
     small = F.broadcast(late) if 0 < n_late <= limits.broadcast_rows else late
