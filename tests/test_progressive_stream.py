@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, same
+from vigilframe import catalog
 from vigilframe.catalog import RULES, delayed_arrival
 from vigilframe.plans.progressive import progressive_risk
 from vigilframe.plans.score import score_attempts
@@ -183,6 +184,15 @@ def test_feed_and_log_are_compressed(spark, job):
         assert sum(f.stat().st_size for f in files) < text / 4
 
 
+def test_source_of_the_streams_is_compressed(spark):
+    """The lines that the stream queries read: as plain text they were a third of what the job moved and wrote."""
+    path = catalog._ingest_json(spark, SMALL)
+    files = list(Path(path).glob("part-*"))
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert len(lines) == attempt_events(spark, SMALL).count()
+    assert sum(f.stat().st_size for f in files) < sum(len(line) + 1 for line in lines) / 4
+
+
 def test_job_without_expiry_writes_little(spark):
     """Everything that a batch leaves behind, live state included, is less than its messages were as plain text."""
     rows = ingest_rows(attempt_events(spark, SMALL)).drop("arrival", "t_us").withColumn("payload", F.to_json("payload"))

@@ -168,11 +168,11 @@ def _ingest_json(spark, sf_dir, broken: bool = False) -> str:
     if broken:
         rows = rows.withColumn("attempt_id", F.when(F.col("arrival") % 11 != 0, F.col("attempt_id")))
         value = F.when(F.col("arrival") % 13 == 0, F.substring(value, 1, 30)).otherwise(value)
-    # two writes, so that the files of the first half are older than those of the second
+    # two writes, so that the files of the first half are older than those of the second; a file is read by one task
     half, files = F.col("received_at") < "2024-01-16", _files(spark, sf_dir)
     for part in (rows.where(half), rows.where(~half)):
         part.repartitionByRange(files, "arrival").sortWithinPartitions("arrival").select(
-            value.alias("value")).write.mode("append").text(path)
+            value.alias("value")).write.mode("append").option("compression", "gzip").text(path)
     return path
 
 
